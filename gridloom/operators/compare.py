@@ -67,9 +67,8 @@ class Comparison:
             F.lit(n).alias("column"), canonical_text(F.col(f"a{j}"), schema[f"a{j}"].dataType).alias("old"),
             canonical_text(F.col(f"b{j}"), schema[f"b{j}"].dataType).alias("new"))) for j, n in enumerate(self.columns)])
         listed = self.joined.filter(F.col("status") == "changed") \
-            .select(*self._key(), "occurrence", F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("__cell"))
-        return listed.select(*[col(n) for n in self.keys], "occurrence", F.col("__cell.column").alias("column"),
-                             F.col("__cell.old").alias("old"), F.col("__cell.new").alias("new"))
+            .select("*", F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("__cell"))
+        return listed.select(*self._key(), F.col("occurrence").alias(free_name("occurrence", self.keys)), "__cell.column", "__cell.old", "__cell.new")
 
     def summary(self) -> DataFrame:
         """(metric, value) rows."""
@@ -192,4 +191,4 @@ def reordered(before: DataFrame, after: DataFrame, order_by=None) -> bool:
     names = [col(n) for n in at]
     if before.count() != after.count():
         return False
-    return before.select(*names).exceptAll(after.select(*names)).isEmpty()
+    return before.select(*names).join(after.select(*names), at, "left_anti").isEmpty()

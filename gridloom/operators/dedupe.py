@@ -36,30 +36,35 @@ def _candidates(df: DataFrame, id_column: str, columns: list[str], blank_is_valu
     return df.filter(~functools.reduce(operator.or_, [is_missing(col(n), type_of(df, n)) for n in columns]))
 
 
-def duplicate_groups(df: DataFrame, id_column: str, columns: list[str], blank_is_value: bool = True, order_by=None) -> DataFrame:
-    """One row per group of rows equal in `columns`: the columns, row_preview, count, keep_id and first_position.
+def _groups(rows: DataFrame, id_column: str, columns: list[str], order_by) -> DataFrame:
+    """__g0.. (the cells), __count, __keep and __first per group of more than one row.
 
     One aggregate that combines before the shuffle, so a group of any size is one row per task."""
-    rows = _candidates(df, id_column, columns, blank_is_value)
-    at = order_value(df, order_by)
-    groups = rows.groupBy(*[_cell(df, n).alias(n) for n in columns]).agg(
-        F.count(F.lit(1)).alias("count"), F.min_by(col(id_column), at).alias("keep_id"), F.min(at).alias("first_position")) \
-        .filter(F.col("count") > 1)
-    preview = F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), F.coalesce(canonical_text(col(n), type_of(df, n)), F.lit("")))
-                                  for n in columns])
-    return groups.select(*[col(n) for n in columns], preview.alias("row_preview"), "count", "keep_id", "first_position")
+    at = order_value(rows, order_by)
+    return rows.groupBy(*[_cell(rows, n).alias(f"__g{i}") for i, n in enumerate(columns)]).agg(
+        F.count(F.lit(1)).alias("__count"), F.min_by(col(id_column), at).alias("__keep"), F.min(at).alias("__first")) \
+        .filter(F.col("__count") > 1)
+
+
+def duplicate_groups(df: DataFrame, id_column: str, columns: list[str], blank_is_value: bool = True, order_by=None) -> DataFrame:
+    """One row per group of rows equal in `columns`: row_preview, count, keep_id (the first row's) and first_position."""
+    groups = _groups(_candidates(df, id_column, columns, blank_is_value), id_column, columns, order_by)
+    preview = F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), F.coalesce(canonical_text(F.col(f"__g{i}"), type_of(df, n)), F.lit("")))
+                                  for i, n in enumerate(columns)])
+    return groups.select(preview.alias("row_preview"), F.col("__count").alias("count"), F.col("__keep").alias("keep_id"),
+                         F.col("__first").alias("first_position"))
 
 
 def duplicate_members(df: DataFrame, id_column: str, columns: list[str], blank_is_value: bool = True, order_by=None) -> DataFrame:
-    """Every row of every duplicate group: keep_id (its group), id, and `remove` (false for the row that stays)."""
+    """Every row of every duplicate group: keep_id (its group), id, and `remove` (false for the row that stays).
+
+    The groups are one row each, so a large group is only large on one side of the join, where Spark can split it."""
     rows = _candidates(df, id_column, columns, blank_is_value)
-    groups = duplicate_groups(df, id_column, columns, blank_is_value, order_by) \
-        .select(*[col(n).alias(f"__g{i}") for i, n in enumerate(columns)],
-                F.col("keep_id").alias("__keep"), F.col("first_position").alias("__first"))
-    match = same_cells([(_cell(df, n), F.col(f"__g{i}")) for i, n in enumerate(columns)])
-    at = order_value(df, order_by)
-    return rows.select("*", at.alias("__at")).join(groups, match) \
-        .select(F.col("__keep").alias("keep_id"), col(id_column).alias("id"), (F.col("__at") != F.col("__first")).alias("remove"),
+    cells = [_cell(rows, n).alias(f"__c{i}") for i, n in enumerate(columns)]
+    members = rows.select(*cells, col(id_column).alias("__id"), order_value(rows, order_by).alias("__at"))
+    match = same_cells([(F.col(f"__c{i}"), F.col(f"__g{i}")) for i in range(len(columns))])
+    return members.join(_groups(rows, id_column, columns, order_by), match) \
+        .select(F.col("__keep").alias("keep_id"), F.col("__id").alias("id"), (F.col("__at") != F.col("__first")).alias("remove"),
                 F.col("__first").alias("first_position"), F.col("__at").alias("position"))
 
 
@@ -129,7 +134,7 @@ def remove_duplicates(df: DataFrame, columns: list[str] | None = None, keep: str
 
 def exact_copies(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat an earlier row in every column."""
-    counts = df.groupBy(*[_cell(df, n).alias(n) for n in _row_columns(df)]).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(*[_cell(df, n).alias(f"__c{i}") for i, n in enumerate(_row_columns(df))]).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 

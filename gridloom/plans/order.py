@@ -62,8 +62,8 @@ def order_value(df: DataFrame, order_by=None) -> Column:
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Rows of the largest group. Reads the key columns only, and combines before the shuffle."""
-    counts = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
+    counts = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.agg(F.max("__n")).first()[0] or 0
 
 
 def fits_one_task(df: DataFrame, keys: list[str]) -> bool:
@@ -86,10 +86,10 @@ def _over_slices():
 def dense_index(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
     """Number all rows start, start+1, ... in the given order."""
     cut = _slices(df, order)
-    base = cut.groupBy(_SLICE).agg(F.count(F.lit(1)).alias("n")) \
-        .select(_SLICE, F.coalesce(F.sum("n").over(_over_slices().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    base = cut.groupBy(_SLICE).agg(F.count(F.lit(1)).alias("__n")) \
+        .select(_SLICE, F.coalesce(F.sum("__n").over(_over_slices().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     return cut.join(F.broadcast(base), _SLICE) \
-        .withColumn(name, F.col("base") + F.col(_OFFSET) + F.lit(start)).drop(_SLICE, _OFFSET, "base")
+        .withColumn(name, F.col("__base") + F.col(_OFFSET) + F.lit(start)).drop(_SLICE, _OFFSET, "__base")
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], name: str, weight: Column | None = None,
@@ -113,15 +113,15 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], name: str,
     window = W.partitionBy(_SLICE, *group).orderBy(_OFFSET).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = cut.withColumn(name, F.sum(step).over(window))
 
-    sizes = cut.groupBy(_SLICE).agg((F.max(_OFFSET)).alias("last"))
-    pieces = cut.groupBy(_SLICE, *group).agg(F.sum(step).alias("n"), F.min(_OFFSET).alias("from"), F.max(_OFFSET).alias("to"))
-    edges = pieces.join(F.broadcast(sizes), _SLICE).filter((F.col("from") == 0) | (F.col("to") == F.col("last")))
+    sizes = cut.groupBy(_SLICE).agg(F.max(_OFFSET).alias("__last"))
+    pieces = cut.groupBy(_SLICE, *group).agg(F.sum(step).alias("__sum"), F.min(_OFFSET).alias("__from"), F.max(_OFFSET).alias("__to"))
+    edges = pieces.join(F.broadcast(sizes), _SLICE).filter((F.col("__from") == 0) | (F.col("__to") == F.col("__last")))
     before = W.partitionBy(*(group or [F.lit(0)])).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
-    carried = edges.withColumn("carry", F.sum("n").over(before)) \
-        .filter((F.col("from") == 0) & F.col("carry").isNotNull()).select(_SLICE, "to", "carry")
+    carried = edges.withColumn("__carry", F.sum("__sum").over(before)) \
+        .filter((F.col("__from") == 0) & F.col("__carry").isNotNull()).select(_SLICE, "__to", "__carry")
     return local.join(F.broadcast(carried), _SLICE, "left") \
-        .withColumn(name, F.col(name) + F.when(F.col(_OFFSET) <= F.col("to"), F.col("carry")).otherwise(F.lit(0))) \
-        .drop(_SLICE, _OFFSET, "to", "carry", step)
+        .withColumn(name, F.col(name) + F.when(F.col(_OFFSET) <= F.col("__to"), F.col("__carry")).otherwise(F.lit(0))) \
+        .drop(_SLICE, _OFFSET, "__to", "__carry", step)
 
 
 def carry_values(df: DataFrame, values: dict[str, Column], order: list[Column], forward: bool = True) -> DataFrame:

@@ -17,9 +17,24 @@ GRID_HEAD_ROWS = 30
 BOM = "﻿"
 
 
+def _lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """The lines of a text file. The text source hands over the bytes as they are, so other encodings are decoded here."""
+    lines = spark.read.text(path)
+    if encoding.upper() in ("UTF-8", "UTF8"):
+        return lines
+    _allow_encoding(spark, encoding)
+    return lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+
+
+def _allow_encoding(spark: SparkSession, encoding: str) -> None:
+    """Spark knows few encodings by name unless told to accept all that Java has."""
+    if encoding.lower() in ("windows-1252", "cp1252"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def _head(spark: SparkSession, path: str, lines: int, encoding: str = "UTF-8") -> list[str]:
     """The first lines of the file, in file order."""
-    rows = spark.read.option("encoding", encoding).text(path).limit(lines).collect()
+    rows = _lines(spark, path, encoding).select(F.make_valid_utf8("value").alias("value")).limit(lines).collect()
     return [r.value.lstrip(BOM) for r in rows]
 
 
@@ -36,10 +51,8 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 when all lines are valid UTF-8, else windows-1252, else ISO-8859-1 if bytes are undefined there."""
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)      # one character per byte, whatever the encoding
-    raw = F.encode("value", "ISO-8859-1")
-    undefined = F.col("value").rlike("[\\u0081\\u008d\\u008f\\u0090\\u009d]")
-    seen = lines.agg(F.bool_and(F.is_valid_utf8(raw.cast("string"))).alias("utf8"), F.bool_or(undefined).alias("odd")).first()
+    undefined = F.hex(F.col("value").cast("binary")).rlike("^(..)*(81|8D|8F|90|9D)")
+    seen = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(undefined).alias("odd")).first()
     if seen.utf8 is None or seen.utf8:
         return "UTF-8"
     return "ISO-8859-1" if seen.odd else "windows-1252"
@@ -55,8 +68,7 @@ def read_delimited(spark: SparkSession, path: str, mode: str = "lossless", delim
     if mode not in ("lossless", "infer"):
         raise TableError("mode is lossless or infer")
     encoding = encoding or "UTF-8"
-    if encoding.lower() in ("windows-1252", "cp1252"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    _allow_encoding(spark, encoding)
     delimiter = delimiter or detect_delimiter(spark, path)
     names = read_headers(spark, path, delimiter, encoding, keep_blank=True)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -107,7 +119,11 @@ def preview(df: DataFrame, rows: int = 20) -> dict:
 def raw_grid(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """Every line as an array of cells, with its position; empty cells are NULL. No header is taken."""
     delimiter = delimiter or detect_delimiter(spark, path)
-    lines = with_position(spark.read.option("encoding", encoding).text(path)).withColumn("value", F.regexp_replace("value", f"^{BOM}", ""))
+    lines = with_position(spark.read.text(path))
+    if encoding.upper() not in ("UTF-8", "UTF8"):
+        _allow_encoding(spark, encoding)
+        lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+    lines = lines.withColumn("value", F.regexp_replace("value", f"^{BOM}", ""))
     widest = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(delimiter), F.lit(""))))).first()[0] or 0
     names = [f"c{i}" for i in range(widest + 1)]
     parsed = F.from_csv("value", ", ".join(f"{n} string" for n in names), {"sep": delimiter, "quote": '"', "escape": '"'})
