@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLANK_TEXT = r"^(?U)\s*$"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
-INNER_SPACE = r"(?U)\s+"
+# Fixed value: the characters that count as white space, the no-break and wide spaces included.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"       # the same as a pattern
 
 # Month names as they appear in written dates.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
@@ -74,7 +74,7 @@ def is_missing(c: Column, dtype: T.DataType) -> Column:
 def is_blank(c: Column, dtype: T.DataType) -> Column:
     """Missing, or text that holds nothing but white space."""
     if is_text(dtype):
-        return c.isNull() | F.coalesce(c.rlike(BLANK_TEXT), F.lit(False))
+        return c.isNull() | (strip(c) == "")
     return is_missing(c, dtype)
 
 
@@ -85,7 +85,9 @@ def present(c: Column, dtype: T.DataType) -> Column:
 
 def filled(c: Column, dtype: T.DataType) -> Column:
     """The cell, with blanks as NULL."""
-    return F.when(~is_blank(c, dtype), c)
+    if is_text(dtype):
+        return F.when(strip(c) != "", c)
+    return present(c, dtype)
 
 
 # ---- text forms -----------------------------------------------------------------------------------------------------
@@ -128,12 +130,12 @@ def text_of(df: DataFrame, name: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at the ends, any Unicode space included."""
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
-    """Runs of white space as one space."""
-    return F.regexp_replace(c, INNER_SPACE, " ")
+    """Runs of white space as one space; single plain spaces are left where they are."""
+    return F.regexp_replace(c, f"{SPACE}{{2,}}|[{SPACE}&&[^ ]]", " ")
 
 
 def loose_text(c: Column, dtype: T.DataType) -> Column:

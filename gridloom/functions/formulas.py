@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .cells import EDGE_SPACE, TableError
+from .cells import TableError, strip
 
 
 def value(x) -> Column:
@@ -41,7 +41,7 @@ def LOWER(x) -> Column:
 
 
 def TRIM(x) -> Column:
-    return F.regexp_replace(text(x), EDGE_SPACE, "")
+    return strip(text(x))
 
 
 def LEFT(x, n: int) -> Column:

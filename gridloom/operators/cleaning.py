@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cells import TableError, col, collapse, is_text, require_columns, strip, type_of
+from ..functions.cells import SPACE, TableError, col, collapse, is_text, require_columns, strip, type_of
 from .result import Result
 
 # Fixed value: text that reads as a number is left alone.
@@ -35,7 +35,7 @@ def remove_accents(c: Column) -> Column:
 
 
 def remove_punctuation(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)[^\p{L}\p{N}_\s]", "")
+    return F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}_{SPACE[1:-1]}]", "")
 
 
 def title_case(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import (canonical_text, col, free_name, present, require_columns,
                                type_of)
-from ..plans.order import file_order, order_names, running_sum
+from ..plans.order import POSITION, file_order, order_names, running_sum
 from .joins import aligned_keys
 from .result import Result
 
@@ -118,7 +118,8 @@ def compare_tables(first: DataFrame, second: DataFrame, keys: list[str], columns
         order = F.struct(*file_order(df, order_by)).alias("__order")
         rows = df.select(*[k.alias(n) for k, n in zip(key, names)], *[col(n).alias(f"{letter}{j}") for j, n in enumerate(columns)], order)
         none = functools.reduce(operator.and_, [F.col(n).isNull() for n in names])
-        numbered = running_sum(rows.filter(~none), names, [F.col("__order")], f"{letter}_nth").drop("__order")
+        ties = [] if order_names(df, order_by) == [POSITION] else ["__order"]
+        numbered = running_sum(rows.filter(~none), names, [F.col("__order")], f"{letter}_nth", ties=ties).drop("__order")
         return numbered, rows.filter(none), names
 
     a, keyless_a, ka = side(first, key_1, "a", first_order)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.cells import (TableError, canonical_text, col, free_name, is_missing, loose_text, present,
                                require_columns, type_of)
-from ..plans.order import file_order, order_value, running_sum
+from ..plans.order import file_order, fits_one_task, order_value, running_sum, tie_names
 from .result import Result
 
 KEEP = ("first", "last", "most_complete")
@@ -55,17 +55,30 @@ def duplicate_groups(df: DataFrame, id_column: str, columns: list[str], blank_is
                          F.col("__first").alias("first_position"))
 
 
-def duplicate_members(df: DataFrame, id_column: str, columns: list[str], blank_is_value: bool = True, order_by=None) -> DataFrame:
-    """Every row of every duplicate group: keep_id (its group), id, and `remove` (false for the row that stays).
+def _members(df: DataFrame, id_column: str, columns: list[str], blank_is_value: bool, order_by) -> DataFrame:
+    """__c0.. (the cells), __id, __nth (place in the group) and __keep (the group's first id) for groups of two and more.
 
-    The groups are one row each, so a large group is only large on one side of the join, where Spark can split it."""
+    While the largest group fits a task, one window gives all three. Beyond that the rows are numbered in slices and
+    joined to the groups, which are one row each: a large group is large on one side only, where Spark can split it."""
     rows = _candidates(df, id_column, columns, blank_is_value)
-    cells = [_cell(rows, n).alias(f"__c{i}") for i, n in enumerate(columns)]
-    members = rows.select(*cells, col(id_column).alias("__id"), order_value(rows, order_by).alias("__at"))
-    match = same_cells([(F.col(f"__c{i}"), F.col(f"__g{i}")) for i in range(len(columns))])
-    return members.join(_groups(rows, id_column, columns, order_by), match) \
-        .select(F.col("__keep").alias("keep_id"), F.col("__id").alias("id"), (F.col("__at") != F.col("__first")).alias("remove"),
-                F.col("__first").alias("first_position"), F.col("__at").alias("position"))
+    keys = [f"__c{i}" for i in range(len(columns))]
+    cells = rows.select(*[_cell(rows, n).alias(k) for n, k in zip(columns, keys)], col(id_column).alias("__id"), order_value(rows, order_by).alias("__at"))
+    if fits_one_task(cells, keys):
+        group = W.partitionBy(*keys)
+        placed = group.orderBy("__at")
+        return cells.select("*", F.row_number().over(placed).cast("bigint").alias("__nth"), F.first("__id").over(placed).alias("__keep"),
+                            F.count(F.lit(1)).over(group).alias("__count")).filter("__count > 1").drop("__at", "__count")
+    ties = ["__at"] if tie_names(df, order_by) else []
+    numbered = running_sum(cells, keys, [F.col("__at")], "__nth", ties=ties, sliced=True)
+    match = same_cells([(F.col(k), F.col(f"__g{i}")) for i, k in enumerate(keys)])
+    groups = _groups(rows, id_column, columns, order_by).drop("__first", "__count")
+    return numbered.join(groups, match).select(*keys, "__id", "__nth", "__keep")
+
+
+def duplicate_members(df: DataFrame, id_column: str, columns: list[str], blank_is_value: bool = True, order_by=None) -> DataFrame:
+    """Every row of every duplicate group: keep_id (its group), id, and `remove` (false for the row that stays)."""
+    return _members(df, id_column, columns, blank_is_value, order_by) \
+        .select(F.col("__keep").alias("keep_id"), F.col("__id").alias("id"), (F.col("__nth") > 1).alias("remove"))
 
 
 def duplicate_id_lists(df: DataFrame, id_column: str, columns: list[str], blank_is_value: bool = True, order_by=None,
@@ -73,18 +86,18 @@ def duplicate_id_lists(df: DataFrame, id_column: str, columns: list[str], blank_
     """All ids of each group in file order, as arrays of at most `page_rows` ids: keep_id, page, all_ids, ids_to_remove.
 
     A group that fits one page is one row; a larger one goes on with page 2, so no list grows with the data."""
-    members = duplicate_members(df, id_column, columns, blank_is_value, order_by)
-    numbered = running_sum(members, ["first_position"], [F.col("position")], "__nth")
+    keys = [f"__c{i}" for i in range(len(columns))]
     page = F.floor((F.col("__nth") - 1) / F.lit(page_rows)) + 1
-    lists = numbered.groupBy("first_position", "keep_id", page.alias("page")) \
-        .agg(F.array_sort(F.collect_list(F.struct("__nth", "id", "remove"))).alias("ids"), F.count(F.lit(1)).alias("count"))
-    return lists.select("keep_id", "page", "count", F.transform("ids", lambda x: x["id"]).alias("all_ids"),
-                        F.transform(F.filter("ids", lambda x: x["remove"]), lambda x: x["id"]).alias("ids_to_remove"))
+    lists = _members(df, id_column, columns, blank_is_value, order_by).groupBy(*keys, "__keep", page.alias("page")) \
+        .agg(F.array_sort(F.collect_list(F.struct("__nth", "__id"))).alias("ids"), F.count(F.lit(1)).alias("count"))
+    repeats = F.filter("ids", lambda x: x["__nth"] > 1)
+    return lists.select(F.col("__keep").alias("keep_id"), "page", "count", F.transform("ids", lambda x: x["__id"]).alias("all_ids"),
+                        F.transform(repeats, lambda x: x["__id"]).alias("ids_to_remove"))
 
 
 def ids_to_remove(df: DataFrame, id_column: str, columns: list[str], blank_is_value: bool = True, order_by=None) -> DataFrame:
     """The id of every repeat, one per row."""
-    return duplicate_members(df, id_column, columns, blank_is_value, order_by).filter("remove").select("id")
+    return _members(df, id_column, columns, blank_is_value, order_by).filter("__nth > 1").select(F.col("__id").alias("id"))
 
 
 def _row_columns(df: DataFrame) -> list[str]:
@@ -128,7 +141,7 @@ def remove_duplicates(df: DataFrame, columns: list[str] | None = None, keep: str
     metrics = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in"), F.count(F.lit(1)).alias("rows_kept"),
                          F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("rows_removed"),
                          F.count_if(F.col("n") > 1).alias("groups_with_duplicates"))
-    removed = lambda: running_sum(keyed, key_names, order, nth).filter(F.col(nth) > 1).drop(nth, *key_names)
+    removed = lambda: running_sum(keyed, key_names, order, nth, ties=tie_names(df, order_by)).filter(F.col(nth) > 1).drop(nth, *key_names)
     return Result(kept, {"removed": removed}, metrics)
 
 

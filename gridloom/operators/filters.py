@@ -6,9 +6,10 @@ import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.cells import (TableError, canonical_text, col, is_blank, is_number, is_text, number_of, require_columns,
-                               strip, text_of, type_of)
+from ..functions.cells import (TableError, canonical_text, col, is_blank, is_float, is_number, is_text, number_of,
+                               require_columns, strip, text_of, type_of)
 
 COMPARISONS = {"greater_than": operator.gt, "less_than": operator.lt, "greater_equal": operator.ge, "less_equal": operator.le}
 
@@ -17,38 +18,55 @@ def _or_false(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def _equals(df: DataFrame, column: str, wanted: str) -> Column:
+    """The cell's canonical text is `wanted`, without case. A declared number is compared as a number, so that the test
+    can reach the scan; a text that is not how such a number reads equals none."""
+    dtype = type_of(df, column)
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DoubleType)):
+        try:
+            number = float(wanted) if isinstance(dtype, T.DoubleType) else int(wanted)
+        except ValueError:
+            return F.lit(False)
+        reads = str(int(number)) if float(number).is_integer() else repr(number)
+        return col(column) == F.lit(number) if reads == wanted else F.lit(False)
+    return F.lower(text_of(df, column)) == F.lit(wanted.lower())
+
+
 def condition(df: DataFrame, column: str, test: str, value="") -> Column:
-    """One test of one column; never NULL. Text is compared without case, blanks match only the negative tests."""
+    """One test of one column, for use in a filter. Text is compared without case; blanks match only the negative tests.
+
+    The positive tests are NULL on blanks, which a filter drops; nothing is wrapped around them that would keep a
+    comparison with a declared number from being pushed down to the scan."""
     require_columns(df, [column])
     dtype = type_of(df, column)
     text = F.lower(text_of(df, column))
     wanted = F.lit(str(value).lower())
     if test == "equals":
-        return _or_false(text == wanted)
+        return _equals(df, column, str(value))
     if test == "not_equals":
-        return ~_or_false(text == wanted)
+        return ~_or_false(_equals(df, column, str(value)))
     if test == "contains":
-        return _or_false(F.contains(text, wanted))
+        return F.contains(text, wanted)
     if test == "not_contains":
         return ~_or_false(F.contains(text, wanted))
     if test == "starts_with":
-        return _or_false(F.startswith(text, wanted))
+        return F.startswith(text, wanted)
     if test == "ends_with":
-        return _or_false(F.endswith(text, wanted))
+        return F.endswith(text, wanted)
     if test in COMPARISONS:
         try:
             limit = float(value)
         except (TypeError, ValueError):
             raise TableError(f"{value!r} is not a number, so {column!r} cannot be compared with it") from None
-        # a declared number is compared as it is, so the test can reach the scan
         cell = col(column) if is_number(dtype) else number_of(df, column)
-        return _or_false(COMPARISONS[test](cell, F.lit(limit)))
+        compared = COMPARISONS[test](cell, F.lit(limit))
+        return compared & ~F.isnan(cell) if is_float(dtype) and test.startswith("greater") else compared      # NaN sorts above all
     if test == "is_empty":
         return is_blank(col(column), dtype)
     if test == "is_not_empty":
         return ~is_blank(col(column), dtype)
     if test == "in_list":
-        return _or_false(text.isin([v.strip().lower() for v in str(value).split(",")]))
+        return functools.reduce(operator.or_, [_equals(df, column, v.strip()) for v in str(value).split(",")])
     raise TableError(f"unknown test {test!r}")
 
 
@@ -78,5 +96,5 @@ def exact_filter(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
     for column, value in wanted.items():
         if value not in (None, ""):
             text = canonical_text(col(column), type_of(df, column))
-            df = df.filter(_or_false((strip(text) if is_text(type_of(df, column)) else text) == F.lit(str(value).strip())))
+            df = df.filter((strip(text) if is_text(type_of(df, column)) else text) == F.lit(str(value).strip()))
     return df

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.cells import (TableError, canonical_text, col, is_missing, is_number, is_text, present, require_columns,
                                type_of)
-from ..plans.order import file_order
+from ..plans.order import file_order, fits_one_task
 from .result import Result
 
 JOINS = ("inner", "left", "right", "outer", "left_only", "right_only")
@@ -109,9 +109,10 @@ def merge_tables(left: DataFrame, right: DataFrame, left_keys, right_keys=None,
     other shared names get `_left` and `_right`. `left_only` and `right_only` give the rows without a partner.
     Metrics: one row of counts of rows, matches and multiplied rows.
 
-    Rows without a key are set aside and added back, so they never meet in one task. With repeated keys kept, an
-    outer join is the inner join plus the unmatched rows of each side: Spark can split a hot key of either side of an
-    inner join, but not of a full outer join."""
+    Rows without a key are set aside and added back, so they never meet in one task. With repeated keys kept, the size
+    of the largest key group decides how an outer join runs: Spark can split a hot key of either side of an inner join,
+    but not of the side that an outer join keeps whole, so beyond one task's worth of rows the outer join is the inner
+    join plus the unmatched rows of each side."""
     right_keys = left_keys if right_keys is None else right_keys
     left_keys = [left_keys] if isinstance(left_keys, str) else list(left_keys)
     right_keys = [right_keys] if isinstance(right_keys, str) else list(right_keys)
@@ -127,7 +128,7 @@ def merge_tables(left: DataFrame, right: DataFrame, left_keys, right_keys=None,
         rows = _unmatched(b, a)
         return Result(rows.select(*[F.col(f"r{i}").alias(n) for i, n in enumerate(names_b)]), metrics=metrics)
 
-    if a.unique and b.unique:
+    if how == "inner" or _direct(a, b, how):
         joined = a.with_key.join(b.with_key, _on(a, b), {"outer": "full"}.get(how, how))
         extra = ([a.without_key] if how in ("left", "outer") else []) + ([b.without_key] if how in ("right", "outer") else [])
     else:
@@ -138,6 +139,12 @@ def merge_tables(left: DataFrame, right: DataFrame, left_keys, right_keys=None,
     return Result(joined.select(*_output(names_a, names_b, left_keys, right_keys)), metrics=metrics)
 
 
+def _direct(a: _Side, b: _Side, how: str) -> bool:
+    """Whether the outer join can be one join: the sides it cannot split have no hot key."""
+    whole = {"left": [b], "right": [a], "outer": [a, b]}[how]
+    return all(side.unique or fits_one_task(side.with_key, side.keys) for side in whole)
+
+
 def _output(names_a, names_b, left_keys, right_keys) -> list[Column]:
     """Left columns, then right columns. A shared key name takes its value from whichever side has the row."""
     shared = {x for x, y in zip(left_keys, right_keys) if x == y}

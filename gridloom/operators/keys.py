@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import TableError, canonical_text, col, free_name, is_missing, present, require_columns, type_of
-from ..plans.order import file_order, running_sum
+from ..plans.order import file_order, running_sum, tie_names
 from ..session import written
 from .dedupe import distinct_rows, exact_copies
 
@@ -154,5 +154,5 @@ def add_unique_id(df: DataFrame, key: list[str], order_by=None) -> DataFrame:
     copy_name = free_name("_is_duplicate", [*df.columns, id_name])
     nth = free_name("__nth", df.columns)
     values = F.concat_ws("|||", *[F.coalesce(canonical_text(col(n), type_of(df, n)), F.lit("")) for n in key])
-    numbered = running_sum(df, list(df.columns), file_order(df, order_by), nth)
+    numbered = running_sum(df, list(df.columns), file_order(df, order_by), nth, ties=tie_names(df, order_by))
     return numbered.select(*[col(n) for n in df.columns], values.alias(id_name), (F.col(nth) > 1).alias(copy_name))

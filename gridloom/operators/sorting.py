@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions.cells import (TableError, col, free_name, is_number, is_text, is_time, number_of, present, require_columns,
                                text_of, type_of)
-from ..plans.order import dense_index, file_order, first_rows, order_value, running_sum
+from ..plans.order import dense_index, file_order, first_rows, order_value, running_sum, tie_names
 
 ASCENDING, DESCENDING = "ascending", "descending"
 
@@ -65,22 +65,22 @@ def rank_rows(df: DataFrame, by, within: str | None = None, order_by=None) -> Da
     order = _sort_columns(df, _levels(by)) + file_order(df, order_by)
     name = free_name("rank", df.columns)
     if within is None:
-        return dense_index(df, order, name)
+        return dense_index(df, order, name, ties=tie_names(df, order_by))
     require_columns(df, [within])
-    return running_sum(df, [within], order, name)
+    return running_sum(df, [within], order, name, ties=tie_names(df, order_by))
 
 
 def first_n(df: DataFrame, n: int, order_by=None, by=()) -> DataFrame:
     _check_count(n)
     order = _sort_columns(df, _levels(by)) + file_order(df, order_by)
-    return first_rows(df, order, n).orderBy(*order)
+    return first_rows(df, order, n, tie_names(df, order_by)).orderBy(*order)
 
 
 def last_n(df: DataFrame, n: int, order_by=None, by=()) -> DataFrame:
     _check_count(n)
     order = _sort_columns(df, _levels(by)) + file_order(df, order_by)
     backwards = _sort_columns(df, _levels(by), backwards=True) + [c.desc() for c in file_order(df, order_by)]
-    return first_rows(df, backwards, n).orderBy(*order)
+    return first_rows(df, backwards, n, tie_names(df, order_by)).orderBy(*order)
 
 
 def _check_count(n) -> None:
@@ -92,7 +92,7 @@ def every_nth(df: DataFrame, n: int, order_by=None, by=()) -> DataFrame:
     """Rows 1, n+1, 2n+1, ..."""
     _check_count(n)
     name = free_name("__index", df.columns)
-    numbered = dense_index(df, _sort_columns(df, _levels(by)) + file_order(df, order_by), name, start=0)
+    numbered = dense_index(df, _sort_columns(df, _levels(by)) + file_order(df, order_by), name, start=0, ties=tie_names(df, order_by))
     return numbered.filter(F.col(name) % n == 0).drop(name)
 
 
@@ -101,13 +101,13 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, order_by=None) -> DataFrame:
     _check_count(n)
     order = file_order(df, order_by)
     chance = F.xxhash64(F.lit(seed), order_value(df, order_by))
-    return first_rows(df, [chance, *order], n).orderBy(*order)
+    return first_rows(df, [chance, *order], n, tie_names(df, order_by)).orderBy(*order)
 
 
 def occurrence(df: DataFrame, keys: list[str], name: str = "occurrence", order_by=None) -> DataFrame:
     """Add the number of each row among the rows with the same key, from 1."""
     require_columns(df, keys)
-    return running_sum(df, keys, file_order(df, order_by), free_name(name, df.columns))
+    return running_sum(df, keys, file_order(df, order_by), free_name(name, df.columns), ties=tie_names(df, order_by))
 
 
 def group_numbers(df: DataFrame, keys: list[str], name: str = "group_number", order_by=None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns
 from ..functions.cells import TableError, col, free_name, plain_number, strip, text_of, type_of
-from ..plans.order import dense_index, file_order
+from ..plans.order import dense_index, file_order, tie_names
 from .result import Result
 
 RULES = ("required", "numeric", "range", "list", "pattern", "length")
@@ -72,7 +72,7 @@ def validate(df: DataFrame, rules: list[dict], row_numbers: bool = False, order_
     source = df
     number_name = free_name("row_number", df.columns)
     if row_numbers:
-        source = dense_index(df, file_order(df, order_by), number_name, start=HEADER_ROWS)
+        source = dense_index(df, file_order(df, order_by), number_name, start=HEADER_ROWS, ties=tie_names(df, order_by))
     errors_name = free_name("errors", df.columns)
     found = F.array(*[F.when(fails, message) for fails, message in checks]) if checks else F.array().cast("array<string>")
     checked = source.select("*", F.array_compact(found).alias(errors_name))

@@ -17,7 +17,7 @@ from ..session import setting, written
 
 POSITION = "_position"
 GROUP_ROWS = 5_000_000          # a group up to this size is handled by one task; larger ones are sliced
-_PLACE, _SLICE, _OFFSET = "__place", "__slice", "__offset"
+_PLACE, _SLICE, _OFFSET, _ROW = "__place", "__slice", "__offset", "__row"
 _BITS = 33                      # monotonically_increasing_id: partition above, row in partition below
 
 
@@ -66,16 +66,32 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return counts.agg(F.max("__n")).first()[0] or 0
 
 
+def group_limit(df: DataFrame) -> int:
+    return setting(df.sparkSession, "groupRows", GROUP_ROWS)
+
+
 def fits_one_task(df: DataFrame, keys: list[str]) -> bool:
-    return largest_group(df, keys) <= setting(df.sparkSession, "groupRows", GROUP_ROWS)
+    return largest_group(df, keys) <= group_limit(df)
+
+
+def tie_names(df: DataFrame, order_by=None) -> list[str]:
+    """The columns whose equal values could pile up in one slice: none for the position, which is unique."""
+    names = order_names(df, order_by)
+    return [] if names == [POSITION] else names
+
 
+def _slices(df: DataFrame, order: list[Column], ties: list[str] | None = None) -> DataFrame:
+    """The table range-sorted and written, with the slice and the place in it of every row.
 
-def _slices(df: DataFrame, order: list[Column]) -> DataFrame:
-    """The table range-sorted and written, with the slice and the place in it of every row."""
+    Rows that sort alike fall into one slice. If more rows share the values of `ties` than one task should hold, they
+    may be copies that no column tells apart; the table is then written first, and its row positions split them."""
+    if ties and largest_group(df, ties) > group_limit(df):
+        df = with_position(written(df), _ROW)
+        order = [*order, F.col(_ROW)]
     placed = written(df.orderBy(*order).withColumn(_PLACE, F.monotonically_increasing_id()))
     place = F.col(_PLACE)
     return placed.withColumn(_SLICE, F.shiftright(place, _BITS)) \
-        .withColumn(_OFFSET, place.bitwiseAND(F.lit((1 << _BITS) - 1))).drop(_PLACE)
+        .withColumn(_OFFSET, place.bitwiseAND(F.lit((1 << _BITS) - 1))).drop(_PLACE, _ROW)
 
 
 def _over_slices():
@@ -83,9 +99,9 @@ def _over_slices():
     return W.partitionBy(F.lit(0)).orderBy(_SLICE)
 
 
-def dense_index(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
+def dense_index(df: DataFrame, order: list[Column], name: str, start: int = 1, ties: list[str] | None = None) -> DataFrame:
     """Number all rows start, start+1, ... in the given order."""
-    cut = _slices(df, order)
+    cut = _slices(df, order, ties)
     base = cut.groupBy(_SLICE).agg(F.count(F.lit(1)).alias("__n")) \
         .select(_SLICE, F.coalesce(F.sum("__n").over(_over_slices().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     return cut.join(F.broadcast(base), _SLICE) \
@@ -93,15 +109,18 @@ def dense_index(df: DataFrame, order: list[Column], name: str, start: int = 1) -
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], name: str, weight: Column | None = None,
-                presorted_groups_fit: bool | None = None) -> DataFrame:
+                ties: list[str] | None = None, sliced: bool | None = None) -> DataFrame:
     """Sum of `weight` (rows counted when None) from the first row of the group up to each row.
 
-    One ordinary window when the largest group fits a task. Otherwise slices: a group may then span many slices, and
-    only the first group of a slice can have begun earlier, so one carried sum per slice completes the result."""
+    The size of the largest group decides: with groups of one row the number is 1 and nothing is shuffled; groups that
+    fit a task take one ordinary window; beyond that the table is sliced. A group may then span many slices, and only
+    the first group of a slice can have begun earlier, so one carried sum per slice completes the result."""
     if not keys and weight is None:
-        return dense_index(df, order, name)
-    fits = presorted_groups_fit if presorted_groups_fit is not None else bool(keys) and fits_one_task(df, keys)
-    if fits:
+        return dense_index(df, order, name, ties=ties)
+    largest = largest_group(df, keys) if keys and sliced is None else None
+    if largest is not None and largest <= 1 and weight is None:
+        return df.withColumn(name, F.lit(1).cast("bigint"))
+    if sliced is False or (largest is not None and largest <= group_limit(df)):
         window = W.partitionBy(*[col(k) for k in keys]).orderBy(*order)
         if weight is None:
             return df.withColumn(name, F.row_number().over(window).cast("bigint"))
@@ -109,7 +128,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], name: str,
 
     step = free_name("__weight", df.columns)
     group = [col(k) for k in keys]
-    cut = _slices(df.withColumn(step, weight if weight is not None else F.lit(1).cast("bigint")), group + order)
+    cut = _slices(df.withColumn(step, weight if weight is not None else F.lit(1).cast("bigint")), group + order, [*keys, *ties] if ties else None)
     window = W.partitionBy(_SLICE, *group).orderBy(_OFFSET).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = cut.withColumn(name, F.sum(step).over(window))
 
@@ -124,10 +143,11 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], name: str,
         .drop(_SLICE, _OFFSET, "__to", "__carry", step)
 
 
-def carry_values(df: DataFrame, values: dict[str, Column], order: list[Column], forward: bool = True) -> DataFrame:
+def carry_values(df: DataFrame, values: dict[str, Column], order: list[Column], forward: bool = True,
+                 ties: list[str] | None = None) -> DataFrame:
     """Add one column per entry of `values`: the nearest non-NULL value at or before each row (after, if not forward)."""
     sources = {name: free_name(f"__from_{i}", df.columns) for i, name in enumerate(values)}
-    cut = _slices(df.select("*", *[v.alias(sources[n]) for n, v in values.items()]), order)
+    cut = _slices(df.select("*", *[v.alias(sources[n]) for n, v in values.items()]), order, ties)
     window = W.partitionBy(_SLICE).orderBy(_OFFSET)
     if forward:
         window, nearest, edge = window.rowsBetween(W.unboundedPreceding, W.currentRow), F.last, F.max_by
@@ -145,9 +165,9 @@ def carry_values(df: DataFrame, values: dict[str, Column], order: list[Column],
     return joined.drop(_SLICE, _OFFSET, *sources.values(), *[f"{s}_carried" for s in sources.values()])
 
 
-def first_rows(df: DataFrame, order: list[Column], count: int) -> DataFrame:
+def first_rows(df: DataFrame, order: list[Column], count: int, ties: list[str] | None = None) -> DataFrame:
     """The first `count` rows. A short list is a top-k; a long one is numbered, so no task has to hold it."""
     if count <= setting(df.sparkSession, "topRows", 100_000):
         return df.orderBy(*order).limit(count)
     name = free_name("__index", df.columns)
-    return dense_index(df, order, name).filter(F.col(name) <= count).drop(name)
+    return dense_index(df, order, name, ties=ties).filter(F.col(name) <= count).drop(name)

@@ -16,7 +16,7 @@ from ..functions.cells import col, free_name
 from ..session import setting
 from .order import fits_one_task, running_sum
 
-EXACT_VALUES = 500_000          # distinct values the built-in percentile may hold
+EXACT_VALUES = 1_000_000          # distinct values the built-in percentile may hold
 _ACCURACY = 10_000
 
 
@@ -72,13 +72,17 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], ps: list[float]) -
         for i, t in enumerate(wide):
             t.below, t.inside, t.distinct = sizes[f"below{i}"], sizes[f"in{i}"], sizes[f"d{i}"]
 
-    if targets:
+    brackets: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        brackets.setdefault((t.name, t.low, t.high), []).append(t)
+    if brackets:                                 # one buffer of distinct values per bracket serves all its quantiles
         found = df.agg(*[
-            F.percentile(F.when(_inside(values[t.name], t), values[t.name]),
-                         F.lit((t.at - t.below) / (t.inside - 1) if t.inside > 1 else 0.0)).alias(f"q{i}")
-            for i, t in enumerate(targets)]).first()
-        for i, t in enumerate(targets):
-            out[t.name][t.p] = found[i]
+            F.percentile(F.when(_inside(values[ts[0].name], ts[0]), values[ts[0].name]),
+                         [(t.at - t.below) / (t.inside - 1) if t.inside > 1 else 0.0 for t in ts]).alias(f"q{i}")
+            for i, ts in enumerate(brackets.values())]).first()
+        for i, ts in enumerate(brackets.values()):
+            for t, value in zip(ts, found[i]):
+                out[t.name][t.p] = value
     return out
 
 
@@ -93,7 +97,7 @@ def grouped_quantile(df: DataFrame, keys: list[str], value: Column, p: float, na
     if fits_one_task(narrow, keys):
         return narrow.groupBy(*group).agg(F.percentile(value_name, F.lit(p)).alias(name))
     counted = narrow.groupBy(*group, value_name).agg(F.count(F.lit(1)).alias("__n"))
-    summed = running_sum(counted, keys, [F.col(value_name)], "__upto", F.col("__n"), presorted_groups_fit=False)
+    summed = running_sum(counted, keys, [F.col(value_name)], "__upto", F.col("__n"), sliced=True)
     totals = counted.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.sum("__n").alias("__total"))
     match = None
     for i, k in enumerate(keys):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import TableError, canonical_text, col, filled, free_name, is_text, require_columns, strip, type_of
-from ..plans.order import dense_index, file_order, order_value
+from ..plans.order import dense_index, file_order, order_value, tie_names
 from ..session import setting
 
 VERSION = "0.1"
@@ -53,7 +53,7 @@ def split_by_rows(df: DataFrame, rows: int = CHUNK_ROWS, order_by=None, name: st
     if not 1 <= rows <= MOST_CHUNK_ROWS:
         raise TableError(f"a file holds 1 to {MOST_CHUNK_ROWS:,} rows")
     name, index = free_name(name, df.columns), free_name("__index", df.columns)
-    numbered = dense_index(df, file_order(df, order_by), index, start=0)
+    numbered = dense_index(df, file_order(df, order_by), index, start=0, ties=tie_names(df, order_by))
     return numbered.withColumn(name, F.floor(F.col(index) / F.lit(rows)) + 1).drop(index)
 
 
