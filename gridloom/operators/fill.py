@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.cells import (TableError, col, filled, free_name, is_blank, is_number, is_text, number_of, plain_number,
                                require_columns, type_of)
-from ..plans.order import carry_values, file_order, order_value, tie_names
+from ..plans.order import carry_values, file_order, first_place, tie_names
 from ..plans.quantiles import exact_quantiles
 from .result import Result
 
@@ -56,9 +56,9 @@ def _computed(df: DataFrame, columns: list[str], method: str) -> dict[str, Colum
 def _most_common(df: DataFrame, name: str, order_by) -> Column:
     """The most frequent value; among equals the one that comes first in the file."""
     cell = filled(col(name), type_of(df, name))
-    counts = df.select(cell.alias("v"), order_value(df, order_by).alias("at")).filter("v is not null") \
+    counts = df.select(cell.alias("v"), first_place(df, order_by).alias("at")).filter("v is not null") \
         .groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    best = counts.orderBy(F.desc("n"), F.asc("at")).limit(1).select("v").first()
+    best = counts.orderBy(F.desc("n"), F.asc("at"), F.asc("v")).limit(1).select("v").first()
     return F.lit(best.v if best else None).cast(type_of(df, name))
 
 

@@ -1,6 +1,7 @@
 """Minimal keys: the smallest column combinations that identify every row."""
 from __future__ import annotations
 
+import functools
 import time
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -15,6 +16,8 @@ from .dedupe import distinct_rows, exact_copies
 
 SCREENS = (2_000, 50_000, 5_000_000)        # rows looked at before a candidate is tried on the whole table
 BATCH = 200                                 # candidates screened by one job
+TOGETHER = 8                                # candidates confirmed on all rows by one job
+SHARES = 64                                 # parts of the key space, one of which is looked at on large tables
 
 
 @dataclass
@@ -42,18 +45,32 @@ def _repeats(df: DataFrame, candidates: list[tuple[str, ...]]) -> set[tuple[str,
     return found
 
 
-def _is_unique(df: DataFrame, columns: tuple[str, ...]) -> bool:
-    """Decided on the values of all rows, not on fingerprints."""
-    groups = df.groupBy(*[present(col(n), type_of(df, n)).alias(f"k{i}") for i, n in enumerate(columns)]).agg(F.count(F.lit(1)).alias("n"))
-    return groups.filter("n > 1").limit(1).isEmpty()
+def _repeats_in_share(df: DataFrame, candidates: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """The candidates with a repeat among the rows whose fingerprint falls into one of SHARES parts of the key space.
+
+    All copies of a key fall into the same part, so a small part of the table shows repeats that a sample of rows would
+    miss. One scan serves all candidates, and only about one in SHARES fingerprints is shuffled."""
+    prints = F.array(*[F.struct(F.lit(i).alias("i"), _fingerprint(df, c).alias("f")) for i, c in enumerate(candidates)])
+    chosen = F.filter(prints, lambda p: F.pmod(p["f"]["col1"], F.lit(SHARES)) == 0)
+    groups = df.select(F.explode(chosen).alias("p")).groupBy("p.i", "p.f").agg(F.count(F.lit(1)).alias("n"))
+    return {candidates[r.i] for r in groups.filter("n > 1").select("i").distinct().collect()}
+
+
+def _repeated(df: DataFrame, candidates: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """The candidates that repeat anywhere, decided on the values of all rows. They are tried side by side in one job."""
+    parts = []
+    for i, columns in enumerate(candidates):
+        groups = df.groupBy(*[present(col(n), type_of(df, n)).alias(f"k{j}") for j, n in enumerate(columns)]).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(groups.filter("n > 1").limit(1).select(F.lit(i).alias("i")))
+    return {candidates[r.i] for r in functools.reduce(DataFrame.unionByName, parts).collect()}
 
 
 def find_minimal_keys(df: DataFrame, columns: list[str] | None = None, max_size: int = 5, max_keys: int = 10,
                       max_candidates: int = 20_000, seconds: float | None = 30, screens=SCREENS) -> KeySearch:
     """Level by level, only combinations whose smaller parts are all non-unique. Missing equals missing.
 
-    Rows can only show that a combination is no key, so growing samples of the table rule most of them out; what is
-    left is confirmed on all rows. `truncated` says that the search stopped at a limit: a key not found may exist."""
+    Rows can only show that a combination is no key, so growing samples of the table, then a part of the key space, rule
+    most of them out; what is left is confirmed on all rows. `truncated` says that the search stopped at a limit: a key not found may exist."""
     columns = list(dict.fromkeys(columns or df.columns))
     require_columns(df, columns)
     deadline = time.monotonic() + seconds if seconds else None
@@ -93,21 +110,24 @@ def find_minimal_keys(df: DataFrame, columns: list[str] | None = None, max_size:
                 alive = [c for c in batch if c not in non_unique]
                 if alive:
                     non_unique |= _repeats(sample, alive)
-            for c in batch:
-                if c in non_unique:
-                    continue
+            alive = [c for c in batch if c not in non_unique]
+            if alive and rows > max(screens, default=0):
+                non_unique |= _repeats_in_share(df, alive)
+                alive = [c for c in alive if c not in non_unique]
+            for first in range(0, len(alive), TOGETHER):
                 if len(search.keys) >= max_keys:
                     break
                 if late():
                     search.truncated, search.reason = True, f"time budget of {seconds} seconds reached"
                     break
-                if _is_unique(df, c):
-                    search.keys.append(list(c))
-                else:
-                    non_unique.add(c)
+                together = alive[first:first + TOGETHER]
+                repeated = _repeated(df, together)
+                non_unique |= repeated
+                search.keys += [list(c) for c in together if c not in repeated]
         parts = {tuple(sorted(c)) for c in non_unique}
         if not parts or len(search.keys) >= max_keys or search.truncated:
             break
+    del search.keys[max_keys:]
     return search
 
 

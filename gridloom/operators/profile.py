@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 
 from ..functions.cells import (MONTHS, TableError, col, date_order, is_missing, is_number, is_text, is_time,
                                number_of, plain_number, strip, text_of, type_of, written_date)
-from ..plans.order import order_value
+from ..plans.order import file_order, order_value
 from ..plans.quantiles import exact_quantiles
-from ..plans.values import long_cells, value_counts
+from ..plans.values import long_cells, unique_counts, value_counts
 from ..session import written
 from .dedupe import exact_copies
 
@@ -47,7 +47,8 @@ def infer_types(df: DataFrame) -> DataFrame:
 def profile_columns(df: DataFrame, counts: DataFrame | None = None, approximate: bool = False) -> DataFrame:
     """column, type, non_null, null_count, null_percentage, unique_count (missing values left out).
 
-    Distinct values come from the value-count table, or from one pass of sketches when `approximate`."""
+    Distinct values are counted column by column (from the value-count table if given), or sketched in one pass when
+    `approximate`."""
     names = list(df.columns)
     there = [~is_missing(col(n), type_of(df, n)) for n in names]
     aggregates = [F.count(F.lit(1)).alias("rows")] + [F.count_if(t).alias(f"n{i}") for i, t in enumerate(there)]
@@ -61,8 +62,10 @@ def profile_columns(df: DataFrame, counts: DataFrame | None = None, approximate:
         (F.col(f"u{i}") if approximate else F.lit(None).cast("bigint")).alias("unique_count")) for i, n in enumerate(names)])).alias("p")).select("p.*")
     if approximate:
         return basics.drop("place")
-    counts = counts if counts is not None else value_counts(df, names, first_seen=False)
-    unique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("__unique"))
+    if counts is None:
+        unique = unique_counts(df, names).withColumnRenamed("unique", "__unique")
+    else:
+        unique = counts.groupBy("column").agg(F.count(F.lit(1)).alias("__unique"))
     return basics.drop("unique_count").join(unique, "column", "left") \
         .select("column", "type", "non_null", "null_count", "null_percentage", F.coalesce("__unique", F.lit(0)).alias("unique_count"))
 
@@ -112,7 +115,7 @@ def top_values(df: DataFrame, columns: list[str] | None = None, order_by=None, c
     `row_number() <= 10` is applied to each task's share before the shuffle, so a column with many values stays small."""
     columns = columns or [n for n in df.columns if is_text(type_of(df, n))]
     counts = counts if counts is not None else value_counts(df, columns, order_by)
-    window = W.partitionBy("column").orderBy(F.desc("n"), F.asc("at"))
+    window = W.partitionBy("column").orderBy(F.desc("n"), F.asc("at"), F.asc("value"))
     return counts.filter(F.col("column").isin(columns)).withColumn("rank", F.row_number().over(window)) \
         .filter(F.col("rank") <= TOP_VALUES).select("column", "value", F.col("n").alias("count"), "rank")
 
@@ -201,12 +204,26 @@ def _in_format(text: Column, date_format: str) -> Column:
 
 
 def first_values(df: DataFrame, columns: list[str], rows: int | None, order_by=None) -> DataFrame:
-    """(column, value, at): the first `rows` filled cells of each column in file order, or all of them."""
-    cells = long_cells(df, columns, order_value(df, order_by)).filter(F.col("value").isNotNull())
+    """(column, value, at): the first `rows` filled cells of each column in file order, or all of them.
+
+    Ten times as many rows from the head of the table are enough for most columns. A column with too few filled cells
+    there gets a top-k of its own over the whole table, so no column is cut short."""
     if rows is None:
-        return cells
-    window = W.partitionBy("column").orderBy("at")
-    return cells.withColumn("__nth", F.row_number().over(window)).filter(F.col("__nth") <= rows).drop("__nth")
+        return long_cells(df, columns, order_value(df, order_by)).filter(F.col("value").isNotNull())
+    size = 10 * rows
+    head = written(df.orderBy(*file_order(df, order_by)).limit(size))
+    seen = head.agg(F.count(F.lit(1)).alias("rows"), *[F.count(text_of(head, n)).alias(f"n{i}") for i, n in enumerate(columns)]).first()
+    short = [n for i, n in enumerate(columns) if seen.rows == size and seen[f"n{i}"] < rows]
+    parts = []
+    ready = [n for n in columns if n not in short]
+    if ready:
+        cells = long_cells(head, ready, order_value(head, order_by)).filter(F.col("value").isNotNull())
+        window = W.partitionBy("column").orderBy("at")
+        parts.append(cells.withColumn("__nth", F.row_number().over(window)).filter(F.col("__nth") <= rows).drop("__nth"))
+    for n in short:
+        filled_cells = df.select(F.lit(n).alias("column"), text_of(df, n).alias("value"), order_value(df, order_by).alias("at"))
+        parts.append(filled_cells.filter(F.col("value").isNotNull()).orderBy("at").limit(rows))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def semantic_types(df: DataFrame, columns: list[str] | None = None, sample_rows: int | None = SAMPLE_ROWS, order_by=None,

@@ -60,6 +60,16 @@ def order_value(df: DataFrame, order_by=None) -> Column:
     return F.struct(*file_order(df, order_by))
 
 
+def first_place(df: DataFrame, order_by=None) -> Column:
+    """Where a row stands, for the first row of a group of equal values.
+
+    One plain order column is used as it is: `min` of a plain value is a hash aggregate, `min` of a struct sorts first."""
+    names = order_names(df, order_by)
+    if len(names) == 1 and isinstance(df.schema[names[0]].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return col(names[0])
+    return order_value(df, order_by)
+
+
 def largest_group(df: DataFrame, keys: list[str]) -> int:
     """Rows of the largest group. Reads the key columns only, and combines before the shuffle."""
     counts = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
