@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 # Fixed value: the characters that count as white space, the no-break and wide spaces included.
 SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"       # the same as a pattern
+SPACE = r"\s\x1c-\x1f"              # the same inside a character class of a (?U) pattern
 
 # Month names as they appear in written dates.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
@@ -134,8 +134,8 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Runs of white space as one space; single plain spaces are left where they are."""
-    return F.regexp_replace(c, f"{SPACE}{{2,}}|[{SPACE}&&[^ ]]", " ")
+    """Runs of white space as one space."""
+    return F.regexp_replace(c, f"(?U)[{SPACE}]+", " ")
 
 
 def loose_text(c: Column, dtype: T.DataType) -> Column:

@@ -35,7 +35,7 @@ def remove_accents(c: Column) -> Column:
 
 
 def remove_punctuation(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[^\p{{L}}\p{{N}}_{SPACE[1:-1]}]", "")
+    return F.regexp_replace(c, rf"(?U)[^\p{{L}}\p{{N}}_{SPACE}]", "")
 
 
 def title_case(c: Column) -> Column:

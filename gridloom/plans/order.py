@@ -17,6 +17,7 @@ from ..session import setting, written
 
 POSITION = "_position"
 GROUP_ROWS = 5_000_000          # a group up to this size is handled by one task; larger ones are sliced
+TOP_ROWS = 10_000               # a longer head of the table is numbered instead of gathered in one task
 _PLACE, _SLICE, _OFFSET, _ROW = "__place", "__slice", "__offset", "__row"
 _BITS = 33                      # monotonically_increasing_id: partition above, row in partition below
 
@@ -177,7 +178,7 @@ def carry_values(df: DataFrame, values: dict[str, Column], order: list[Column],
 
 def first_rows(df: DataFrame, order: list[Column], count: int, ties: list[str] | None = None) -> DataFrame:
     """The first `count` rows. A short list is a top-k; a long one is numbered, so no task has to hold it."""
-    if count <= setting(df.sparkSession, "topRows", 100_000):
+    if count <= setting(df.sparkSession, "topRows", TOP_ROWS):
         return df.orderBy(*order).limit(count)
     name = free_name("__index", df.columns)
     return dense_index(df, order, name, ties=ties).filter(F.col(name) <= count).drop(name)

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_used: list[str] = []
+
 SETTINGS = {
     "spark.sql.caseSensitive": "true",                      # `Amount` and `amount` are two columns
     "spark.sql.session.timeZone": "UTC",
@@ -40,12 +42,29 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, suffix: str = "") -> str:
+    """A new path in the shared folder; `release_scratch` deletes what this session put there."""
+    path = f"{scratch_folder(spark).rstrip('/')}/gridloom-{uuid.uuid4().hex}{suffix}"
+    _used.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this session, once the results that read them are written. Returns how many."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while _used:
+        path = jvm.org.apache.hadoop.fs.Path(_used.pop())
+        removed += bool(path.getFileSystem(conf).delete(path, True))
+    return removed
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back.
 
     Cuts the lineage where later steps must all see the same rows in the same places, survives lost executors, and
     gives the optimizer the table's real size, so it broadcasts the table only when that is small."""
-    path = f"{scratch_folder(df.sparkSession).rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -17,6 +17,7 @@ VERSION = "0.1"
 CHUNK_ROWS = 40_000
 MOST_CHUNK_ROWS = 1_000_000
 MOST_SPLIT_VALUES = 500
+MOST_TASKS = 20_000
 SECRET_NAME = re.compile(r"pass(word)?|secret|token|api[_-]?key|credential", re.I)     # fixed value
 _RISKY = r"^[=+\-@\t\r]"
 
@@ -58,11 +59,13 @@ def split_by_rows(df: DataFrame, rows: int = CHUNK_ROWS, order_by=None, name: st
 
 
 def write_split_by_rows(df: DataFrame, path: str, rows: int = CHUNK_ROWS, order_by=None, file_format: str = "parquet") -> None:
-    """One folder `part=i` per chunk. A chunk is bounded, so each is written by one task, in order."""
+    """One folder `part=i` per chunk. A chunk is bounded, so each is written by one task, in order, and there are as many
+    tasks as chunks (up to MOST_TASKS)."""
     part = free_name("part", df.columns)
     chunks = split_by_rows(df, rows, order_by, part)
     order = file_order(df, order_by)
-    chunks.repartition(col(part)).sortWithinPartitions(col(part), *order).write.partitionBy(part).format(file_format).save(path)
+    last = chunks.agg(F.max(part)).first()[0] or 1
+    chunks.repartition(min(last, MOST_TASKS), col(part)).sortWithinPartitions(col(part), *order).write.partitionBy(part).format(file_format).save(path)
 
 
 def split_labels(df: DataFrame, column: str, order_by=None) -> DataFrame:

@@ -16,7 +16,7 @@ from .functions.cells import col
 from .operators import (anonymize, cleaning, columns, compare, dedupe, fill, filters, group, joins, keys, pivot, profile,
                         readiness, reshape, sorting, types, validate)
 from .plans import recipes
-from .session import scratch_folder, written
+from .session import scratch_path
 from .sources import readers, sinks
 from .streaming import rows as stream
 
@@ -850,8 +850,7 @@ def split_by_value(spark, sf):
 
 def _saved_csv(spark, sf) -> str:
     """Orders written as CSV in the shared folder, with a text column that looks like a number."""
-    import uuid
-    path = f"{scratch_folder(spark)}/gridloom-{uuid.uuid4().hex}.csv"
+    path = scratch_path(spark, ".csv")
     sinks.write_csv(table(spark, sf, "orders").select("o_orderkey", F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("code"), "o_totalprice",
                                                       F.when(F.col("o_orderkey") % 2 == 0, "NA").alias("note"), "o_orderpriority"), path, delimiter=";")
     return path
@@ -873,8 +872,7 @@ def csv_inferred(spark, sf):
 
 @query("""SELECT c_custkey, c_name, upper(c_mktsegment) AS c_mktsegment FROM customer WHERE c_acctbal >= 100""")
 def stream_row_operators(spark, sf):
-    import uuid
-    base = f"{scratch_folder(spark)}/gridloom-{uuid.uuid4().hex}"
+    base = scratch_path(spark)
     schema = table(spark, sf, "customer").schema
 
     def step(df):

@@ -251,6 +251,15 @@ def test_log(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "t.log")).first().rows_out == 6
 
 
+def test_scratch_tables_go_when_released(spark, tmp_path):
+    from gridloom.session import release_scratch, written
+    release_scratch(spark)
+    table = written(spark.range(5))
+    assert table.count() == 5 and release_scratch(spark) == 1
+    with pytest.raises(Exception):
+        table.count()
+
+
 def test_synthetic_table(spark):
     one, two = synthetic.synthetic_table(spark, 2000), synthetic.synthetic_table(spark, 2000).repartition(3)
     assert one.count() == 2000 and len(one.columns) == 15 and one.exceptAll(two).isEmpty()
