@@ -6,7 +6,9 @@ import time
 from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import TableError, canonical_text, col, free_name, is_missing, present, require_columns, type_of
@@ -14,8 +16,10 @@ from ..plans.order import file_order, running_sum, tie_names
 from ..session import written
 from .dedupe import distinct_rows, exact_copies
 
-SCREENS = (2_000, 50_000, 5_000_000)        # rows looked at before a candidate is tried on the whole table
-BATCH = 200                                 # candidates screened by one job
+SAMPLE = 50_000                             # rows of the first screen, small enough to be sent to every task
+SCREEN = 5_000_000                          # rows of the second screen
+WAVE = 4_000                                # candidates tried on the sample by one job
+BATCH = 200                                 # candidates tried on the second screen by one job
 TOGETHER = 8                                # candidates confirmed on all rows by one job
 SHARES = 64                                 # parts of the key space, one of which is looked at on large tables
 
@@ -27,33 +31,59 @@ class KeySearch:
     reason: str = ""
 
 
-def _fingerprint(df: DataFrame, columns: tuple[str, ...]) -> Column:
-    """128 bits of the cells of a row, so that a missing cell keeps its place among the others."""
-    cells = [x for n in columns for x in (present(col(n), type_of(df, n)), is_missing(col(n), type_of(df, n)))]
-    return F.struct(F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells))
+def _hashed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Two arrays `a` and `b` with a 64-bit hash per column, seeded with the column and true to missing cells.
 
+    The fingerprint of a combination is the exclusive or of its columns' hashes, so a row is hashed once, however many
+    combinations are tried on it."""
+    def hashes(seed: int) -> Column:
+        return F.array(*[F.xxhash64(F.lit(2 * i + seed), is_missing(col(n), type_of(df, n)), present(col(n), type_of(df, n)))
+                         for i, n in enumerate(columns)])
+    return df.select(hashes(0).alias("a"), hashes(1).alias("b"))
 
-def _repeats(df: DataFrame, candidates: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
-    """The candidates with a repeat in `df`, found for all of them by one aggregate."""
-    found: set[tuple[str, ...]] = set()
-    for start in range(0, len(candidates), BATCH):
-        batch = candidates[start:start + BATCH]
-        prints = F.array(*[F.struct(F.lit(i).alias("i"), _fingerprint(df, c).alias("f")) for i, c in enumerate(batch)])
-        groups = df.select(F.explode(prints).alias("p")).groupBy("p.i", "p.f").agg(F.count(F.lit(1)).alias("n"))
-        repeated = groups.filter("n > 1").select("i").distinct().collect()      # at most BATCH rows
-        found |= {batch[r.i] for r in repeated}
-    return found
 
+def _repeats(hashed: DataFrame, columns: list[str], candidates: list[tuple[str, ...]], shares: int = 1) -> set[tuple[str, ...]]:
+    """The candidates with a repeat, found for all of them by one aggregate.
 
-def _repeats_in_share(df: DataFrame, candidates: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
-    """The candidates with a repeat among the rows whose fingerprint falls into one of SHARES parts of the key space.
+    With `shares`, only fingerprints in one of that many parts of the key space are looked at. All copies of a key fall
+    into the same part, so it shows repeats that a sample of rows would miss, while little is shuffled."""
+    place = {n: i for i, n in enumerate(columns)}
+    tried = F.lit([[place[n] for n in c] for c in candidates])
 
-    All copies of a key fall into the same part, so a small part of the table shows repeats that a sample of rows would
-    miss. One scan serves all candidates, and only about one in SHARES fingerprints is shuffled."""
-    prints = F.array(*[F.struct(F.lit(i).alias("i"), _fingerprint(df, c).alias("f")) for i, c in enumerate(candidates)])
-    chosen = F.filter(prints, lambda p: F.pmod(p["f"]["col1"], F.lit(SHARES)) == 0)
-    groups = df.select(F.explode(chosen).alias("p")).groupBy("p.i", "p.f").agg(F.count(F.lit(1)).alias("n"))
-    return {candidates[r.i] for r in groups.filter("n > 1").select("i").distinct().collect()}
+    def mixed(hashes: Column, places: Column) -> Column:
+        return F.aggregate(places, F.lit(0).cast("bigint"), lambda total, j: total.bitwiseXOR(F.get(hashes, j)))
+    prints = F.transform(tried, lambda c, i: F.struct(i.alias("i"), mixed(F.col("a"), c).alias("a"), mixed(F.col("b"), c).alias("b")))
+    if shares > 1:
+        prints = F.filter(prints, lambda p: F.pmod(p["a"], F.lit(shares)) == 0)
+    groups = hashed.select(F.explode(prints).alias("p")).groupBy("p.i", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    return {candidates[r.i] for r in groups.filter("n > 1").select("i").distinct().collect()}       # at most BATCH rows
+
+
+def _sample_hashes(df: DataFrame, columns: list[str], rows: int):
+    """The hashes of the first `rows` rows (SAMPLE at most) as two arrays, one line per column, sent to every executor."""
+    collected = _hashed(df.limit(min(rows, SAMPLE)), columns).toPandas()
+    matrices = tuple(np.array(collected[x].tolist(), dtype="int64").reshape(len(collected), len(columns)).T.copy() for x in ("a", "b"))
+    return df.sparkSession.sparkContext.broadcast(matrices)
+
+
+def _repeats_in_sample(spark: SparkSession, sample, columns: list[str], candidates: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """The candidates with a repeat in the sample. The candidates are spread over tasks; each sorts the sample's fingerprints."""
+    place = {n: i for i, n in enumerate(columns)}
+    listed = spark.createDataFrame([(i, [place[n] for n in c]) for i, c in enumerate(candidates)], "i int, places array<int>")
+
+    def check(batches):
+        a, b = sample.value
+        for batch in batches:
+            found = []
+            for i, places in zip(batch["i"], batch["places"]):
+                first, second = np.bitwise_xor.reduce(a[places]), np.bitwise_xor.reduce(b[places])
+                order = np.lexsort((second, first))
+                first, second = first[order], second[order]
+                if ((first[1:] == first[:-1]) & (second[1:] == second[:-1])).any():
+                    found.append(i)
+            yield pd.DataFrame({"i": found}, dtype="int32")
+    spread = listed.repartition(spark.sparkContext.defaultParallelism)
+    return {candidates[r.i] for r in spread.mapInPandas(check, "i int").collect()}
 
 
 def _repeated(df: DataFrame, candidates: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
@@ -66,11 +96,11 @@ def _repeated(df: DataFrame, candidates: list[tuple[str, ...]]) -> set[tuple[str
 
 
 def find_minimal_keys(df: DataFrame, columns: list[str] | None = None, max_size: int = 5, max_keys: int = 10,
-                      max_candidates: int = 20_000, seconds: float | None = 30, screens=SCREENS) -> KeySearch:
+                      max_candidates: int = 20_000, seconds: float | None = 30, sample_rows: int = SAMPLE, screen_rows: int = SCREEN) -> KeySearch:
     """Level by level, only combinations whose smaller parts are all non-unique. Missing equals missing.
 
-    Rows can only show that a combination is no key, so growing samples of the table, then a part of the key space, rule
-    most of them out; what is left is confirmed on all rows. `truncated` says that the search stopped at a limit: a key not found may exist."""
+    Rows can only show that a combination is no key, so a sample of the table, a larger sample, and then a part of the
+    key space rule most of them out; what is left is confirmed on all rows. `truncated` says that the search stopped at a limit: a key not found may exist."""
     columns = list(dict.fromkeys(columns or df.columns))
     require_columns(df, columns)
     deadline = time.monotonic() + seconds if seconds else None
@@ -83,7 +113,8 @@ def find_minimal_keys(df: DataFrame, columns: list[str] | None = None, max_size:
     constant = lambda i: seen[f"n{i}"] == 0 or (seen[f"n{i}"] == rows and seen[f"a{i}"] == seen[f"b{i}"])
     usable = [n for i, n in enumerate(columns) if rows <= 1 or not constant(i)]
     spread = df.sparkSession.sparkContext.defaultParallelism
-    samples = [written(df.limit(size).repartition(spread)) for size in screens if size < rows]
+    sample = _sample_hashes(df, usable, sample_rows) if usable else None
+    screen = written(_hashed(df.limit(screen_rows).repartition(spread), usable)) if screen_rows < rows else None
     search, tested = KeySearch(), 0
     if rows <= 1:
         search.keys = [[n] for n in usable][:max_keys]
@@ -101,29 +132,30 @@ def find_minimal_keys(df: DataFrame, columns: list[str] | None = None, max_size:
                 candidates.append(c)
         tested += len(candidates)
         non_unique: set[tuple[str, ...]] = set()
-        for start in range(0, len(candidates), BATCH):
+        for start in range(0, len(candidates), WAVE):
             if late():
-                search.truncated, search.reason = True, f"time budget of {seconds} seconds reached"
                 break
-            batch = candidates[start:start + BATCH]
-            for sample in samples:
-                alive = [c for c in batch if c not in non_unique]
-                if alive:
-                    non_unique |= _repeats(sample, alive)
-            alive = [c for c in batch if c not in non_unique]
-            if alive and rows > max(screens, default=0):
-                non_unique |= _repeats_in_share(df, alive)
-                alive = [c for c in alive if c not in non_unique]
+            non_unique |= _repeats_in_sample(df.sparkSession, sample, usable, candidates[start:start + WAVE])
+        left = [c for c in candidates if c not in non_unique]
+        for start in range(0, len(left), BATCH):
+            alive = left[start:start + BATCH]
+            if screen is not None and not late():
+                found = _repeats(screen, usable, alive)
+                alive = [c for c in alive if c not in found]
+                if alive and not late():
+                    shared = _repeats(_hashed(df, usable), usable, alive, SHARES)
+                    found |= shared
+                    alive = [c for c in alive if c not in shared]
+                non_unique |= found
             for first in range(0, len(alive), TOGETHER):
-                if len(search.keys) >= max_keys:
-                    break
-                if late():
-                    search.truncated, search.reason = True, f"time budget of {seconds} seconds reached"
+                if len(search.keys) >= max_keys or late():
                     break
                 together = alive[first:first + TOGETHER]
                 repeated = _repeated(df, together)
                 non_unique |= repeated
                 search.keys += [list(c) for c in together if c not in repeated]
+        if late():
+            search.truncated, search.reason = True, f"time budget of {seconds} seconds reached"
         parts = {tuple(sorted(c)) for c in non_unique}
         if not parts or len(search.keys) >= max_keys or search.truncated:
             break

@@ -81,8 +81,9 @@ def test_minimal_keys_against_brute_force(spark, seed):
     names = [f"c{i}" for i in range(width)]
     data = [tuple(rng.choice([None, *range(rng.choice([2, 4, 9]))]) for _ in names) for _ in range(rows)]
     df = spark.createDataFrame(data, ", ".join(f"{n} int" for n in names))
-    found = keys.find_minimal_keys(df, seconds=None, screens=(3,))
-    assert {tuple(sorted(k)) for k in found.keys} == brute_keys(data, names) and not found.truncated
+    for sizes in ({}, {"sample_rows": 2, "screen_rows": 3}):
+        found = keys.find_minimal_keys(df, seconds=None, **sizes)
+        assert {tuple(sorted(k)) for k in found.keys} == brute_keys(data, names) and not found.truncated
 
 
 def test_key_honesty_and_limits(spark):
