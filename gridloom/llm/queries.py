@@ -1,7 +1,7 @@
 """The registered queries of this folder, with their SQL where SQL can say the same."""
 from __future__ import annotations
 
-from . import near_dup, quality
+from . import near_dup, packing, quality
 
-QUERIES = {f.__name__: f for f in (quality.op5_quality_rules, near_dup.op10_minhash_near_dup)}
+QUERIES = {f.__name__: f for f in (quality.op5_quality_rules, packing.op7_best_fit_packing, near_dup.op10_minhash_near_dup)}
 ORACLES: dict[str, str] = {}
