@@ -176,6 +176,8 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     spark = pieces.sparkSession
     held = spark.sparkContext.broadcast((starts, table_of))             # at most 2048 patterns of at most 63 different lengths
 
+    columns = list(pieces.columns)
+
     def place(batches):
         starts, at = held.value
         for batch in batches:
@@ -183,7 +185,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
             i = np.searchsorted(starts, n * shift + rank, "right") - 1
             k = rank - at[i, 1]
             new = {"sequence_id": at[i, 2] + k // at[i, 3], "offset": at[i, 4] + k % at[i, 3] * n}
-            yield pa.RecordBatch.from_arrays([batch.column(c) if c in pieces.columns else pa.array(new[c], pa.int64()) for c in [*pieces.columns, *new]], names=[*pieces.columns, *new])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, columns), *(pa.array(v, pa.int64()) for v in new.values())], names=[*columns, *new])
     schema = fields(*[f"{f.name}:{f.dataType.simpleString()}" for f in pieces.schema], "sequence_id:bigint", "offset:bigint")
     return ranked.select(*pieces.columns, "rank").mapInArrow(place, schema)
 
