@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -81,3 +82,27 @@ def fixed_binary(rows) -> pa.Array:
     """A 2-D array of numbers as one binary value a row."""
     width = rows.shape[1] * rows.itemsize
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
+ID_BITS = 1 << 24           # bits of an id filter: 2 MB whatever the number of ids
+
+
+def id_place(column: str):
+    """The place of a bigint id in an id filter."""
+    return F.pmod(F.xxhash64(column), F.lit(ID_BITS))
+
+
+def id_filter(ids: DataFrame, column: str):
+    """A broadcast bitmap of fixed size of the places of ids. It lets through all of them and some others, so it only
+    spares work: what passes is still joined. Built on the executors; one row for each 32,768 places reaches the driver."""
+    place = id_place(column) + 1                        # counted from 1: bucket k holds places 32768 * (k - 1) and on
+    rows = (ids.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(place).alias("k"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect())
+    bits = np.zeros((ID_BITS // 32768, 4096), np.uint8)
+    for r in rows:
+        bits[r["k"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bits.ravel())
+
+
+def maybe_in(held, places: np.ndarray) -> np.ndarray:
+    return (held.value[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)

@@ -6,7 +6,7 @@ smallest of exponentially distributed values of the shingles (hash i), truncated
 sets that agree in a band become candidates. How similar two candidates are is estimated by the likelihood of J given
 how many registers are larger, smaller and equal; what may reach the threshold is confirmed on the full sets.
 
-Candidates of a band are not paired with each other. Each goes to the smallest member of its band, the hub. A set that
+Candidates of a band are not paired with each other. Each goes to one member of its band, the hub. A set that
 is no link of its hub is then compared with all sets that share this hub, in blocks inside a task, from which only
 links that connect something leave. So two sets that agree in any band are compared unless a hub connects them already,
 and the work of a group whose members match their hub is linear.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from . import words
 from .components import connected
-from .frames import documents, fields, map_pieces, table
+from .frames import documents, fields, id_filter, id_place, map_pieces, maybe_in, table
 
 SHINGLE = 5
 BANDS, DEPTH = 24, 5
@@ -141,15 +141,31 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hub_members(distinct: DataFrame) -> DataFrame:
-    """(hub, fp): for each band of each set that another set shares, the band's smallest set; every pair once. The hub is a member too."""
+    """(hub, fp): for each band of each set that another set shares, the band's hub; every pair once. The hub is a member too.
+
+    The hub is the set that meets most others over all its bands, so an original is rather the hub of its copies than they
+    of each other, and the bands of a group have few hubs."""
     bands = distinct.select("fp", "sketch").mapInArrow(_bands, "band long, fp binary")
-    hubs = bands.groupBy("band").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).where("hub <> last").select("band", "hub")
-    return bands.join(hubs, "band").select("hub", "fp").distinct()
+    several = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(bands.join(several, "band"))
+    met = shared.groupBy("fp").agg(F.sum("n").alias("met"))
+    hubs = shared.select("band", "fp").join(met, "fp").groupBy("band").agg(F.max(F.struct("met", "fp"))["fp"].alias("hub"))
+    return shared.join(hubs, "band").select("hub", "fp").distinct()
 
 
-def _full(piece: pa.RecordBatch) -> dict:
-    sets = shingle_sets(piece.column("text"))
-    return {"fp": [fingerprint(s) for s in sets], "sets": [s.tobytes() for s in sets]}
+def full_sets(docs: DataFrame, involved: DataFrame) -> DataFrame:
+    """fp, sets, sketch of the sets in `involved` (fp, row, sketch), each made again from the document `row`."""
+    passing = id_filter(involved, "row")
+
+    def make(piece: pa.RecordBatch) -> dict | None:
+        piece = piece.filter(pa.array(maybe_in(passing, piece.column("place").to_numpy())))
+        if not piece.num_rows:
+            return None
+        sets = shingle_sets(piece.column("text"))
+        return {"fp": [fingerprint(s) for s in sets], "sets": [s.tobytes() for s in sets]}
+    texts = documents(docs).where("doc_id is not null").select(id_place("doc_id").alias("place"), "text")
+    sets = map_pieces(texts, "text", make, fields("fp:binary", "sets:binary"))
+    return sets.join(involved.select("fp", "sketch"), "fp").dropDuplicates(["fp"])
 
 
 def _as_set(raw: bytes) -> np.ndarray:
@@ -260,10 +276,7 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between sets; enough of them to connect every pair that reaches the threshold and agrees in a band."""
     members = written(hub_members(distinct))
     asked = members.select("fp").distinct()
-    involved = written(distinct.join(asked, "fp", "left_semi"))
-    texts = documents(docs).join(involved.select(F.col("row").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = map_pieces(texts, "text", _full, fields("fp:binary", "sets:binary"))
-    full = written(sets.join(involved.select("fp", "sketch"), "fp").dropDuplicates(["fp"]))
+    full = written(full_sets(docs, written(distinct.join(asked, "fp", "left_semi"))))
     pairs = members.join(full, "fp")
     hub = full.select(F.col("fp").alias("hub"), F.col("sets").alias("hub_set"), F.col("sketch").alias("hub_sketch"))
     stars = written(pairs.withColumnsRenamed({"sets": "member_set", "sketch": "member_sketch"}).where("hub <> fp").join(hub, "hub")
