@@ -88,20 +88,21 @@ ID_BITS = 1 << 24           # bits of an id filter: 2 MB whatever the number of
 
 
 def id_place(column: str):
-    """The place of a bigint id in an id filter."""
+    """The place of a bigint id in an id filter; NULL has one too."""
     return F.pmod(F.xxhash64(column), F.lit(ID_BITS))
 
 
-def id_filter(ids: DataFrame, column: str):
-    """A broadcast bitmap of fixed size of the places of ids. It lets through all of them and some others, so it only
-    spares work: what passes is still joined. Built on the executors; one row for each 32,768 places reaches the driver."""
-    place = id_place(column) + 1                        # counted from 1: bucket k holds places 32768 * (k - 1) and on
-    rows = (ids.where(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(place).alias("k"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect())
-    bits = np.zeros((ID_BITS // 32768, 4096), np.uint8)
+def place_filter(places: DataFrame, bits: int = ID_BITS):
+    """A broadcast bitmap of fixed size of the one column of `places`, numbers from 0 to `bits` - 1.
+
+    Different things can share a place, so it only spares work: what passes is still joined. Built on the executors; one
+    row for each 32,768 places reaches the driver."""
+    place = F.col(places.columns[0]) + 1                # counted from 1: bucket k holds places 32768 * (k - 1) and on
+    rows = places.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    held = np.zeros((bits // 32768, 4096), np.uint8)
     for r in rows:
-        bits[r["k"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(bits.ravel())
+        held[r["k"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return places.sparkSession.sparkContext.broadcast(held.ravel())
 
 
 def maybe_in(held, places: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from . import words
 from .components import connected
-from .frames import documents, fields, id_filter, id_place, map_pieces, maybe_in, table
+from .frames import documents, fields, id_place, map_pieces, maybe_in, place_filter, table
 
 SHINGLE = 5
 BANDS, DEPTH = 24, 5
@@ -155,7 +155,7 @@ def hub_members(distinct: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, involved: DataFrame) -> DataFrame:
     """fp, sets, sketch of the sets in `involved` (fp, row, sketch), each made again from the document `row`."""
-    passing = id_filter(involved, "row")
+    passing = place_filter(involved.select(id_place("row")))
 
     def make(piece: pa.RecordBatch) -> dict | None:
         piece = piece.filter(pa.array(maybe_in(passing, piece.column("place").to_numpy())))

@@ -1,7 +1,8 @@
 """The registered queries of this folder, with their SQL where SQL can say the same."""
 from __future__ import annotations
 
-from . import near_dup, packing, quality
+from . import decontaminate, near_dup, packing, pii, quality, url_filter
 
-QUERIES = {f.__name__: f for f in (quality.op5_quality_rules, packing.op7_best_fit_packing, near_dup.op10_minhash_near_dup)}
+QUERIES = {f.__name__: f for f in (decontaminate.op3_decontamination, pii.op4_pii, quality.op5_quality_rules, url_filter.op6_url_filter, packing.op7_best_fit_packing,
+                                  near_dup.op10_minhash_near_dup)}
 ORACLES: dict[str, str] = {}

@@ -14,6 +14,10 @@ import pyarrow as pa
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+NOT_LETTERS = np.ones(256, bool)                       # ASCII without letters and digits; all else is part of a word
+NOT_LETTERS[128:] = False
+for _a, _b in ((48, 58), (65, 91), (97, 123)):
+    NOT_LETTERS[_a:_b] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -79,9 +83,10 @@ def text_bytes(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return (LOWER[data] if lower else data), bounds - bounds[0]
 
 
-def find_words(column: pa.Array, lower: bool = False) -> Words:
+def find_words(column: pa.Array, lower: bool = False, gaps: np.ndarray = SPACE) -> Words:
+    """`gaps`: the bytes between words."""
     data, bounds = text_bytes(column, lower)
-    gap = SPACE[data]
+    gap = gaps[data]
     first = np.zeros(len(data) + 1, bool)
     first[bounds] = True                                       # a text's first byte begins a word even right after another text
     before = np.concatenate([[True], gap])[:-1] if len(data) else gap
