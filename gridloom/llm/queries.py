@@ -1,8 +1,12 @@
 """The registered queries of this folder, with their SQL where SQL can say the same."""
 from __future__ import annotations
 
-from . import decontaminate, near_dup, packing, pii, quality, url_filter
+import corpus_pipeline
 
-QUERIES = {f.__name__: f for f in (decontaminate.op3_decontamination, pii.op4_pii, quality.op5_quality_rules, url_filter.op6_url_filter, packing.op7_best_fit_packing,
-                                  near_dup.op10_minhash_near_dup)}
-ORACLES: dict[str, str] = {}
+from . import chat, decontaminate, html_text, licenses, near_dup, packing, pii, quality, substring_dedup, url_filter
+
+QUERIES = {f.__name__: f for f in (
+    licenses.op1_license_scan, substring_dedup.op2_substring_dedup, decontaminate.op3_decontamination, pii.op4_pii, quality.op5_quality_rules, url_filter.op6_url_filter,
+    packing.op7_best_fit_packing, html_text.op8_html_extraction, chat.op9_chat_formatting, near_dup.op10_minhash_near_dup)}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
