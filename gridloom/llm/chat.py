@@ -166,7 +166,7 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
         raise ValueError(f"not a turn at {at}")
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _format(batches: Iterator[pa.RecordBatch], part_chars: int) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", "part", "formatted", "loss_mask"]
     types = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
     held, part, size, texts, mask, begun = None, 0, 0, [], [], False
@@ -176,7 +176,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows), types)], names=names)
     for batch in batches:
         for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
-            if begun and (conv != held or size >= PART_CHARS):
+            if begun and (conv != held or size >= part_chars):
                 rows.append((held, part, "".join(texts), mask))
                 part, size, texts, mask = (part + 1 if conv == held else 0), 0, [], []
             held, begun = conv, True
@@ -185,7 +185,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mask.append({"start": size + start, "end": size + end})
             texts.append(turn)
             size += len(turn)
-        if rows and (len(rows) > 500 or sum(len(r[2]) for r in rows) >= PART_CHARS):
+        if rows and (len(rows) > 500 or sum(len(r[2]) for r in rows) >= part_chars):
             yield emit()
             rows = []
     if begun:
@@ -193,10 +193,10 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def formatted(turns: DataFrame) -> DataFrame:
+def formatted(turns: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """conv_id, part, formatted, loss_mask (spans of code points in the part). A conversation's parts follow each other in one partition."""
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(_format, "conv_id long, part int, formatted string, loss_mask array<struct<start:int,end:int>>")
+    return ordered.select("conv_id", "role", "text").mapInArrow(lambda batches: _format(batches, part_chars), "conv_id long, part int, formatted string, loss_mask array<struct<start:int,end:int>>")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,7 @@ ASIDE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising a
     share sharing social related recommended widget pagination pager toolbar login signup search skip""".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 HEADERS = frozenset("header".split())
+LEAVES = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre tr td th tbody thead caption figcaption blockquote address".split())    # no regions of their own
 REGIONS = frozenset("article main".split())
 CLOSES_P = frozenset("""address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre
     section table ul dd dt li""".split())
@@ -58,7 +59,7 @@ class Lines(HTMLParser):
             words = " ".join("".join(self.text).split())
             if words:
                 top = self.stack[-1]
-                self.lines.append((words, self.tags, self.links, top[3], tuple(e[1] for e in self.stack if e[0] not in INLINE)))
+                self.lines.append((words, self.tags, self.links, top[3], tuple(e[1] for e in self.stack if e[0] not in LEAVES)))
             self.text = []
         self.tags = self.links = 0
 

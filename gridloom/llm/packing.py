@@ -3,8 +3,8 @@
 Documents become token ids and an end id; those longer than a sequence are cut into full pieces and a rest. Which
 lengths go together is decided on the table of lengths alone, of which there are at most `size`: the longest length
 left opens a sequence, a subset-sum over bitsets of the lengths left finds the fullest feasible combination with it, and
-that combination is used as often as its lengths last. So at most `size` patterns describe all sequences, however many
-documents there are. Pieces are numbered within their length (a counted, salted numbering: no task holds all pieces of
+that combination is used as often as its lengths last. So at most 3 * `size` patterns describe all sequences, however
+many documents there are. Pieces are numbered within their length (a counted, salted numbering: no task holds all pieces of
 a frequent length) and look their place up in the patterns.
 
 Defined results: a NULL or empty text is the end id alone. Repeated rows are packed as often as they occur, equal
@@ -124,7 +124,10 @@ def fullest(room: int, left: dict[int, int], lengths: list[int]) -> dict[int, in
 
 
 def plan_patterns(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, dict[int, int]]]:
-    """(times, {length: copies}) that use up all counts; at most one pattern for each length, as each uses one up."""
+    """(times, {length: copies}) that use up all counts.
+
+    A pattern leaves of some length fewer than its copies, so at most half; a length has at most size / length copies in
+    a pattern. So a length n ends at most 2 + log2(size / n) patterns, and there are at most 3 * size in all."""
     left = {n: c for n, c in counts.items() if c}
     lengths = sorted(left, reverse=True)
     out = []
@@ -174,7 +177,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
               .join(F.broadcast(before), ["length", "salt"])            # at most size * SALTS rows of three numbers
               .withColumn("rank", F.col("before") + F.col("number") - 1))
     spark = pieces.sparkSession
-    held = spark.sparkContext.broadcast((starts, table_of))             # at most 2048 patterns of at most 63 different lengths
+    held = spark.sparkContext.broadcast((starts, table_of))             # at most 3 * size patterns of at most 63 different lengths
 
     columns = list(pieces.columns)
 
