@@ -129,3 +129,25 @@ def op5_quality_rules(spark, folder: str) -> DataFrame:
     docs = pick(spark.read.parquet(f"{folder}/documents.parquet"), doc_id="doc_id:bigint", text="text:string")
     book = ledger(docs)
     return book.select("doc_id", *MEASURES[:5], (~passes("base")).alias("base_failed"), passes("v1").alias("kept"), "failed", F.lit("v1").alias("policy"))
+
+
+#: The same in SQL: words with their number, lines with theirs, windows of words by their text.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS x, w FROM d),
+gram AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM word WHERE i + 7 <= len(w)),
+twice AS (SELECT doc_id, i FROM gram QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest(range(8)) AS k) GROUP BY doc_id),
+echo AS (SELECT doc_id, count(*) FILTER (x = before) AS n_echo_words, sum(length(x)) AS word_chars
+         FROM (SELECT doc_id, x, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM word) GROUP BY doc_id),
+line AS (SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM line GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_echo_words, 0) AS n_echo_words
+      FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN echo USING (doc_id) LEFT JOIN lines USING (doc_id)),
+f AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END
+             + CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END
+             + CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END + CASE WHEN 100 * n_echo_words > 30 * n_words THEN 64 ELSE 0 END AS failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+    CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, CAST(failed AS BIGINT) AS failed, 'v1' AS policy FROM f
+"""

@@ -9,4 +9,6 @@ QUERIES = {f.__name__: f for f in (
     licenses.op1_license_scan, substring_dedup.op2_substring_dedup, decontaminate.op3_decontamination, pii.op4_pii, quality.op5_quality_rules, url_filter.op6_url_filter,
     packing.op7_best_fit_packing, html_text.op8_html_extraction, chat.op9_chat_formatting, near_dup.op10_minhash_near_dup)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+ORACLES = {"op5_quality_rules": quality.OP5_SQL, "op6_url_filter": url_filter.op6_sql()}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -108,3 +108,30 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Dat
 
 def op6_url_filter(spark, folder: str) -> DataFrame:
     return judge(table(spark, folder, "pages"))
+
+
+def op6_sql(rules=RULES) -> str:
+    """The same in SQL."""
+    ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "block"))
+    case = lambda value: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{value(s, h, p)}'" for s, h, p in ordered) + " END"
+    levels = ",\n".join(f"""c{k} AS (SELECT *, coalesce(segs[{k}], '') AS s FROM t{k - 1}),
+k{k} AS (SELECT host, template, s, true AS kept FROM (SELECT host, template, s, sum(n) AS n FROM c{k} GROUP BY ALL) QUALIFY n >= {KEEP} * sum(n) OVER (PARTITION BY host, template)),
+t{k} AS (SELECT host, segs, n, labelled, bad, template || CASE WHEN s = '' THEN '' WHEN kept THEN '/' || s ELSE '/*' END AS template FROM c{k} LEFT JOIN k{k} USING (host, template, s))"""
+                        for k in range(1, LEVELS + 1))
+    return f"""WITH r AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw, coalesce(rest, '') AS rest FROM r),
+p AS (SELECT page_id, translate(raw, '{_UPPER}', '{_LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+s AS (SELECT *, {case(lambda s, h, p: h + p)} AS rule, {case(lambda s, h, p: s)} AS says, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p),
+g AS (SELECT *, list_transform(parts[1:{LEVELS}], lambda x: regexp_replace(regexp_replace(x, '^[0-9a-fA-F-]{{16,}}', '{{hash}}'), '[0-9]+', '{{n}}', 'g'))
+             || CASE WHEN len(parts) > {LEVELS} THEN ['{{rest}}'] ELSE [] END AS segs FROM s),
+t0 AS (SELECT host, segs, count(*) AS n, count(says) AS labelled, count(*) FILTER (says = 'block') AS bad, '' AS template FROM g GROUP BY host, segs),
+{levels},
+leaf AS (SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad, regexp_replace(template, '^/[^/]*', '') AS tail FROM t{LEVELS} GROUP BY host, template),
+pool AS (SELECT *, sum(labelled) OVER (PARTITION BY host, tail) AS all_labelled, sum(bad) OVER (PARTITION BY host, tail) AS all_bad FROM leaf),
+named AS (SELECT *, CASE WHEN labelled = 0 THEN '/{{unlabelled}}' || tail
+                         WHEN abs(bad / labelled - all_bad / all_labelled) <= {SIMILAR} * sqrt(all_bad / all_labelled * (1 - all_bad / all_labelled) / labelled) THEN '/{{similar}}' || tail
+                         ELSE template END AS branch FROM pool),
+share AS (SELECT coalesce(sum(bad) / sum(labelled), 0) AS share FROM leaf),
+judged AS (SELECT host, branch, (sum(bad) + {SMOOTH} * (SELECT share FROM share)) / (sum(labelled) + {SMOOTH}) AS purity FROM named GROUP BY host, branch)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN purity >= {REJECT} AND host <> '' THEN 'block' ELSE 'allow' END) AS verdict, branch AS template, purity
+FROM g JOIN t{LEVELS} USING (host, segs) JOIN named USING (host, template) JOIN judged USING (host, branch)"""
