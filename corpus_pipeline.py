@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, near_dup, packing, pii, quality
-from gridloom.llm.frames import table
+from gridloom.llm.frames import table, without_ids
 from gridloom.session import written
 
 POLICY = "v1"
@@ -26,12 +26,6 @@ def _column(docs: DataFrame, name: str) -> str:
     return f"c{docs.columns.index(name)}"
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """`docs` without the ids in the one column of `gone`."""
-    ids = gone.toDF("gone").distinct()
-    return _plain(docs).join(ids, F.col(_column(docs, "doc_id")).cast("bigint") == F.col("gone"), "left_anti").toDF(*docs.columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that fail no rule of the policy."""
     plain = _plain(docs)
@@ -41,7 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     found = written(near_dup.near_duplicates(docs))
-    left = _without(docs, found.where("not kept").select("doc_id"))
+    left = without_ids(docs, "doc_id", found.where("not kept").select("doc_id"))
     again = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")))
     if again.isEmpty():
         return left
@@ -54,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     found = decontaminate.contaminated(docs, table(spark, folder, "benchmark"))
-    return _without(docs, found.where("contaminated").select("doc_id"))
+    return without_ids(docs, "doc_id", found.where("contaminated").select("doc_id"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

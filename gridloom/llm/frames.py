@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 PIECE_BYTES = 2_000_000     # bytes of text handled at once by one Python worker; a longer text is handled alone
 
 
@@ -107,3 +109,25 @@ def place_filter(places: DataFrame, bits: int = ID_BITS):
 
 def maybe_in(held, places: np.ndarray) -> np.ndarray:
     return (held.value[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def without_ids(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """`df` without the rows whose `key` is in the one column of `gone` (bigint). Rows with a NULL key stay.
+
+    Rows that a fixed-size filter of the ids rules out are not shuffled; the others, which are little more than those
+    that go, are joined."""
+    ids = written(gone.toDF("gone").where("gone is not null").distinct())
+    held = place_filter(ids.select(id_place("gone")))
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)
+    at = F.col(names[df.columns.index(key)]).cast("bigint")
+
+    def flag(batches):
+        for batch in batches:
+            maybe = pa.array(maybe_in(held, batch.column(batch.num_columns - 1).to_numpy()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], maybe], names=[*names, "maybe"])
+    schema = T.StructType([*plain.schema.fields, T.StructField("maybe", T.BooleanType())])
+    marked = plain.withColumn("place", F.pmod(F.xxhash64(at), F.lit(ID_BITS))).mapInArrow(flag, schema)
+    stay = marked.where("not maybe").select(*names)
+    left = marked.where("maybe").select(*names).join(ids, at == F.col("gone"), "left_anti")
+    return stay.union(left).toDF(*df.columns)
