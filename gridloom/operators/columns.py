@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns
-from ..functions.cells import TableError, canonical_text, col, is_text, require_columns, text_of, type_of
+from ..functions.cells import TableError, canonical_text, col, free_name, is_text, require_columns, text_of, type_of
+from .profile import infer_types
 from .result import Result
 
 MOST_PARTS = 10_000
@@ -50,19 +51,25 @@ def duplicate_column(df: DataFrame, source: str, new_name: str) -> DataFrame:
     return df.select(*kept[:at], col(source).alias(new_name), *kept[at:])
 
 
+def widest_split(df: DataFrame, column: str, delimiter: str) -> int:
+    """Into how many parts the delimiter cuts the cell with most of them."""
+    return max(df.agg(F.max(F.size(F.split(text_of(df, column), patterns.literal(delimiter), -1)))).first()[0] or 0, 1)
+
+
 def split_column(df: DataFrame, column: str, delimiter: str, names: list[str] | None = None,
-                 parts: int | None = None) -> DataFrame:
+                 parts: int | None = None, most_parts: int = MOST_PARTS) -> DataFrame:
     """Cut text at a literal delimiter into as many columns as the widest cell needs, in place of the original.
 
-    `parts` says how many there are and saves the pass that finds out."""
+    `parts` says how many there are and saves the pass that finds out. More than `most_parts` columns are refused; an
+    array column (`F.split`) holds any number of parts."""
     require_columns(df, [column])
     if not delimiter:
         raise TableError("the delimiter is empty")
     pieces = F.split(text_of(df, column), patterns.literal(delimiter), -1)
     if parts is None:
-        parts = max(df.agg(F.max(F.size(pieces))).first()[0] or 0, 1)
-    if parts > MOST_PARTS:
-        raise TableError(f"{column!r} would be cut into {parts:,} columns; {MOST_PARTS:,} is the most")
+        parts = widest_split(df, column, delimiter)
+    if parts > most_parts:
+        raise TableError(f"{column!r} would be cut into {parts:,} columns, more than {most_parts:,}; raise most_parts or keep the parts in one array column")
     names = [n for n in (names or []) if n.strip()]
     names = (names + [f"{column}_part{i + 1}" for i in range(len(names), parts)])[:parts]
     taken = [n for n in names if n in df.columns and n != column]
@@ -87,11 +94,22 @@ def merge_columns(df: DataFrame, columns: list[str], separator: str, new_name: s
     return df.select(*kept[:at], merged, *kept[at:])
 
 
-def calculated_column(df: DataFrame, new_name: str, expression: Column | str) -> DataFrame:
-    """Add one column from an expression: a Column built with `functions.formulas`, or Spark SQL text."""
+def calculated_column(df: DataFrame, new_name: str, expression: Column | str, infer: bool = False) -> DataFrame:
+    """Add one column from an expression: a Column built with `functions.formulas`, or Spark SQL text.
+
+    With `infer`, the expression sees text columns that hold only numbers as numbers (one aggregate finds them), while the
+    table keeps its texts. Columns with other cells stay text: `ADD`, `MULTIPLY` and the like give NULL for such cells."""
     if new_name in df.columns:
         raise TableError(f"column {new_name!r} already exists")
-    return df.withColumn(new_name, F.expr(expression) if isinstance(expression, str) else expression)
+    made = F.expr(expression) if isinstance(expression, str) else expression
+    if not infer:
+        return df.withColumn(new_name, made)
+    names = list(df.columns)
+    kept = {}
+    for n in names:
+        kept[n] = free_name(f"__kept_{n}", [*names, new_name, *kept.values()])
+    both = infer_types(df.select("*", *[col(n).alias(k) for n, k in kept.items()]), names)
+    return both.withColumn(new_name, made).select(*[col(k).alias(n) for n, k in kept.items()], col(new_name))
 
 
 def find_replace(df: DataFrame, find: str, replace: str, columns: list[str] | None = None, case_sensitive: bool = False,

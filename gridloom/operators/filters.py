@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import operator
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ def _equals(df: DataFrame, column: str, wanted: str) -> Column:
             number = float(wanted) if isinstance(dtype, T.DoubleType) else int(wanted)
         except ValueError:
             return F.lit(False)
+        if not math.isfinite(number):                       # a missing cell is NaN and equals no text
+            return F.lit(False)
         reads = str(int(number)) if float(number).is_integer() else repr(number)
         return col(column) == F.lit(number) if reads == wanted else F.lit(False)
     return F.lower(text_of(df, column)) == F.lit(wanted.lower())

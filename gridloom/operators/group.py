@@ -16,7 +16,7 @@ FUNCTIONS = ("sum", "mean", "median", "min", "max", "count", "distinct", "first"
 NEED_NUMBERS = ("sum", "mean", "median")
 
 
-def _number(df: DataFrame, name: str) -> Column:
+def whole_or_double(df: DataFrame, name: str) -> Column:
     """Whole-number columns stay whole; everything else is summed as a double."""
     dtype = type_of(df, name)
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)):
@@ -28,15 +28,15 @@ def _function(df: DataFrame, name: str, function: str, numeric: bool, at: Column
     dtype = type_of(df, name)
     cell = filled(col(name), dtype)
     if function == "sum":
-        return F.sum(_number(df, name))
+        return F.sum(whole_or_double(df, name))
     if function == "mean":
-        return F.avg(_number(df, name))
+        return F.avg(whole_or_double(df, name))
     if function == "count":
         return F.count(cell)
     if function == "distinct":
         return F.count_distinct(cell if not is_float(dtype) else canonical_text(cell, dtype))
     if function in ("min", "max") and (numeric or not isinstance(dtype, T.StringType)):
-        value = _number(df, name) if numeric else cell
+        value = whole_or_double(df, name) if numeric else cell
         return F.min(value) if function == "min" else F.max(value)
     place = F.when(cell.isNotNull(), at)
     if function in ("min", "max"):
@@ -85,7 +85,7 @@ def group_summary(df: DataFrame, group_columns: list[str], value_columns: list[s
     out = keyed.groupBy(*keys).agg(*(aggregates or [F.count(F.lit(1)).alias("__rows")]))
     if "median" in functions:
         for n in value_columns:
-            medians = grouped_quantile(keyed.select(*keys, _number(df, n).alias("__v")), keys, F.col("__v"), 0.5, f"{n}_median") \
+            medians = grouped_quantile(keyed.select(*keys, whole_or_double(df, n).alias("__v")), keys, F.col("__v"), 0.5, f"{n}_median") \
                 .select(*[F.col(k).alias(f"__m{k}") for k in keys], f"`{n}_median`")
             out = out.join(medians, same_cells([(F.col(k), F.col(f"__m{k}")) for k in keys]), "left").drop(*[f"__m{k}" for k in keys])
     if first_appearance:

@@ -16,7 +16,8 @@ from ..plans.order import file_order, running_sum, tie_names
 from ..session import written
 from .dedupe import distinct_rows, exact_copies
 
-SAMPLE = 50_000                             # rows of the first screen, small enough to be sent to every task
+SAMPLE = 50_000                             # rows of the first screen
+SAMPLE_CELLS = 2_000_000                    # cells of the first screen at most (32 MB of hashes), so it can be sent to every task
 SCREEN = 5_000_000                          # rows of the second screen
 WAVE = 4_000                                # candidates tried on the sample by one job
 BATCH = 200                                 # candidates tried on the second screen by one job
@@ -59,9 +60,16 @@ def _repeats(hashed: DataFrame, columns: list[str], candidates: list[tuple[str,
     return {candidates[r.i] for r in groups.filter("n > 1").select("i").distinct().collect()}       # at most BATCH rows
 
 
-def _sample_hashes(df: DataFrame, columns: list[str], rows: int):
-    """The hashes of the first `rows` rows (SAMPLE at most) as two arrays, one line per column, sent to every executor."""
-    collected = _hashed(df.limit(min(rows, SAMPLE)), columns).toPandas()
+def _share(df: DataFrame, columns: list[str], rows: int, wanted: int) -> DataFrame:
+    """About `wanted` of the `rows` rows, chosen by a hash of the row: a filter, so no task gathers them."""
+    parts = -(-rows // max(wanted, 1))
+    return df if parts <= 1 else df.filter(F.pmod(F.xxhash64(*[col(n) for n in columns]), F.lit(parts)) == 0)
+
+
+def _sample_hashes(df: DataFrame, columns: list[str], rows: int, wanted: int):
+    """The hashes of a sample as two arrays, one line per column, sent to every executor. Bounded in rows and in cells."""
+    most = max(1, min(wanted, SAMPLE, SAMPLE_CELLS // len(columns)))
+    collected = _hashed(_share(df, columns, rows, most).limit(2 * most), columns).toPandas()
     matrices = tuple(np.array(collected[x].tolist(), dtype="int64").reshape(len(collected), len(columns)).T.copy() for x in ("a", "b"))
     return df.sparkSession.sparkContext.broadcast(matrices)
 
@@ -95,12 +103,14 @@ def _repeated(df: DataFrame, candidates: list[tuple[str, ...]]) -> set[tuple[str
     return {candidates[r.i] for r in functools.reduce(DataFrame.unionByName, parts).collect()}
 
 
-def find_minimal_keys(df: DataFrame, columns: list[str] | None = None, max_size: int = 5, max_keys: int = 10,
-                      max_candidates: int = 20_000, seconds: float | None = 30, sample_rows: int = SAMPLE, screen_rows: int = SCREEN) -> KeySearch:
+def find_minimal_keys(df: DataFrame, columns: list[str] | None = None, max_size: int | None = None, max_keys: int | None = None,
+                      max_candidates: int | None = None, seconds: float | None = None, sample_rows: int = SAMPLE, screen_rows: int = SCREEN) -> KeySearch:
     """Level by level, only combinations whose smaller parts are all non-unique. Missing equals missing.
 
     Rows can only show that a combination is no key, so a sample of the table, a larger sample, and then a part of the
-    key space rule most of them out; what is left is confirmed on all rows. `truncated` says that the search stopped at a limit: a key not found may exist."""
+    key space rule most of them out; what is left is confirmed on all rows. Without limits all minimal keys are found; on
+    wide tables without a small key that are many combinations. `truncated` says that a limit took effect, `reason` which
+    ones: a key not found may exist."""
     columns = list(dict.fromkeys(columns or df.columns))
     require_columns(df, columns)
     deadline = time.monotonic() + seconds if seconds else None
@@ -113,21 +123,25 @@ def find_minimal_keys(df: DataFrame, columns: list[str] | None = None, max_size:
     constant = lambda i: seen[f"n{i}"] == 0 or (seen[f"n{i}"] == rows and seen[f"a{i}"] == seen[f"b{i}"])
     usable = [n for i, n in enumerate(columns) if rows <= 1 or not constant(i)]
     spread = df.sparkSession.sparkContext.defaultParallelism
-    sample = _sample_hashes(df, usable, sample_rows) if usable else None
-    screen = written(_hashed(df.limit(screen_rows).repartition(spread), usable)) if screen_rows < rows else None
-    search, tested = KeySearch(), 0
+    sample = _sample_hashes(df, usable, rows, sample_rows) if usable else None
+    screen = written(_hashed(_share(df, usable, rows, screen_rows).repartition(spread), usable)) if usable and screen_rows < rows else None
+    search, tested, reasons = KeySearch(), 0, []
+    full = lambda: max_keys is not None and len(search.keys) >= max_keys
     if rows <= 1:
-        search.keys = [[n] for n in usable][:max_keys]
-        return search
+        search.keys = [[n] for n in usable]
+        usable = []
 
     parts: set[tuple[str, ...]] = set()
-    for size in range(1, min(len(usable), max_size) + 1):
+    for size in range(1, len(usable) + 1):
+        if max_size is not None and size > max_size:
+            reasons.append(f"no combinations of more than {max_size} columns")
+            break
         pool = usable if size == 1 else sorted({n for c in parts for n in c})
         candidates = []
         for c in combinations(pool, size):
             if size == 1 or all(p in parts for p in combinations(c, size - 1)):
-                if tested + len(candidates) >= max_candidates:
-                    search.truncated, search.reason = True, f"candidate limit of {max_candidates:,} reached"
+                if max_candidates is not None and tested + len(candidates) >= max_candidates:
+                    reasons.append(f"no more than {max_candidates:,} candidates")
                     break
                 candidates.append(c)
         tested += len(candidates)
@@ -148,18 +162,21 @@ def find_minimal_keys(df: DataFrame, columns: list[str] | None = None, max_size:
                     alive = [c for c in alive if c not in shared]
                 non_unique |= found
             for first in range(0, len(alive), TOGETHER):
-                if len(search.keys) >= max_keys or late():
+                if full() or late():
                     break
                 together = alive[first:first + TOGETHER]
                 repeated = _repeated(df, together)
                 non_unique |= repeated
                 search.keys += [list(c) for c in together if c not in repeated]
         if late():
-            search.truncated, search.reason = True, f"time budget of {seconds} seconds reached"
+            reasons.append(f"no longer than {seconds} seconds")
         parts = {tuple(sorted(c)) for c in non_unique}
-        if not parts or len(search.keys) >= max_keys or search.truncated:
+        if not parts or full() or reasons:
             break
-    del search.keys[max_keys:]
+    if max_keys is not None and (len(search.keys) > max_keys or (full() and parts)):
+        reasons.append(f"no more than {max_keys} keys")
+        del search.keys[max_keys:]
+    search.truncated, search.reason = bool(reasons), "; ".join(reasons)
     return search
 
 
@@ -184,7 +201,7 @@ def find_keys(df: DataFrame, columns: list[str] | None = None, allow_missing: bo
     skipped = [] if allow_missing else [n for i, n in enumerate(columns) if seen[f"n{i}"] < seen.rows]
     usable = [n for n in columns if n not in skipped]
     if not usable:
-        raise TableError("every chosen column has missing cells; choose others or allow them")
+        raise TableError("all of these columns have gaps; allow gaps or name other columns")
     copies = exact_copies(df).first().duplicate_rows
     search = find_minimal_keys(written(distinct_rows(df)) if copies else df, usable, **limits)
     return KeyReport([] if copies else search.keys, search.keys if copies else [], skipped, seen.rows, copies, search.truncated, search.reason)
@@ -196,15 +213,16 @@ def unique_id(df: DataFrame, columns: list[str] | None = None, allow_missing: bo
     report = find_keys(df, columns, allow_missing, **limits)
     found = report.keys or report.keys_after_dedup
     if not found:
-        raise TableError(f"no key was found{' before the search stopped: ' + report.reason if report.truncated else ''}")
-    return add_unique_id(df, found[0], order_by)
+        raise TableError("these columns hold no key" + (f" within the limits ({report.reason})" if report.truncated else ""))
+    return add_unique_id(df, found[0], order_by, copies=report.duplicate_rows > 0)
 
 
-def add_unique_id(df: DataFrame, key: list[str], order_by=None) -> DataFrame:
+def add_unique_id(df: DataFrame, key: list[str], order_by=None, copies: bool = True) -> DataFrame:
+    """`copies`: False where it is known that no row repeats another, which saves the numbering."""
     require_columns(df, key)
     id_name = free_name("Unique_ID", df.columns)
     copy_name = free_name("_is_duplicate", [*df.columns, id_name])
     nth = free_name("__nth", df.columns)
     values = F.concat_ws("|||", *[F.coalesce(canonical_text(col(n), type_of(df, n)), F.lit("")) for n in key])
-    numbered = running_sum(df, list(df.columns), file_order(df, order_by), nth, ties=tie_names(df, order_by))
+    numbered = df.withColumn(nth, F.lit(1)) if not copies else running_sum(df, list(df.columns), file_order(df, order_by), nth, ties=tie_names(df, order_by))
     return numbered.select(*[col(n) for n in df.columns], values.alias(id_name), (F.col(nth) > 1).alias(copy_name))

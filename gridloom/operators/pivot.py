@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import functools
 import operator
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from ..plans.quantiles import grouped_quantile
 from ..session import setting, written
 from .dedupe import same_cells
 from .filters import exact_filter
+from .group import whole_or_double
 from .result import Result
 from .sorting import numeric_columns
 
@@ -36,7 +36,7 @@ def period_label(df: DataFrame, column: str, unit: str, order: str = "auto") ->
 
 def _aggregate(name: str, number: Column, cell: Column) -> Column:
     if name == "sum":
-        return F.coalesce(F.sum(number), F.lit(0.0))
+        return F.coalesce(F.sum(number), F.lit(0))
     if name == "mean":
         return F.avg(number)
     if name == "min":
@@ -48,9 +48,14 @@ def _aggregate(name: str, number: Column, cell: Column) -> Column:
     return F.count(cell) if name == "count" else F.count_distinct(cell)
 
 
-def _flat(*parts: str) -> str:
-    joined = "_".join(p for p in parts if p not in ("", "nan", "None")) or "Value"
-    return re.sub("_+", "_", joined).strip("_") or "Value"
+def _row_order(df: DataFrame, rows: list[str], labels: list[str], date_groups) -> list[Column]:
+    """Totals aside, rows in the order of their values: numbers by number, text by text, blanks last."""
+    out = []
+    for n, x in zip(rows, labels):
+        blank = F.col(x) == "(blank)"
+        out += [blank] + ([F.when(~blank, F.col(x)).try_cast("decimal(38,10)"), F.when(~blank, F.col(x)).try_cast("double")]
+                          if is_number(type_of(df, n)) and n not in (date_groups or {}) else []) + [F.col(x)]
+    return out
 
 
 def pivot_cells(df: DataFrame, rows: list[str], columns: list[str], values: list[str], aggregations: list[str],
@@ -66,7 +71,7 @@ def pivot_cells(df: DataFrame, rows: list[str], columns: list[str], values: list
         return F.coalesce(text, F.lit("(blank)"))
     r, c = [f"r{i}" for i in range(len(rows))], [f"c{i}" for i in range(len(columns))]
     source = df.select(*[label(n).alias(x) for n, x in zip(rows + columns, r + c)],
-                       *[number_of(df, n).alias(f"n{j}") for j, n in enumerate(values)],
+                       *[whole_or_double(df, n).alias(f"n{j}") for j, n in enumerate(values)],
                        *[present(col(n), type_of(df, n)).alias(f"t{j}") for j, n in enumerate(values)])
     levels = [s for s in dict.fromkeys([tuple(r + c), tuple(r), tuple(c), ()])]
     plain = [a for a in aggregations if a != "median"]
@@ -155,7 +160,7 @@ def pivot_table(df: DataFrame, rows: list[str] | None = None, columns: list[str]
                 empty = F.lit(0) if a in ("sum", "count", "nunique") else F.lit(None)
                 for k in range(len(spelled)):
                     tail = [keys[k][x] for x in c] if k < len(keys) else [total]
-                    names.append(prefix(a, _flat(values[j], *tail)))
+                    names.append(prefix(a, "_".join([values[j], *tail])))
                     cell = F.coalesce(F.col(f"x{k}_{i}"), empty)
                     if show_as == "row":
                         cell = F.try_divide(cell.cast("double"), F.nullif(F.col(f"x{len(keys)}_{i}").cast("double"), F.lit(0.0)))
@@ -168,10 +173,9 @@ def pivot_table(df: DataFrame, rows: list[str] | None = None, columns: list[str]
     for n in names:
         unique.append(free_name(n, unique + rows))
     first_label = [F.when(F.col("__total"), F.lit(total if i == 0 else "")).otherwise(F.col(x)).alias(n) for i, (x, n) in enumerate(zip(r, rows))]
-    out = wide.select("__total", *first_label, *[s.alias(n) for s, n in zip(shown, unique)])
     if rows:
-        out = out.orderBy("__total", *[col(n) for n in rows])
-    return Result(out.drop("__total"), metrics=metrics)
+        wide = wide.orderBy("__total", *_row_order(df, rows, r, date_groups))
+    return Result(wide.select(*first_label, *[s.alias(n) for s, n in zip(shown, unique)]), metrics=metrics)
 
 
 def _number(row, measure) -> float:

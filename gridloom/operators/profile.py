@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import (MONTHS, TableError, col, date_order, is_missing, is_number, is_text, is_time,
-                               number_of, plain_number, strip, text_of, type_of, written_date)
+                               number_of, plain_number, require_columns, strip, text_of, type_of, written_date)
 from ..plans.order import file_order, order_value
 from ..plans.quantiles import exact_quantiles
 from ..plans.values import long_cells, unique_counts, value_counts
@@ -22,12 +22,13 @@ from ..session import written
 from .dedupe import exact_copies
 
 TOP_VALUES = 10
-SAMPLE_ROWS = 1000
 
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """A copy where a text column whose filled cells are all numbers is bigint or double. One pass, then a projection."""
-    texts = [n for n in df.columns if is_text(type_of(df, n))]
+def infer_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """A copy where a text column whose filled cells are all numbers is bigint or double. One pass, then a projection.
+
+    `columns` are those that may change, all when None."""
+    texts = [n for n in columns or df.columns if is_text(type_of(df, n))]
     if not texts:
         return df
     seen = df.agg(*[e for i, n in enumerate(texts) for e in (
@@ -177,6 +178,8 @@ PATTERNS = {
 }
 CURRENCY_MARKS = ["$", "€", "£", "¥", "USD", "EUR", "GBP", "JPY", "CAD", "AUD"]
 PERCENT_NAME = r"pct|percent|%|rate|ratio|share|fraction|proportion"
+_TEXT_SCORES = ["words", "words_or_digits", "Date", "Email", "URL", "UUID", "SSN", "Phone Number", "Currency", "Percentage", "Postal Code", "ID/Serial", "IP Address", "v4", "v6",
+                "Credit Card", *[f"date{i}" for i in range(len(DATE_FORMATS))]]
 PRIORITY = ["Boolean", "Date", "Email", "URL", "IP Address", "UUID", "SSN", "Credit Card", "Phone Number", "Currency",
             "Percentage", "Postal Code", "ID/Serial"]
 THRESHOLD = 80.0
@@ -186,21 +189,40 @@ def _full_match(text: Column, name: str) -> Column:
     return functools.reduce(operator.or_, [text.rlike(rf"^(?:{p})\z") for p in PATTERNS[name]])
 
 
-def _in_format(text: Column, date_format: str) -> Column:
-    """True where the text is a real date in one written format."""
-    spelled = {"Y": r"(\d{4})", "m": r"(\d{1,2})", "d": r"(\d{1,2})", "H": r"(\d{1,2})", "M": r"(\d{1,2})", "S": r"(\d{1,2})",
-               "b": r"([A-Za-z]{3})", "B": r"([A-Za-z]+)"}
-    fields = re.findall(r"%(\w)", date_format)
-    pattern = "^" + re.sub(r"%(\w)", lambda m: spelled[m.group(1)], date_format.replace(".", r"\.").replace(" ", r"\s+")) + r"\z"
-    part = {f: F.regexp_extract(text, pattern, i) for i, f in enumerate(fields, 1)}
-    if "b" in part or "B" in part:
-        names = MONTHS if "B" in part else [m[:3] for m in MONTHS]
-        month = F.array_position(F.array(*[F.lit(m) for m in names]), F.lower(part.get("B", part.get("b")))).cast("int")
-    else:
-        month = part["m"].try_cast("int")
-    number = lambda f: part[f].try_cast("int") if f in part else F.lit(0)
-    made = F.try_make_timestamp(number("Y"), month, number("d"), number("H"), number("M"), number("S"))
-    return F.coalesce(F.when(text.rlike(pattern), (number("Y") >= 1) & made.isNotNull()), F.lit(False))
+_NUMERIC_SHAPE = r"^(\d{1,4})([-/.])(\d{1,2})([-/.])(\d{1,4})(?:(T|\s+)(\d{1,2}):(\d{1,2}):(\d{1,2}))?\z"
+_NAMED_SHAPES = (r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})\z", r"^([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})\z")
+
+
+def _date_parts(text: Column) -> Column:
+    """The pieces of a written date, each taken once."""
+    part = lambda i: F.regexp_extract(text, _NUMERIC_SHAPE, i)                                      # noqa: E731
+    day_first, name_first = (F.regexp_extract(text, p, 0) != "" for p in _NAMED_SHAPES)
+    named = lambda i, j: F.when(day_first, F.regexp_extract(text, _NAMED_SHAPES[0], i)).when(name_first, F.regexp_extract(text, _NAMED_SHAPES[1], j)).otherwise("")      # noqa: E731
+    return F.struct(part(1).alias("a"), part(2).alias("s1"), part(3).alias("b"), part(4).alias("s2"), part(5).alias("c"), part(6).alias("t"), part(7).alias("H"),
+                    part(8).alias("M"), part(9).alias("S"), day_first.alias("day_first"), named(1, 2).alias("day"), F.lower(named(2, 1)).alias("month"), named(3, 3).alias("year"))
+
+
+def _formats(p: Column) -> Column:
+    """For each of DATE_FORMATS: is the text, given by its pieces, a real date in it?"""
+    number = lambda c: c.try_cast("int")                                                            # noqa: E731
+    clock = [F.coalesce(number(p[x]), F.lit(0)) for x in "HMS"]
+
+    def real(y, m, d):
+        return (number(y) >= 1) & F.try_make_timestamp(number(y), m if m is not None else F.lit(None), number(d), *clock).isNotNull()
+    position = lambda names: F.array_position(F.array(*[F.lit(x) for x in names]), p["month"]).cast("int")      # noqa: E731
+    numeric = {"%Y-%m-%d": real(p["a"], number(p["b"]), p["c"]), "%m/%d/%Y": real(p["c"], number(p["a"]), p["b"]), "%d/%m/%Y": real(p["c"], number(p["b"]), p["a"])}
+    named = {"b": real(p["year"], position([m[:3] for m in MONTHS]), p["day"]), "B": real(p["year"], position(MONTHS), p["day"])}
+    out = []
+    for f in DATE_FORMATS:
+        if "%b" in f or "%B" in f:
+            out.append((p["day_first"] == F.lit(f.startswith("%d"))) & (p["year"] != "") & named["b" if "%b" in f else "B"])
+            continue
+        date, mark = f[:8], f[2]
+        year, short = ("a", "c") if date.startswith("%Y") else ("c", "a")
+        between = "T" if "T" in f else " " if "%H" in f else ""
+        timed = p["t"] == "T" if between == "T" else ((p["t"] != "T") & (p["t"] != "")) if between else p["t"] == ""
+        out.append((p["s1"] == mark) & (p["s2"] == mark) & (F.length(p[year]) == 4) & (F.length(p[short]) <= 2) & timed & numeric[date.replace(mark, "-" if year == "a" else "/")])
+    return F.array(*[F.coalesce(c, F.lit(False)) for c in out])
 
 
 def first_values(df: DataFrame, columns: list[str], rows: int | None, order_by=None) -> DataFrame:
@@ -226,40 +248,74 @@ def first_values(df: DataFrame, columns: list[str], rows: int | None, order_by=N
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def semantic_types(df: DataFrame, columns: list[str] | None = None, sample_rows: int | None = SAMPLE_ROWS, order_by=None,
-                   basics: DataFrame | None = None) -> DataFrame:
-    """column, detected_type, confidence, format_info.
-
-    Each type's score is the share of the sampled cells that fit it; the first type of PRIORITY with 80% or more wins,
-    and a column that fits none has the type of its declared Spark type. Numbers can only be Boolean (exactly 0 and 1)
-    or a Percentage (0 to 1, when the name says so). All columns are scored by one aggregate over the sampled cells."""
-    columns = list(columns or df.columns)
-    kinds = {n: type_of(df, n) for n in columns}
-    numeric = [n for n in columns if is_number(kinds[n])]
-    named_percent = [n for n in columns if re.search(PERCENT_NAME, n, re.I)]
-    column, text = F.col("column"), strip(F.col("value"))
-    cells = first_values(df, columns, sample_rows, order_by).select("column", "at", text.alias("text"))
-    is_numeric = column.isin(numeric) if numeric else F.lit(False)
+def _text_shares(df: DataFrame, columns: list[str], sample_rows: int | None, order_by) -> DataFrame:
+    """Per text column, the share of filled cells that fit each type. Every different value is looked at once."""
+    if sample_rows is None:
+        counted = value_counts(df, columns, order_by)
+    else:
+        counted = first_values(df, columns, sample_rows, order_by).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
+    cells = counted.select("column", "n", "at", strip(F.col("value")).alias("text")).select("*", _date_parts(F.col("text")).alias("parts"))
     t = F.col("text")
-    tests = {n: _full_match(t, n) for n in PATTERNS}
-    formats = [_in_format(t, f) for f in DATE_FORMATS]
-    flags = cells.select("column", "at", "text", F.array(*formats).alias("dates"),
-                         *[tests[n].alias(n) for n in PATTERNS], plain_number(t, T.StringType()).alias("number"))
+    flags = cells.select("column", "n", "at", "text", _formats(F.col("parts")).alias("dates"), *[_full_match(t, n).alias(n) for n in PATTERNS],
+                         plain_number(t, T.StringType()).alias("number"))
     card = F.col("Card") & F.call_function("luhn_check", F.regexp_replace(t, r"\D", ""))
-    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double")) * 100
-    any_date = F.exists("dates", lambda d: d)
+    total = F.sum("n")
+    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0))) * 100.0 / total            # noqa: E731
     fraction = F.col("number").between(0, 1)
-    scored = flags.groupBy("column").agg(
+    return flags.groupBy("column").agg(
+        total.alias("cells"), F.count(F.lit(1)).alias("values"),
         F.count_distinct("text").alias("different"), share(F.col("Boolean words")).alias("words"), share(t.isin("0", "1")).alias("digits"),
         share(F.col("Boolean words") | t.isin("0", "1")).alias("words_or_digits"),
-        share(any_date).alias("Date"), *[share(F.col("dates")[i]).alias(f"date{i}") for i in range(len(DATE_FORMATS))],
+        share(F.exists("dates", lambda d: d)).alias("Date"), *[share(F.col("dates")[i]).alias(f"date{i}") for i in range(len(DATE_FORMATS))],
         *[share(F.col(n)).alias(n) for n in ("Email", "URL", "UUID", "SSN", "Phone Number", "Currency", "Percentage", "Postal Code", "ID/Serial")],
         share(F.col("IPv4") | F.col("IPv6")).alias("IP Address"), share(F.col("IPv4")).alias("v4"), share(F.col("IPv6")).alias("v6"),
         share(card).alias("Credit Card"), F.bool_and(F.coalesce(fraction, F.lit(False))).alias("fractions"),
         F.bool_and(F.coalesce(fraction, F.lit(False)) | F.col("Percentage")).alias("fractions_or_signs"),
         F.min_by(F.when(F.col("Currency"), t), F.when(F.col("Currency"), F.col("at"))).alias("first_currency"))
-    basics = basics if basics is not None else profile_columns(df.select(*[col(n) for n in columns]))
-    joined = basics.join(scored, "column", "left")
+
+
+def _number_shares(df: DataFrame, columns: list[str], others: list[str]) -> DataFrame:
+    """The same of numeric columns, which can only be Boolean or a Percentage, from two plain aggregates; of others their filled cells."""
+    cell = {n: F.when(~is_missing(col(n), type_of(df, n)), col(n).cast("double")) for n in columns}
+    ends = df.agg(F.count(F.lit(1)).alias("rows"), *[e for i, n in enumerate(columns) for e in (F.min(cell[n]).alias(f"a{i}"), F.max(cell[n]).alias(f"b{i}"))]).first()
+    pairs = {n: (ends[f"a{i}"], ends[f"b{i}"]) for i, n in enumerate(columns)}
+    rows = []
+    for n in columns:
+        low, high = (F.lit(x).cast("double") for x in pairs[n])
+        two = F.when(F.bool_and(cell[n].isin(*[x for x in pairs[n] if x is not None])) & (low < high), 2).otherwise(0) if pairs[n][0] is not None else F.lit(0)
+        rows.append(F.struct(F.lit(n).alias("column"), F.count(cell[n]).alias("cells"), two.cast("bigint").alias("different"),
+                             (F.count_if(cell[n].isin(0.0, 1.0)) * 100.0 / F.nullif(F.count(cell[n]), F.lit(0))).alias("digits"), F.bool_and(cell[n].between(0, 1)).alias("fractions")))
+    for n in others:
+        rows.append(F.struct(F.lit(n).alias("column"), F.count_if(~is_missing(col(n), type_of(df, n))).alias("cells"), F.lit(0).cast("bigint").alias("different"),
+                             F.lit(None).cast("double").alias("digits"), F.lit(None).cast("boolean").alias("fractions")))
+    return df.agg(F.array(*rows).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def semantic_types(df: DataFrame, columns: list[str] | None = None, sample_rows: int | None = None, order_by=None,
+                   basics: DataFrame | None = None) -> DataFrame:
+    """column, detected_type, confidence, format_info.
+
+    Each type's score is the share of the filled cells that fit it; the first type of PRIORITY with 80% or more wins, and
+    a column that fits none has the type of its declared Spark type. Numbers can only be Boolean (exactly 0 and 1) or a
+    Percentage (0 to 1, when the name says so). All rows count, unless `sample_rows` of each column are asked for. Text
+    columns are scored on their different values, numeric ones by plain aggregates. `basics` is not needed any more."""
+    columns = list(columns or df.columns)
+    require_columns(df, columns)
+    kinds = {n: type_of(df, n) for n in columns}
+    numeric = [n for n in columns if is_number(kinds[n])]
+    texts = [n for n in columns if is_text(kinds[n])]
+    named_percent = [n for n in columns if re.search(PERCENT_NAME, n, re.I)]
+    column = F.col("column")
+    is_numeric = column.isin(numeric) if numeric else F.lit(False)
+    others = [n for n in columns if n not in numeric and n not in texts]
+    listed = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(columns)], "place int, column string")
+    parts = ([_text_shares(df, texts, sample_rows, order_by)] if texts else []) + ([_number_shares(df, numeric, others)] if numeric or others else [])
+    scored = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    joined = listed.join(scored, "column", "left").withColumn("non_null", F.coalesce("cells", F.lit(0))).withColumn(
+        "unique_count", F.col("values") if texts else F.lit(0))
+    if not texts:
+        joined = joined.select("*", *[F.lit(None).cast("double").alias(n) for n in _TEXT_SCORES], F.lit(None).cast("string").alias("first_currency"),
+                               F.lit(None).cast("boolean").alias("fractions_or_signs"))
 
     zero = F.lit(0.0)
     hinted = column.isin(named_percent) if named_percent else F.lit(False)

@@ -1,4 +1,5 @@
-"""What an operator returns: the table, side tables and counts. All of them are lazy frames."""
+"""What an operator returns: the table, side tables and counts. All of them are frames to be
+read when wanted; an operator that needs the order of rows, or looks at sizes first, runs those jobs when it is called."""
 from __future__ import annotations
 
 from collections.abc import Callable

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ..functions.cells import (TableError, col, free_name, is_number, is_text, is_time, number_of, present, require_columns,
                                text_of, type_of)
-from ..plans.order import dense_index, file_order, first_rows, order_value, running_sum, tie_names
+from ..plans.order import dense_index, file_order, first_place, first_rows, order_names, running_sum, tie_names
 
 ASCENDING, DESCENDING = "ascending", "descending"
 
@@ -97,10 +97,13 @@ def every_nth(df: DataFrame, n: int, order_by=None, by=()) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, order_by=None) -> DataFrame:
-    """Exactly n rows (all when there are fewer), the same for the same seed and rows, in their order."""
+    """Exactly n rows (all when there are fewer), the same for the same seed and rows, in their order.
+
+    Rows go by the MD5 of the seed and their place in the order as text, `seed:a:b`, so any SQL can draw the same sample."""
     _check_count(n)
     order = file_order(df, order_by)
-    chance = F.xxhash64(F.lit(seed), order_value(df, order_by))
+    places = [F.coalesce(col(x).cast("string"), F.lit("")) for x in order_names(df, order_by)]
+    chance = F.md5(F.concat_ws(":", F.lit(str(seed)), *places))
     return first_rows(df, [chance, *order], n, tie_names(df, order_by)).orderBy(*order)
 
 
@@ -113,5 +116,5 @@ def occurrence(df: DataFrame, keys: list[str], name: str = "occurrence", order_b
 def group_numbers(df: DataFrame, keys: list[str], name: str = "group_number", order_by=None) -> DataFrame:
     """One row per distinct key with a number in order of first appearance."""
     require_columns(df, keys)
-    firsts = df.groupBy(*[col(k) for k in keys]).agg(F.min(order_value(df, order_by)).alias("__at"))
+    firsts = df.groupBy(*[col(k) for k in keys]).agg(F.min(first_place(df, order_by)).alias("__at"))
     return dense_index(firsts, [F.col("__at")], free_name(name, keys)).drop("__at")

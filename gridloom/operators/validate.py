@@ -36,31 +36,31 @@ def _check(df: DataFrame, rule: dict, number: int) -> tuple[Column, Column] | No
     where = f"rule {number} ({name})"
     say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in (f"{name}: ", *parts)])
     if kind == "required":
-        return ~there, say("Required field is empty")
+        return ~there, say("a value is needed")
     number_value = plain_number(col(name), dtype)
     if kind == "numeric":
-        return there & number_value.isNull(), say("Must be numeric")
+        return there & number_value.isNull(), say("\"", text, "\" is no number")
     if kind == "range":
         low = _bound((value or {}).get("min"), float, "minimum", where)
         high = _bound((value or {}).get("max"), float, "maximum", where)
         too_low = number_value < low if low is not None else F.lit(False)
         too_high = number_value > high if high is not None else F.lit(False)
-        message = F.when(number_value.isNull(), say("'", text, "' is not a number, so it cannot be within the range"))
+        message = F.when(number_value.isNull(), say("\"", text, "\" is no number, so it lies in no range"))
         if low is not None:
-            message = message.when(too_low, say("Value ", text, f" is below minimum {value['min']}"))
+            message = message.when(too_low, say(text, f" is less than {value['min']}"))
         if high is not None:
-            message = message.otherwise(say("Value ", text, f" is above maximum {value['max']}"))
+            message = message.otherwise(say(text, f" is more than {value['max']}"))
         return there & (number_value.isNull() | F.coalesce(too_low | too_high, F.lit(False))), message
     if kind == "list":
         allowed = [str(v) for v in (value if isinstance(value, list) else [value])]
-        return there & ~text.isin(allowed), say("Value '", text, "' not in allowed list")
+        return there & ~text.isin(allowed), say("\"", text, "\" is none of the values listed")
     if kind == "pattern":
-        return there & ~text.rlike(patterns.whole(patterns.pattern(value))), say("Value does not match required pattern")
+        return there & ~text.rlike(patterns.whole(patterns.pattern(value))), say("\"", text, "\" does not fit the pattern")
     low = _bound((value or {}).get("min"), int, "minimum length", where)
     high = _bound((value or {}).get("max"), int, "maximum length", where)
     length = F.length(text)
     outside = functools.reduce(operator.or_, ([length < low] if low is not None else []) + ([length > high] if high is not None else [F.lit(False)]))
-    return there & outside, say("Length ", length.cast("string"), " is outside the allowed range")
+    return there & outside, say(length.cast("string"), " characters are too few or too many")
 
 
 def validate(df: DataFrame, rules: list[dict], row_numbers: bool = False, order_by=None) -> Result:

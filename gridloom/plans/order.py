@@ -17,6 +17,7 @@ from ..session import setting, written
 
 POSITION = "_position"
 GROUP_ROWS = 5_000_000          # a group up to this size is handled by one task; larger ones are sliced
+SLICE_ROWS = 5_000_000          # rows of a slice, about
 TOP_ROWS = 10_000               # a longer head of the table is numbered instead of gathered in one task
 _PLACE, _SLICE, _OFFSET, _ROW = "__place", "__slice", "__offset", "__row"
 _BITS = 33                      # monotonically_increasing_id: partition above, row in partition below
@@ -99,7 +100,8 @@ def _slices(df: DataFrame, order: list[Column], ties: list[str] | None = None) -
     if ties and largest_group(df, ties) > group_limit(df):
         df = with_position(written(df), _ROW)
         order = [*order, F.col(_ROW)]
-    placed = written(df.orderBy(*order).withColumn(_PLACE, F.monotonically_increasing_id()))
+    slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // setting(df.sparkSession, "sliceRows", SLICE_ROWS)))
+    placed = written(df.repartitionByRange(slices, *order).sortWithinPartitions(*order).withColumn(_PLACE, F.monotonically_increasing_id()))
     place = F.col(_PLACE)
     return placed.withColumn(_SLICE, F.shiftright(place, _BITS)) \
         .withColumn(_OFFSET, place.bitwiseAND(F.lit((1 << _BITS) - 1))).drop(_PLACE, _ROW)
@@ -156,23 +158,21 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], name: str,
 
 def carry_values(df: DataFrame, values: dict[str, Column], order: list[Column], forward: bool = True,
                  ties: list[str] | None = None) -> DataFrame:
-    """Add one column per entry of `values`: the nearest non-NULL value at or before each row (after, if not forward)."""
+    """Add one column per entry of `values`: the nearest non-NULL value at or before each row (after, if not forward).
+
+    Both ways a slice is read once: backward is forward on the slice turned round."""
     sources = {name: free_name(f"__from_{i}", df.columns) for i, name in enumerate(values)}
     cut = _slices(df.select("*", *[v.alias(sources[n]) for n, v in values.items()]), order, ties)
-    window = W.partitionBy(_SLICE).orderBy(_OFFSET)
-    if forward:
-        window, nearest, edge = window.rowsBetween(W.unboundedPreceding, W.currentRow), F.last, F.max_by
-        outer, pick = _over_slices().rowsBetween(W.unboundedPreceding, -1), F.last
-    else:
-        window, nearest, edge = window.rowsBetween(W.currentRow, W.unboundedFollowing), F.first, F.min_by
-        outer, pick = _over_slices().rowsBetween(1, W.unboundedFollowing), F.first
+    window = W.partitionBy(_SLICE).orderBy(F.col(_OFFSET) if forward else F.col(_OFFSET).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    edge = F.max_by if forward else F.min_by
+    outer = W.partitionBy(F.lit(0)).orderBy(F.col(_SLICE) if forward else F.col(_SLICE).desc()).rowsBetween(W.unboundedPreceding, -1)
     ends = cut.groupBy(_SLICE).agg(*[
         edge(F.col(s), F.when(F.col(s).isNotNull(), F.col(_OFFSET))).alias(s) for s in sources.values()])
-    carried = ends.select(_SLICE, *[pick(F.col(s), ignorenulls=True).over(outer).alias(f"{s}_carried") for s in sources.values()])
+    carried = ends.select(_SLICE, *[F.last(F.col(s), ignorenulls=True).over(outer).alias(f"{s}_carried") for s in sources.values()])
     joined = cut.join(F.broadcast(carried), _SLICE)
     for name, source in sources.items():
         joined = joined.withColumn(
-            name, F.coalesce(nearest(F.col(source), ignorenulls=True).over(window), F.col(f"{source}_carried")))
+            name, F.coalesce(F.last(F.col(source), ignorenulls=True).over(window), F.col(f"{source}_carried")))
     return joined.drop(_SLICE, _OFFSET, *sources.values(), *[f"{s}_carried" for s in sources.values()])
 
 

@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 import csv
+import io
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,22 +16,34 @@ from ..plans.order import POSITION, with_position
 DELIMITERS = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|"}
 HEAD_LINES = 50
 GRID_HEAD_ROWS = 30
+EXTRA = "_extra_cells"
 BOM = "﻿"
 
 
-def _lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """The lines of a text file. The text source hands over the bytes as they are, so other encodings are decoded here."""
-    lines = spark.read.text(path)
-    if encoding.upper() in ("UTF-8", "UTF8"):
-        return lines
-    _allow_encoding(spark, encoding)
-    return lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+#: What windows-1252 has where ISO-8859-1 has control characters, from 0x80 on; five places are undefined.
+WINDOWS_1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+
+def _known(encoding: str) -> str:
+    """The encoding Spark reads it as: windows-1252 is read as ISO-8859-1, and `_decoded` changes what differs."""
+    return "ISO-8859-1" if encoding.lower() in ("windows-1252", "cp1252") else encoding
+
+
+def _decoded(text: Column, encoding: str) -> Column:
+    if _known(encoding) == encoding:
+        return text
+    return F.translate(text, "".join(map(chr, range(0x80, 0xA0))), WINDOWS_1252)
 
 
-def _allow_encoding(spark: SparkSession, encoding: str) -> None:
-    """Spark knows few encodings by name unless told to accept all that Java has."""
-    if encoding.lower() in ("windows-1252", "cp1252"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+def _text(value: Column, encoding: str) -> Column:
+    """The text source hands over the bytes as they are, so other encodings are decoded here."""
+    return value if encoding.upper() in ("UTF-8", "UTF8") else _decoded(F.decode(value.cast("binary"), _known(encoding)), encoding)
+
+
+def _lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """The lines of a text file."""
+    lines = spark.read.text(path)
+    return lines.withColumn("value", _text(F.col("value"), encoding))
 
 
 def _head(spark: SparkSession, path: str, lines: int, encoding: str = "UTF-8") -> list[str]:
@@ -59,34 +73,59 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, mode: str = "lossless", delimiter: str | None = None, encoding: str | None = None,
-                   multi_line: bool = False, position: bool = False) -> DataFrame:
+                   multi_line: bool = False, position: bool = False, ragged: str = "refuse") -> DataFrame:
     """A delimited table with a header.
 
     `lossless`: every cell is text and only the empty cell is missing, so 00123 and NA stay as they are. `infer`: text
     columns that hold only numbers become numbers. `multi_line` reads quoted line breaks, and then one file is one task;
-    leave it off for large files without them. `position` adds the file position as the row order."""
-    if mode not in ("lossless", "infer"):
-        raise TableError("mode is lossless or infer")
-    encoding = encoding or "UTF-8"
-    _allow_encoding(spark, encoding)
+    leave it off for large files without them. `position` adds the file position as the row order.
+
+    Without `encoding` the file is looked through for bytes that are no UTF-8. Rows with more cells than the header are
+    refused, which looks the file through as well; with `ragged="keep"` they stay, and the column `_extra_cells` holds
+    what follows the last named cell."""
+    if mode not in ("lossless", "infer") or ragged not in ("refuse", "keep"):
+        raise TableError("mode is lossless or infer, and ragged is refuse or keep")
+    encoding = encoding or detect_encoding(spark, path)
     delimiter = delimiter or detect_delimiter(spark, path)
     names = read_headers(spark, path, delimiter, encoding, keep_blank=True)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("quote", '"') \
-        .option("escape", '"').option("multiLine", multi_line).option("enforceSchema", True).option("mode", "PERMISSIVE")
+    extra, line = free_name(EXTRA, names), free_name("_line", [*names, EXTRA])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, extra, line]])
+    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", _known(encoding)).option("quote", '"') \
+        .option("escape", '"').option("multiLine", multi_line).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", line)
     df = reader.schema(schema).csv(path)
     if position:
         df = with_position(df)
+    if ragged == "refuse":
+        worst = reader.schema(schema).csv(path).select(col(extra)).filter(col(extra).isNotNull()).limit(1).collect()
+        if worst:
+            raise TableError(f"a row has more than the {len(names)} cells of the header; read it with ragged=\"keep\" to see such rows")
+    places = [col(POSITION)] if position else []
+    cells = [_decoded(col(n), encoding).alias(n) for n in names]
+    if ragged == "keep":
+        after = _after_cells(_decoded(col(line), encoding), len(names), delimiter)
+        cells.append(F.when(col(extra).isNotNull(), F.coalesce(after, _decoded(col(extra), encoding))).alias(extra))
+    df = df.select(*cells, *places)
     return infer_types(df) if mode == "infer" else df
 
 
+def _after_cells(line: Column, cells: int, delimiter: str) -> Column:
+    """What follows the first `cells` cells of a raw line."""
+    d = re.escape(delimiter)
+    cell = rf'(?:\s*"(?:[^"]|"")*"[^{d}]*|[^{d}]*)'
+    return F.regexp_replace(line, f"^(?:{cell}{d}){{{cells}}}", "")
+
+
 def read_headers(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8", keep_blank: bool = False) -> list[str]:
     """Column names from the first line, stripped, blanks dropped. Reads no data rows.
 
     `keep_blank` names blank columns `Column i` and keeps repeats apart, as a schema needs."""
     delimiter = delimiter or detect_delimiter(spark, path)
-    line = next((text for text in _head(spark, path, 1, encoding)), "")
-    names = [n.strip() for n in next(csv.reader([line], delimiter=delimiter), [])]
+    line = ""
+    for text in _head(spark, path, HEAD_LINES, encoding):            # a quoted header may hold line breaks
+        line = f"{line}\n{text}" if line else text
+        if line.count('"') % 2 == 0:
+            break
+    names = [n.strip() for n in next(csv.reader(io.StringIO(line, newline=""), delimiter=delimiter), [])]
     if not keep_blank:
         return [n for n in names if n]
     out: list[str] = []
@@ -120,10 +159,7 @@ def raw_grid(spark: SparkSession, path: str, delimiter: str | None = None, encod
     """Every line as an array of cells, with its position; empty cells are NULL. No header is taken."""
     delimiter = delimiter or detect_delimiter(spark, path)
     lines = with_position(spark.read.text(path))
-    if encoding.upper() not in ("UTF-8", "UTF8"):
-        _allow_encoding(spark, encoding)
-        lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
-    lines = lines.withColumn("value", F.regexp_replace("value", f"^{BOM}", ""))
+    lines = lines.withColumn("value", F.regexp_replace(_text(F.col("value"), encoding), f"^{BOM}", ""))
     widest = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(delimiter), F.lit(""))))).first()[0] or 0
     names = [f"c{i}" for i in range(widest + 1)]
     parsed = F.from_csv("value", ", ".join(f"{n} string" for n in names), {"sep": delimiter, "quote": '"', "escape": '"'})
@@ -150,7 +186,7 @@ def table_from_grid(grid: DataFrame, header_row: int, drop_empty: bool = True) -
     header: list = [None] * width
     body = grid
     if header_row:
-        first = grid.orderBy(POSITION).limit(header_row).collect()
+        first = grid.orderBy(POSITION).limit(header_row).orderBy(F.desc(POSITION)).limit(1).collect()      # one row
         header = list(first[-1].cells) + [None] * (width - len(first[-1].cells))
         body = grid.filter(F.col(POSITION) > _literal(grid, first[-1][POSITION]))
     names, unnamed, seen = [], [], {}

@@ -5,19 +5,20 @@ import json
 import re
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import TableError, canonical_text, col, filled, free_name, is_text, require_columns, strip, type_of
-from ..plans.order import dense_index, file_order, order_value, tie_names
-from ..session import setting
+from ..plans.order import dense_index, file_order, first_place, tie_names
+from ..session import setting, written
 
 VERSION = "0.1"
 CHUNK_ROWS = 40_000
 MOST_CHUNK_ROWS = 1_000_000
 MOST_SPLIT_VALUES = 500
 MOST_TASKS = 20_000
+LABEL_LENGTH = 60
 SECRET_NAME = re.compile(r"pass(word)?|secret|token|api[_-]?key|credential", re.I)     # fixed value
 _RISKY = r"^[=+\-@\t\r]"
 
@@ -49,10 +50,11 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", **options) -> None
 
 
 # ---- splitting ------------------------------------------------------------------------------------------------------
-def split_by_rows(df: DataFrame, rows: int = CHUNK_ROWS, order_by=None, name: str = "chunk") -> DataFrame:
-    """Add the number of the file each row belongs to: 1 for the first `rows` rows, and so on."""
-    if not 1 <= rows <= MOST_CHUNK_ROWS:
-        raise TableError(f"a file holds 1 to {MOST_CHUNK_ROWS:,} rows")
+def split_by_rows(df: DataFrame, rows: int = CHUNK_ROWS, order_by=None, name: str = "chunk", most_rows: int | None = MOST_CHUNK_ROWS) -> DataFrame:
+    """Add the number of the file each row belongs to: 1 for the first `rows` rows, and so on. A file of more than
+    `most_rows` rows is refused, as spreadsheets do not open it; None lifts that."""
+    if rows < 1 or (most_rows is not None and rows > most_rows):
+        raise TableError(f"a file holds at least one row, and at most {most_rows:,} unless most_rows says otherwise" if most_rows else "a file holds at least one row")
     name, index = free_name(name, df.columns), free_name("__index", df.columns)
     numbered = dense_index(df, file_order(df, order_by), index, start=0, ties=tie_names(df, order_by))
     return numbered.withColumn(name, F.floor(F.col(index) / F.lit(rows)) + 1).drop(index)
@@ -68,20 +70,25 @@ def write_split_by_rows(df: DataFrame, path: str, rows: int = CHUNK_ROWS, order_
     chunks.repartition(min(last, MOST_TASKS), col(part)).sortWithinPartitions(col(part), *order).write.partitionBy(part).format(file_format).save(path)
 
 
-def split_labels(df: DataFrame, column: str, order_by=None) -> DataFrame:
+def split_labels(df: DataFrame, column: str, order_by=None, longest: int = LABEL_LENGTH) -> DataFrame:
     """(value, label, rows, number): one label per stripped value in order of first appearance, `blank` for blanks.
 
-    Labels keep 60 safe characters; labels that clash without case get _2, _3. More than 500 values are refused."""
+    Labels keep `longest` safe characters. Up to `spark.gridloom.splitValues` (500) values, labels that clash without case
+    get _2, _3; with more values, all later ones of a clash get ~ and their number, and no label passes through the driver."""
     require_columns(df, [column])
     dtype = type_of(df, column)
     value = canonical_text(strip(filled(col(column), dtype)) if is_text(dtype) else filled(col(column), dtype), dtype)
-    found = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("rows"), F.min(order_value(df, order_by)).alias("at"))
+    found = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("rows"), F.min(first_place(df, order_by)).alias("at"))
     most = setting(df.sparkSession, "splitValues", MOST_SPLIT_VALUES)
-    if found.limit(most + 1).count() > most:
-        raise TableError(f"{column!r} has more than {most:,} different values; choose a column with fewer")
     safe = F.regexp_replace("value", r"(?U)[^\p{L}\p{N}_-]", "_")
-    safe = F.regexp_replace(F.left(safe, F.lit(60)), "^_+|_+$", "")
+    safe = F.regexp_replace(F.left(safe, F.lit(longest)), "^_+|_+$", "")
     labels = found.select("value", "rows", "at", F.when(F.col("value").isNull(), "blank").when(safe == "", "value").otherwise(safe).alias("label"))
+    labels = written(labels)
+    if labels.limit(most + 1).count() > most:
+        numbered = dense_index(labels, [F.col("at")], "number", start=1)
+        again = F.row_number().over(Window.partitionBy(F.lower("label")).orderBy("at")) > 1
+        label = F.when(again, F.concat("label", F.lit("~"), F.col("number").cast("string"))).otherwise(F.col("label"))
+        return numbered.select("value", label.alias("label"), F.col("rows").cast("bigint").alias("rows"), F.col("number").cast("int").alias("number"))
     used, rows = set(), []
     for number, r in enumerate(labels.orderBy("at").select("value", "rows", "label").collect(), 1):       # at most 500 rows
         name, suffix = r.label, 2
@@ -93,11 +100,11 @@ def split_labels(df: DataFrame, column: str, order_by=None) -> DataFrame:
 
 
 def split_by_value(df: DataFrame, column: str, order_by=None, name: str = "label") -> DataFrame:
-    """Add the label of the file each row belongs to. The labels are at most 500 rows, so they are broadcast."""
+    """Add the label of the file each row belongs to. Spark broadcasts the labels if they are few."""
     labels = split_labels(df, column, order_by).select(F.col("value").alias("__value"), F.col("label").alias("__label"))
     dtype = type_of(df, column)
     value = canonical_text(strip(filled(col(column), dtype)) if is_text(dtype) else filled(col(column), dtype), dtype)
-    joined = df.join(F.broadcast(labels), value.eqNullSafe(F.col("__value")), "left")
+    joined = df.join(labels, value.eqNullSafe(F.col("__value")), "left")
     return joined.withColumn(free_name(name, df.columns), F.col("__label")).drop("__value", "__label")
 
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The word lists of the benchmark table.
-FIRST_NAMES = ["James", "Mary", "John", "Linda", "Robert", "Patricia", "Michael", "Susan", "David", "Karen", "Wei", "Aisha",
-               "Carlos", "Priya", "Olga"]
-LAST_NAMES = ["Smith", "Jones", "Brown", "Lee", "Garcia", "Khan", "Nguyen", "Patel", "Silva", "Muller", "Kim", "Rossi"]
-CATEGORIES = ["Hardware", "Software", "Services", "Consulting", "Travel", "Office"]
-REGIONS = ["NA", "EMEA", "APAC", "LATAM"]
-STATUSES = ["Pending", "Approved", "Paid", "Rejected"]
-NOTES = ["rush", "backorder", "gift", "net30"]
+# Own words; only how many of them there are matters for the size of groups.
+FIRST_NAMES = [f"{a}{b}" for a in ("Al", "Ber", "Cor", "Dan", "El") for b in ("a", "in", "ou")]
+LAST_NAMES = [f"{a}{b}" for a in ("Dor", "Fell", "Gran") for b in ("by", "ham", "ton", "wick")]
+CATEGORIES = ["bolts", "cables", "drills", "gears", "lamps", "pumps"]
+REGIONS = ["east", "north", "south", "west"]
+STATUSES = ["closed", "held", "open", "sent"]
+NOTES = ["fragile", "heavy", "late", "wet"]
 
 
 def synthetic_table(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame:

@@ -388,7 +388,7 @@ def every_nth(spark, sf):
     return sorting.every_nth(table(spark, sf, "orders"), 10, ["o_orderkey"]).select("o_orderkey")
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('7:' || o_orderkey::VARCHAR), o_orderkey LIMIT 100")
 def sample_n(spark, sf):
     return sorting.sample_n(table(spark, sf, "orders"), 100, 7, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
 
@@ -725,18 +725,38 @@ def profile_booleans(spark, sf):
     return profile.boolean_counts(table(spark, sf, "events").select((F.col("value") > 50).alias("big")))
 
 
-_EVENT_TYPES = [("event_id", "Integer"), ("ts", "Date"), ("user_id", "Integer"), ("event_type", "Text"), ("value", "Float"), ("mail", "Email"), ("code", "ID/Serial"),
-                ("day", "Date"), ("yes", "Boolean"), ("price", "Currency"), ("site", "URL"), ("pct", "Percentage"), ("nothing", "Unknown")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in _EVENT_TYPES) + ") v(\"column\", detected_type)")
+#: Text columns made from events: the type looked for, what a cell of it looks like in SQL, its format, and how Spark and SQL make the cell.
+_K = "event_id"
+_MADE = [
+    ("mail", "Email", "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}", None, "concat('user', event_id, '@example.com')"),
+    ("late", "Email", "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}", None, "CASE WHEN event_id < 2000 THEN concat('user', event_id, '@example.com') ELSE concat('no mail ', event_id) END"),
+    ("most", "Email", "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}", None, "CASE WHEN event_id % 7 = 3 THEN 'none' ELSE concat('user', event_id, '@example.com') END"),
+    ("code", "ID/Serial", "[A-Z]{2,}-?[0-9]+", None, "concat('EV-', lpad(cast(event_id AS STRING), 9, '0'))"),
+    ("yes", "Boolean", "yes|No", None, "CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'No' END"),
+    ("price", "Currency", "[$][0-9,]+([.][0-9]+)?", "Symbol: $", "concat('$', event_id)"),
+    ("site", "URL", "https?://[^\\s/$.?#].[^\\s]*", None, "concat('https://example.com/', event_id)"),
+    ("day", "Date", "[0-9]{2}/[0-9]{2}/[0-9]{4}", "Format: %m/%d/%Y", "concat(lpad(cast(1 + event_id % 12 AS STRING), 2, '0'), '/', lpad(cast(1 + event_id % 28 AS STRING), 2, '0'), '/2024')"),
+    ("words", "Text", "", None, "concat('plain words ', event_id)"),
+]
+
+
+def _made_sql() -> str:
+    parts = []
+    for name, kind, pattern, info, made in _MADE:
+        share = f"sum(CASE WHEN regexp_full_match({name}, '{pattern}') THEN 1 ELSE 0 END) * 100.0::DOUBLE / count({name})"
+        fits = f"({share} >= 80)" if kind != "Text" else "FALSE"
+        shown = "NULL" if info is None else f"CASE WHEN {fits} THEN '{info}' END"
+        parts.append(f"""SELECT '{name}' AS "column", CASE WHEN {fits} THEN '{kind}' ELSE 'Text' END AS detected_type, CASE WHEN {fits} THEN round({share}, 1) ELSE 100.0 END AS confidence,
+            {shown}::VARCHAR AS format_info FROM t""")
+    columns_ = ", ".join(f"{made.replace('AS STRING', 'AS VARCHAR')} AS {name}" for name, _, _, _, made in _MADE)
+    return f"WITH t AS (SELECT {columns_} FROM events) " + " UNION ALL ".join(parts)
+
+
+@query(_made_sql())
 def semantic_types(spark, sf):
-    k = F.col("event_id").cast("string")
-    df = table(spark, sf, "events").drop("props").withColumns({
-        "mail": F.concat(F.lit("user"), k, F.lit("@example.com")), "code": F.concat(F.lit("EV-"), F.lpad(k, 9, "0")), "day": F.date_format("ts", "MM/dd/yyyy"),
-        "yes": F.when(F.col("event_id") % 2 == 0, "yes").otherwise("No"), "price": F.concat(F.lit("$"), F.format_number("value", 2)),
-        "site": F.concat(F.lit("https://example.com/"), k), "pct": F.col("value") / 1000, "nothing": F.lit(None).cast("string")})
-    return profile.semantic_types(df, order_by=["event_id"]).select("column", "detected_type")
+    """Over all rows: `late` stops being an address after the first 2000."""
+    df = table(spark, sf, "events").select("event_id", *[F.expr(made).alias(name) for name, _, _, _, made in _MADE])
+    return profile.semantic_types(df, [name for name, *_ in _MADE], order_by=["event_id"])
 
 
 @query(f"""WITH t AS (SELECT 'value' AS "column", count(*) - count(value) AS null_count, count(*) AS n FROM {_BLANKED})
@@ -764,6 +784,12 @@ def table_overview(spark, sf):
     return out.select(F.col("rows").cast("bigint").alias("rows"), "columns", "duplicate_rows", "reclassified_columns")
 
 
+@query(" UNION ALL ".join(f"""SELECT '{n}' AS "column", '{k}' AS detected_type, 100.0::DOUBLE AS confidence, NULL::VARCHAR AS format_info FROM {t} GROUP BY ALL HAVING count({n}) > 0"""
+    for t, n, k in (("part", "p_partkey", "Integer"), ("part", "p_retailprice", "Float"), ("part", "p_size", "Integer"))))
+def semantic_types_of_numbers(spark, sf):
+    return profile.semantic_types(table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size"))
+
+
 # ---- keys -----------------------------------------------------------------------------------------------------------
 _KEY_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 
@@ -779,7 +805,7 @@ def _key_sql() -> str:
 
 @query(_key_sql())
 def minimal_keys(spark, sf):
-    found = keys.find_minimal_keys(table(spark, sf, "lineitem"), _KEY_COLUMNS, seconds=None)
+    found = keys.find_minimal_keys(table(spark, sf, "lineitem"), _KEY_COLUMNS)
     return spark.createDataFrame([(" + ".join(sorted(k)), found.truncated) for k in found.keys], "key string, truncated boolean")
 
 
@@ -870,6 +896,85 @@ def csv_inferred(spark, sf):
     return readers.read_delimited(spark, _saved_csv(spark, sf), mode="infer")
 
 
+@query("""SELECT c_custkey::VARCHAR AS c_custkey, c_name || ' €’é' AS label FROM customer""")
+def csv_windows_1252(spark, sf):
+    """Written with the bytes of windows-1252, read without naming the encoding."""
+    path = scratch_path(spark, ".csv")
+    label = F.translate(F.concat("c_name", F.lit(" €’é")), "€’", "\x80\x92")
+    table(spark, sf, "customer").select("c_custkey", label.alias("label")).write.options(header=True, encoding="ISO-8859-1").csv(path)
+    return readers.read_delimited(spark, path)
+
+
+@query("""SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN 'more;and "more"' WHEN c_custkey % 5 = 1 THEN 'x' END AS _extra_cells FROM customer""")
+def csv_ragged(spark, sf):
+    path = scratch_path(spark, ".csv")
+    tail = F.when(F.col("c_custkey") % 5 == 0, ';more;and "more"').when(F.col("c_custkey") % 5 == 1, ";x").otherwise("")
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(";"), "c_name", tail)
+    table(spark, sf, "customer").select(line.alias("c_custkey;c_name")).write.options(header=True, sep="\t", quote="\x01", escape="\x01").csv(path)
+    return readers.read_delimited(spark, path, ragged="keep")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS o_orderkey, o_totalprice * 2 AS doubled, o_orderkey + o_custkey::DOUBLE AS added, NULL::DOUBLE AS bad, round(o_totalprice, 1) AS rounded,
+    power(o_orderkey::DOUBLE, 2) AS squared, o_orderkey / 2 AS half FROM orders""")
+def calc_on_text(spark, sf):
+    """Arithmetic on a table whose every column is text."""
+    df = readers.read_delimited(spark, _saved_csv(spark, sf))
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    made = {"doubled": f.MULTIPLY(price, 2), "added": f.ADD(key, F.col("code")), "bad": f.ADD(F.col("o_orderpriority"), 1), "rounded": f.ROUND(price, 1), "squared": f.POWER(key, 2)}
+    for name, expression in made.items():
+        df = columns.calculated_column(df, name, expression)
+    return columns.calculated_column(df, "half", "o_orderkey / 2", infer=True).select("o_orderkey", *made, "half")
+
+
+_PARTS_SQL = "SELECT o_orderkey, {} AS part FROM orders"
+
+
+@query(_PARTS_SQL.format("regexp_replace(regexp_replace(o_orderpriority, '[^A-Za-z0-9_-]', '_', 'g'), '^_+|_+$', '', 'g')"))
+def written_by_value(spark, sf):
+    path = scratch_path(spark)
+    sinks.write_split_by_value(table(spark, sf, "orders"), path, "o_orderpriority", ["o_orderkey"])
+    return spark.read.parquet(path).select("o_orderkey", F.col("part").cast("string").alias("part"))
+
+
+@query(_PARTS_SQL.format("CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 700) + 1 AS INTEGER)"))
+def written_by_rows(spark, sf):
+    path = scratch_path(spark)
+    sinks.write_split_by_rows(table(spark, sf, "orders"), path, 700, ["o_orderkey"])
+    return spark.read.parquet(path).select("o_orderkey", "part")
+
+
+@query("""SELECT 'keep' AS tool, (SELECT count(*) FROM orders) AS rows_in, count(*) AS rows_out, '{"above": 1000}' AS parameters FROM orders WHERE o_totalprice > 1000""")
+def written_log(spark, sf):
+    path, df = scratch_path(spark), table(spark, sf, "orders")
+    sinks.write_with_log(df, df.filter("o_totalprice > 1000"), path, "keep", {"above": 1000, "password": "x"})
+    return spark.read.schema(sinks.LOG_SCHEMA).json(f"{path}.log").select("tool", "rows_in", "rows_out", "parameters")
+
+
+@query("""WITH t AS (SELECT event_type, event_id * 1000000007 + 1 AS big FROM events)
+  SELECT event_type, sum(big)::BIGINT AS big FROM t GROUP BY event_type UNION ALL SELECT 'Total', sum(big)::BIGINT FROM t""")
+def pivot_sum_whole(spark, sf):
+    """Sums that a double cannot hold."""
+    df = table(spark, sf, "events").select("event_type", (F.col("event_id") * 1000000007 + 1).alias("big"))
+    return pivot.pivot_table(df, ["event_type"], None, ["big"], "sum").df
+
+
+@query("""WITH t AS (SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY 1), o AS (SELECT l_linenumber::VARCHAR AS label, n, row_number() OVER (ORDER BY l_linenumber) AS place FROM t
+    UNION ALL SELECT 'Total', sum(n), 1 + (SELECT count(*) FROM t) FROM t)
+  SELECT label AS l_linenumber, n::BIGINT AS l_orderkey, place::BIGINT AS place FROM o""")
+def pivot_numeric_rows(spark, sf):
+    """Rows in number order; `place` is where the row stands in the result."""
+    out = pivot.pivot_table(table(spark, sf, "lineitem"), ["l_linenumber"], None, ["l_orderkey"], "count").df
+    return out.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query("SELECT event_id FROM events")
+def filter_equals_nan(spark, sf):
+    """A missing cell equals no text, so `not nan` keeps every row."""
+    df = table(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 3 == 0, float("nan")).otherwise(F.col("value")))
+    none = filters.row_filter(df, [{"column": "value", "operator": "equals", "value": "nan"}])
+    return filters.row_filter(df, [{"column": "value", "operator": "not_equals", "value": "nan"}]).unionByName(none).select("event_id")
+
+
 @query("""SELECT c_custkey, c_name, upper(c_mktsegment) AS c_mktsegment FROM customer WHERE c_acctbal >= 100""")
 def stream_row_operators(spark, sf):
     base = scratch_path(spark)

@@ -1,5 +1,6 @@
 """Filters, column operations, text, conversion, filling, validation and sorting."""
 import datetime as dt
+import itertools
 import random
 import re
 
@@ -34,12 +35,14 @@ def test_conditions(mixed, condition, want):
 
 
 def test_and_binds_tighter_than_or(spark, mixed):
-    df = spark.createDataFrame([(0, "1", "0", "0"), (1, "0", "1", "0"), (2, "0", "1", "1"), (3, "0", "0", "1")], "i int, a string, b string, c string")
-    rules = [{"column": "a", "operator": "equals", "value": "1"}, {"column": "b", "operator": "equals", "value": "1", "logic": "OR"},
-             {"column": "c", "operator": "equals", "value": "1", "logic": "AND"}]
-    assert values(filters.row_filter(df, rules), "i") == [0, 2]
-    inherited = [rules[0], rules[1], {"column": "c", "operator": "equals", "value": "1"}]
-    assert values(filters.row_filter(df, inherited), "i") == [0, 1, 2, 3]
+    cases = list(itertools.product("yn", repeat=4))
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a string, b string, c string, d string")
+    test = lambda name, **logic: {"column": name, "operator": "equals", "value": "y", **logic}                             # noqa: E731
+    y = [[v == "y" for v in c] for c in cases]
+    for logics, truth in (((None, "OR", "AND", "AND"), lambda a, b, c, d: a or b and c and d), ((None, "AND", "OR", "AND"), lambda a, b, c, d: a and b or c and d),
+                          ((None, "OR", None, "AND"), lambda a, b, c, d: a or b or c and d), ((None, None, None, "OR"), lambda a, b, c, d: a and b and c or d)):
+        rules = [test(n, **({"logic": x} if x else {})) for n, x in zip("abcd", logics)]
+        assert values(filters.row_filter(df, rules), "i") == [i for i, v in enumerate(y) if truth(*v)]
     for bad in ([], [{"column": "x", "operator": "equals"}], [{"column": "t", "operator": "like"}], [{"column": "n", "operator": "less_than", "value": "x"}]):
         with pytest.raises(TableError):
             filters.row_filter(mixed, bad)
@@ -58,6 +61,9 @@ def test_column_operations(spark):
         with pytest.raises(TableError):
             bad()
     assert columns.calculated_column(df, "n", "a + 1").first()["n"] == 2
+    texts = spark.createDataFrame([("6", "x"), ("0.5", "7")], "a string, b string")
+    doubled = columns.calculated_column(texts, "n", "a * 2", infer=True)
+    assert dict(doubled.dtypes) == {"a": "string", "b": "string", "n": "double"} and sorted(r.n for r in doubled.collect()) == [1.0, 12.0]
 
 
 def test_split_and_merge(spark):
@@ -159,21 +165,21 @@ def test_validation_against_plain_python(spark):
         blank = lambda x: x is None or not x.strip()
         number = lambda x: float(x) if re.fullmatch(r"-?\d+(\.\d+)?", x) else None
         if blank(a):
-            out.append("a: Required field is empty")
+            out.append("a: a value is needed")
         elif number(a) is None:
-            out.append(f"a: '{a}' is not a number, so it cannot be within the range")
+            out.append(f'a: "{a}" is no number, so it lies in no range')
         elif number(a) < 0:
-            out.append(f"a: Value {a} is below minimum 0")
+            out.append(f"a: {a} is less than 0")
         elif number(a) > 10:
-            out.append(f"a: Value {a} is above maximum 10")
+            out.append(f"a: {a} is more than 10")
         if not blank(b) and b not in ("red", "green"):
-            out.append(f"b: Value '{b}' not in allowed list")
+            out.append(f'b: "{b}" is none of the values listed')
         if not blank(c) and not re.fullmatch(r"[A-Z]{2}-\d{2}", c):
-            out.append("c: Value does not match required pattern")
+            out.append(f'c: "{c}" does not fit the pattern')
         if not blank(c) and len(c) < 5:
-            out.append(f"c: Length {len(c)} is outside the allowed range")
+            out.append(f"c: {len(c)} characters are too few or too many")
         if not blank(a) and number(a) is None:
-            out.append("a: Must be numeric")
+            out.append(f'a: "{a}" is no number')
         return out
     want = {r[0]: broken(*r[1:]) for r in data}
     result = validate.validate(df, rules, row_numbers=True, order_by=["i"])

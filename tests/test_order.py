@@ -138,3 +138,18 @@ def test_grouped_quantile(spark, mode, request):
         if v is not None:
             values.setdefault(k, []).append(v + w)
     assert got == {k: pytest.approx(quantile(v, 0.5)) for k, v in values.items()}
+
+
+def test_slices_are_bounded_and_backward_is_linear(spark):
+    from gridloom.plans import order
+    spark.conf.set("spark.gridloom.sliceRows", "100")
+    try:
+        df = spark.range(5000).select(F.col("id").alias("i"), F.when(F.col("id") % 40 == 0, F.col("id")).alias("v"))
+        sizes = order._slices(df, [F.col("i")]).groupBy(order._SLICE).count().agg(F.max("count"), F.count("*")).first()
+        assert sizes[0] <= 200 and sizes[1] >= 40
+        back = carry_values(df, {"next": F.col("v")}, [F.col("i")], forward=False)
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        assert "currentrow$(), unboundedfollowing$()" not in plan
+        assert {r.i: r.next for r in back.collect()} == {i: (i + 39) // 40 * 40 if i <= 4960 else None for i in range(5000)}
+    finally:
+        spark.conf.unset("spark.gridloom.sliceRows")

@@ -1,4 +1,5 @@
 """Joins, comparison, duplicates, grouping and pivots against brute force on small random tables."""
+import datetime as dt
 import itertools
 import random
 
@@ -265,24 +266,47 @@ def test_pivot_labels_names_and_shares(spark):
 
 
 def test_pivot_dates_and_filter(spark):
-    df = spark.createDataFrame([("N", "13/02/2024", "1"), ("N", "01/03/2024", "2"), ("S", None, "4"), ("S", "soon", "8"), ("S", "2023-12-31", "16")], "region string, day string, amt string")
-    months = pivot.pivot_table(df, ["day"], [], ["amt"], "sum", date_groups={"day": "month"}).df
-    assert {r.day: r.amt for r in months.collect()} == {"2024-02": 1, "2024-03": 2, "(blank)": 4, "(not a date)": 8, "2023-12": 16, "Total": 31}
-    quarters = pivot.pivot_table(df, ["day"], [], ["amt"], "sum", filters={"region": "N"}, date_groups={"day": "quarter"}).df
-    assert {r.day: r.amt for r in quarters.collect()} == {"2024-Q1": 3, "Total": 3}
+    start, rows = dt.date(2029, 11, 20), []
+    for i in range(120):
+        day = start + dt.timedelta(days=3 * i)
+        rows.append(("even" if i % 2 == 0 else "odd", None if i % 11 == 5 else "later" if i % 13 == 7 else f"{day:%d/%m/%Y}" if i % 3 else day.isoformat(), str(i), day))
+    df = spark.createDataFrame([r[:3] for r in rows], "side string, day string, n string")
+
+    def sums(unit, keep=lambda r: True):
+        out = {}
+        for r in filter(keep, rows):
+            label = "(blank)" if r[1] is None else "(not a date)" if r[1] == "later" else f"{r[3]:%Y-%m}" if unit == "month" else f"{r[3].year}-Q{(r[3].month + 2) // 3}"
+            for key in (label, "Total"):
+                out[key] = out.get(key, 0) + int(r[2])
+        return out
+    months = pivot.pivot_table(df, ["day"], [], ["n"], "sum", date_groups={"day": "month"}).df
+    assert {r.day: r.n for r in months.collect()} == sums("month")
+    quarters = pivot.pivot_table(df, ["day"], [], ["n"], "sum", filters={"side": "odd"}, date_groups={"day": "quarter"}).df
+    assert {r.day: r.n for r in quarters.collect()} == sums("quarter", lambda r: r[0] == "odd")
+
+
+def test_pivot_keeps_whole_numbers_and_number_order(spark):
+    big = 2 ** 53 + 1
+    df = spark.createDataFrame([(k, big + k, "None" if k % 2 else "nan") for k in (110, 9, 25, -4, 100)], "k int, v long, c string")
+    rows = pivot.pivot_table(df, ["k"], None, ["v"], "sum").df.collect()
+    assert [(r.k, r.v) for r in rows] == [(str(k), big + k) for k in (-4, 9, 25, 100, 110)] + [("Total", 5 * big + 240)]
+    assert pivot.pivot_table(df, ["k"], ["c"], ["v"], "count").df.columns == ["k", "v_None", "v_nan", "v_Total"]
 
 
 # ---- reshape --------------------------------------------------------------------------------------------------------
 def test_unpivot_and_back(spark):
-    df = spark.createDataFrame([("a", "N", "1", None, "3"), ("b", "S", "", "5", "6")], "account string, region string, jan string, feb string, mar string")
-    long = reshape.unpivot(df, ["account", "region"], name_column="month")
-    assert collected(long.df.groupBy("account").pivot("month", ["jan", "feb", "mar"]).agg(F.first("value"))) == [("a", "1", None, "3"), ("b", "", "5", "6")]
-    dropped = reshape.unpivot(df, ["account", "region"], drop_blank=True)
-    assert dropped.df.count() == 4 and tuple(dropped.metrics.first()) == (4, 2)
+    rng, names = random.Random(12), [f"m{k}" for k in range(4)]
+    data = [(f"id{i}", rng.choice("pq"), *[rng.choice([None, "", "7", "8.5", "z"]) for _ in names]) for i in range(30)]
+    df = spark.createDataFrame(data, "key string, side string, " + ", ".join(f"{n} string" for n in names))
+    long = reshape.unpivot(df, ["key", "side"], name_column="which")
+    assert collected(long.df.groupBy("key", "side").pivot("which", names).agg(F.first("value"))) == sorted(data, key=str)
+    dropped = reshape.unpivot(df, ["key", "side"], drop_blank=True)
+    blank = sum(v in (None, "") for r in data for v in r[2:])
+    assert dropped.df.count() == 120 - blank and tuple(dropped.metrics.first()) == (120 - blank, blank)
     mixed = reshape.unpivot(spark.createDataFrame([(1, 2.0, 5)], "i int, x double, y int"), ["i"]).df
     assert dict(mixed.dtypes)["value"] == "double"
     with pytest.raises(TableError):
-        reshape.unpivot(df, ["jan"], ["jan"])
+        reshape.unpivot(df, ["m1"], ["m1"])
 
 
 def test_transpose_and_its_limit(spark):
@@ -295,13 +319,15 @@ def test_transpose_and_its_limit(spark):
 
 
 def test_append(spark):
-    jan = spark.createDataFrame([("A", "1"), ("B", "2")], "Vendor string, Amount string")
-    feb = spark.createDataFrame([("3", "C", "n")], "`amount ` string, `Vendor Name` string, Note string")
-    mar = spark.createDataFrame([(4, "D")], "Amount int, Vendor string")
-    result = reshape.append_tables([("jan", jan), ("feb", feb), ("mar", mar)], {"feb": {"Vendor Name": "Vendor"}}, loose=True)
-    assert result.df.columns == ["source_file", "Vendor", "Amount", "Note"]
-    assert collected(result.df) == [("feb", "C", "3", "n"), ("jan", "A", "1", None), ("jan", "B", "2", None), ("mar", "D", "4", None)]
-    assert collected(result.side("partial_columns")) == [("Note", "jan"), ("Note", "mar")]
-    assert collected(result.metrics) == [("feb", 1), ("jan", 2), ("mar", 1)]
+    """Three tables whose columns differ in order, name, case, spaces and type."""
+    first = spark.createDataFrame([(f"k{i}", str(10 * i)) for i in range(3)], "Part string, Weight string")
+    second = spark.createDataFrame([("77", "k8", "wet")], "` weight` string, `Part No` string, State string")
+    third = spark.createDataFrame([(905, "k9"), (906, None)], "WEIGHT int, Part string")
+    result = reshape.append_tables([("one", first), ("two", second), ("three", third)], {"two": {"Part No": "Part"}}, loose=True)
+    assert result.df.columns == ["source_file", "Part", "Weight", "State"]
+    want = [("one", f"k{i}", str(10 * i), None) for i in range(3)] + [("two", "k8", "77", "wet"), ("three", "k9", "905", None), ("three", None, "906", None)]
+    assert collected(result.df) == sorted(want, key=str)
+    assert collected(result.side("partial_columns")) == [("State", "one"), ("State", "three")]
+    assert collected(result.metrics) == [("one", 3), ("three", 2), ("two", 1)]
     with pytest.raises(TableError):
-        reshape.append_tables([("jan", jan)])
+        reshape.append_tables([("one", first)])
