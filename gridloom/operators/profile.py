@@ -185,11 +185,22 @@ PRIORITY = ["Boolean", "Date", "Email", "URL", "IP Address", "UUID", "SSN", "Cre
 THRESHOLD = 80.0
 
 
+def _may_match(text: Column) -> dict[str, Column]:
+    """What a text must show to fit a pattern at all: cheap tests that spare most texts the patterns."""
+    size, first, last = F.length(text), F.left(text, F.lit(1)), F.right(text, F.lit(1))
+    digit_last = last.between("0", "9")
+    return {"Email": F.contains(text, F.lit("@")), "URL": F.startswith(text, F.lit("http")) | F.startswith(text, F.lit("www.")), "IPv4": size.between(7, 15) & digit_last,
+            "IPv6": F.contains(text, F.lit(":")), "UUID": size == 36, "SSN": size == 11, "Card": size.between(16, 19) & digit_last, "Phone Number": size.between(9, 24) & digit_last,
+            "Currency": first.isin(*[m for m in CURRENCY_MARKS if len(m) == 1]) | F.right(text, F.lit(3)).isin(*[m for m in CURRENCY_MARKS if len(m) == 3]), "Percentage": last == "%",
+            "Postal Code": size.between(5, 10), "ID/Serial": digit_last, "Boolean words": size <= 5}
+
+
 def _full_match(text: Column, name: str) -> Column:
-    return functools.reduce(operator.or_, [text.rlike(rf"^(?:{p})\z") for p in PATTERNS[name]])
+    return _may_match(text)[name] & functools.reduce(operator.or_, [text.rlike(rf"^(?:{p})\z") for p in PATTERNS[name]])
 
 
 _NUMERIC_SHAPE = r"^(\d{1,4})([-/.])(\d{1,2})([-/.])(\d{1,4})(?:(T|\s+)(\d{1,2}):(\d{1,2}):(\d{1,2}))?\z"
+_DATE_START = r"^(?:\d{1,4}[-/.]\d|\d{1,2}\s+[A-Za-z]|[A-Za-z]{3,9}\s+\d)"
 _NAMED_SHAPES = (r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})\z", r"^([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})\z")
 
 
@@ -254,9 +265,9 @@ def _text_shares(df: DataFrame, columns: list[str], sample_rows: int | None, ord
         counted = value_counts(df, columns, order_by)
     else:
         counted = first_values(df, columns, sample_rows, order_by).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    cells = counted.select("column", "n", "at", strip(F.col("value")).alias("text")).select("*", _date_parts(F.col("text")).alias("parts"))
+    cells = counted.select("column", "n", "at", strip(F.col("value")).alias("text")).select("*", F.when(F.col("text").rlike(_DATE_START), _date_parts(F.col("text"))).alias("parts"))
     t = F.col("text")
-    flags = cells.select("column", "n", "at", "text", _formats(F.col("parts")).alias("dates"), *[_full_match(t, n).alias(n) for n in PATTERNS],
+    flags = cells.select("column", "n", "at", "text", F.when(F.col("parts").isNotNull(), _formats(F.col("parts"))).alias("dates"), *[_full_match(t, n).alias(n) for n in PATTERNS],
                          plain_number(t, T.StringType()).alias("number"))
     card = F.col("Card") & F.call_function("luhn_check", F.regexp_replace(t, r"\D", ""))
     total = F.sum("n")

@@ -656,10 +656,10 @@ _RULES = [{"column": "event_type", "type": "required"}, {"column": "event_type",
           {"column": "event_type", "type": "pattern", "value": "[a-z]+"}, {"column": "user_id", "type": "numeric"}, {"column": "nowhere", "type": "required"}]
 _NUMBER_TEXT = "CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE value::VARCHAR END"
 _BROKEN = f"""(SELECT event_id, list_filter([
-    CASE WHEN trim(event_type) = '' THEN 'event_type: Required field is empty' END,
-    CASE WHEN event_type = 'purchase' THEN 'event_type: Value ''purchase'' not in allowed list' END,
-    CASE WHEN value < 1 THEN 'value: Value ' || {_NUMBER_TEXT} || ' is below minimum 1' WHEN value > 60 THEN 'value: Value ' || {_NUMBER_TEXT} || ' is above maximum 60' END,
-    CASE WHEN trim(event_type) <> '' AND length(event_type) < 5 THEN 'event_type: Length ' || length(event_type)::VARCHAR || ' is outside the allowed range' END
+    CASE WHEN trim(event_type) = '' THEN 'event_type: a value is needed' END,
+    CASE WHEN event_type = 'purchase' THEN 'event_type: "purchase" is none of the values listed' END,
+    CASE WHEN value < 1 THEN 'value: ' || {_NUMBER_TEXT} || ' is less than 1' WHEN value > 60 THEN 'value: ' || {_NUMBER_TEXT} || ' is more than 60' END,
+    CASE WHEN trim(event_type) <> '' AND length(event_type) < 5 THEN 'event_type: ' || length(event_type)::VARCHAR || ' characters are too few or too many' END
   ], lambda x: x IS NOT NULL) AS errors FROM {_BLANKED})"""
 
 
