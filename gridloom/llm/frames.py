@@ -1,6 +1,7 @@
 """What the operators of this folder share: choosing columns, and passing rows through Python in bounded pieces."""
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -131,3 +132,25 @@ def without_ids(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     stay = marked.where("not maybe").select(*names)
     left = marked.where("maybe").select(*names).join(ids, at == F.col("gone"), "left_anti")
     return stay.union(left).toDF(*df.columns)
+
+
+class Spans:
+    """Spans of one text that do not overlap, in order; asking and adding take a search, not a pass."""
+
+    def __init__(self, spans=()):
+        self.starts, self.ends = [], []
+        for start, end in sorted(spans):                # overlapping ones are taken as one
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def add(self, start: int, end: int) -> bool:
+        """Add the span if it overlaps none; was it added?"""
+        at = bisect_right(self.starts, start)
+        if (at and self.ends[at - 1] > start) or (at < len(self.starts) and self.starts[at] < end):
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import words
-from .frames import documents, fields, map_pieces, table
+from .frames import Spans, documents, fields, map_pieces, table
 
 COVERAGE = 0.8
 SPREAD = 1.5                # a finding spans at most so many times the template's words
@@ -131,11 +131,8 @@ def align(text: list, template: Template) -> list[tuple[int, int, int]]:
             pairs = pairs[1:] if pairs[1][0] - pairs[0][0] > pairs[-1][0] - pairs[-2][0] else pairs[:-1]
         if len(pairs) >= template.need:
             found.append((len(pairs), start + pairs[0][0], start + pairs[-1][0] + 1))
-    chosen = []
-    for f in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
-        if all(f[2] <= c[1] or c[2] <= f[1] for c in chosen):
-            chosen.append(f)
-    return chosen
+    taken = Spans()
+    return [f for f in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])) if taken.add(f[1], f[2])]
 
 
 def _scan(templates):
@@ -159,10 +156,8 @@ def _scan(templates):
                     got += [(n / t.size, t.size, t.name, i, j) for n, i, j in align(text, t)]
             base, raw = int(w.bounds[d]), w.data[w.bounds[d]:w.bounds[d + 1]].tobytes()
             place = lambda byte: len(raw[:byte - base].decode())                                                    # noqa: E731
-            kept = []
-            for share, size, name, i, j in sorted(got, key=lambda g: (-g[0] * g[1], -g[0], g[2])):
-                if all(j <= k[3] or k[4] <= i for k in kept):                   # of overlapping findings, that of most words
-                    kept.append((share, size, name, i, j))
+            taken = Spans()                             # of overlapping findings, that of most words
+            kept = [g for g in sorted(got, key=lambda g: (-g[0] * g[1], -g[0], g[2])) if taken.add(g[3], g[4])]
             findings[d] = [{"license": n, "coverage": s, "start": place(int(w.start[a + i])), "end": place(int(w.end[a + j - 1]))} for s, _, n, i, j in sorted(kept, key=lambda k: k[3])]
         best = [max(f, key=lambda x: (x["coverage"], x["end"] - x["start"])) if f else None for f in findings]
         return {"doc_id": piece.column("doc_id"), "license": [b and b["license"] for b in best], "coverage": [b and b["coverage"] for b in best], "findings": findings}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import add_columns, documents, fields, map_pieces, table
+from .frames import Spans, add_columns, documents, fields, map_pieces, table
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "iban", "ssn", "local_phone"]
@@ -132,15 +132,14 @@ def score(kind: str, text: str, start: int) -> float:
 
 def find(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of every span, by start, then kind."""
-    out, taken = [], []
+    out, taken = [], Spans()
     for order, kind in enumerate(KINDS):
+        if order == len(BASE_KINDS):
+            taken = Spans((start, end) for start, _, end, _ in out)
         for start, end in _FINDERS[kind](text):
             value = score(kind, text, start)
-            if order < len(BASE_KINDS):
-                taken.append((start, end))
-            elif value < LEAST or any(a < end and start < b for a, b in taken):
-                continue
-            out.append((start, order, end, value))
+            if order < len(BASE_KINDS) or (value >= LEAST and taken.add(start, end)):
+                out.append((start, order, end, value))
     return [(KINDS[order], start, end, value) for start, order, end, value in sorted(out)]
 
 
