@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import TableError, canonical_text, col, free_name, require_columns, type_of
-from ..plans.order import dense_index, order_value
-from ..session import written
+from ..plans.order import dense_index, first_place, order_names
 from .dedupe import same_cells
 from .result import Result
 
+BLANK_SHARES = 256          # tasks over which blank cells are dealt, at most
+
 # Fixed value: name endings that say nothing about the values.
 SUFFIXES = ["_name", "_code", "_id", "_number", "_num", "_date", "_amount", "_value", "_account"]
 
@@ -29,16 +30,15 @@ def pseudonym_prefix(column: str) -> str:
 def _mapping(df: DataFrame, columns: list[str], prefix: str, digits: int, order_by) -> DataFrame:
     """k0.. (canonical texts), o0.. (as first written) and the pseudonym, numbered by first appearance."""
     texts = [canonical_text(col(n), type_of(df, n)) for n in columns]
-    at = order_value(df, order_by)
+    at = first_place(df, order_by)
     some = functools.reduce(operator.or_, [t.isNotNull() for t in texts])
     found = df.filter(some).groupBy(*[t.alias(f"k{i}") for i, t in enumerate(texts)]).agg(
         F.min(at).alias("__at"), *[F.min_by(col(n), at).alias(f"o{i}") for i, n in enumerate(columns)])
     numbered = dense_index(found, [F.col("__at")], "__number")
     number = F.col("__number").cast("string")
     padded = F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number) if digits else number
-    # written, so that the join knows its size: Spark broadcasts it only when it is small
-    return written(numbered.select(*[f"k{i}" for i in range(len(columns))], *[f"o{i}" for i in range(len(columns))],
-                                   F.concat(F.lit(prefix), padded).alias("pseudonym")))
+    # the numbering has written the values once, and reads them back here
+    return numbered.select(*[f"k{i}" for i in range(len(columns))], *[f"o{i}" for i in range(len(columns))], F.concat(F.lit(prefix), padded).alias("pseudonym"))
 
 
 def anonymize(df: DataFrame, columns: list[str], related: bool = False, order_by=None, short_prefix: bool = False) -> Result:
@@ -61,8 +61,16 @@ def anonymize(df: DataFrame, columns: list[str], related: bool = False, order_by
         name = free_name(f"__pseudonym_{g}", out.columns)
         side = mapping.select(*[F.col(f"k{i}").alias(f"__m{g}_{i}") for i in range(len(names))], F.col("pseudonym").alias(name))
         pairs = [(canonical_text(col(n), type_of(df, n)), F.col(f"__m{g}_{i}")) for i, n in enumerate(names)]
-        match = pairs[0][0] == pairs[0][1] if len(names) == 1 else same_cells(pairs)
-        out = out.join(side, match, "left").drop(*[f"__m{g}_{i}" for i in range(len(names))])
+        spread, none = free_name(f"__spread_{g}", out.columns), f"__none_{g}"
+        if len(names) == 1:
+            # blanks match nothing; a second key deals them out over many tasks
+            blank = F.pmod(F.xxhash64(*[col(n) for n in order_names(df, order_by)]), F.lit(BLANK_SHARES)) + 1
+            out = out.withColumn(spread, F.when(pairs[0][0].isNull(), blank).otherwise(F.lit(0)).cast("int"))
+            match = (pairs[0][0] == pairs[0][1]) & (F.col(spread) == F.col(none))
+            side = side.withColumn(none, F.lit(0))
+        else:
+            match = same_cells(pairs)
+        out = out.join(side, match, "left").drop(spread, none, *[f"__m{g}_{i}" for i in range(len(names))])
         for n in names:
             there: Column = canonical_text(col(n), type_of(df, n)).isNotNull()
             replaced[n] = F.when(there, F.col(name))

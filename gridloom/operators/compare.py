@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import (canonical_text, col, free_name, present, require_columns,
                                type_of)
 from ..plans.order import POSITION, file_order, order_names, running_sum
+from ..session import written
 from .joins import aligned_keys
 from .result import Result
 
@@ -98,11 +99,12 @@ class Comparison:
 
 
 def compare_tables(first: DataFrame, second: DataFrame, keys: list[str], columns: list[str] | None = None,
-                   first_order=None, second_order=None) -> Comparison:
+                   first_order=None, second_order=None, keep: bool = False) -> Comparison:
     """Match rows on the key and on which occurrence of that key they are, then compare the other shared columns.
 
     A key with one missing part is a key; a row whose key is missing altogether is set aside. Because the occurrence is
-    part of the join key, each pair is unique and a repeated key spreads over tasks."""
+    part of the join key, each pair is unique and a repeated key spreads over tasks. `keep` writes the matched rows once,
+    for when several outputs are read."""
     require_columns(first, keys, "the first table")
     require_columns(second, keys, "the second table")
     if columns:
@@ -135,6 +137,9 @@ def compare_tables(first: DataFrame, second: DataFrame, keys: list[str], columns
     joined = joined.withColumn("status", F.when(F.col("a_nth").isNull(), "added").when(F.col("b_nth").isNull(), "removed")
                                .when(any_change, "changed").otherwise("unchanged")).drop("a_nth", "b_nth")
 
+    if keep:
+        joined = written(joined)
+
     def keyless(rows, df, letter, number):
         cells = [canonical_text(F.col(f"{letter}{j}"), type_of(df, n)).alias(f"c{j}") for j, n in enumerate(columns)]
         return rows.select(F.lit(number).alias("__file"), *[F.col(f"{letter}k{i}").cast("string").alias(f"k{i}") for i in range(len(keys))], *cells)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.cells import (TableError, canonical_text, col, free_name, is_missing, loose_text, present,
                                require_columns, type_of)
-from ..plans.order import file_order, fits_one_task, order_value, running_sum, tie_names
+from ..plans.order import file_order, first_place, fits_one_task, order_value, running_sum, tie_names
 from .result import Result
 
 KEEP = ("first", "last", "most_complete")
@@ -40,7 +40,7 @@ def _groups(rows: DataFrame, id_column: str, columns: list[str], order_by) -> Da
     """__g0.. (the cells), __count, __keep and __first per group of more than one row.
 
     One aggregate that combines before the shuffle, so a group of any size is one row per task."""
-    at = order_value(rows, order_by)
+    at = first_place(rows, order_by)
     return rows.groupBy(*[_cell(rows, n).alias(f"__g{i}") for i, n in enumerate(columns)]).agg(
         F.count(F.lit(1)).alias("__count"), F.min_by(col(id_column), at).alias("__keep"), F.min(at).alias("__first")) \
         .filter(F.col("__count") > 1)

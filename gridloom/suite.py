@@ -487,9 +487,9 @@ _VERSIONS = """base AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 <> 0 THEN o
         ON a.cust IS NOT DISTINCT FROM b.cust AND a.status IS NOT DISTINCT FROM b.status AND a.nth = b.nth)"""
 
 
-def _comparison(spark, sf) -> compare.Comparison:
+def _comparison(spark, sf, keep: bool = False) -> compare.Comparison:
     first, second = _versions(spark, sf)
-    return compare.compare_tables(first, second, ["cust", "status"], ["price", "priority"], ["o_orderkey"], ["o_orderkey"])
+    return compare.compare_tables(first, second, ["cust", "status"], ["price", "priority"], ["o_orderkey"], ["o_orderkey"], keep)
 
 
 @query(f"WITH {_VERSIONS} SELECT cust, status, occurrence, change AS status_ FROM j")
@@ -507,7 +507,7 @@ def compare_changed(spark, sf):
 @query(f"""WITH {_VERSIONS} SELECT cust, status, ap AS price, ar AS priority, change FROM j WHERE change IN ('removed', 'unchanged')
   UNION ALL SELECT cust, status, bp, br, change FROM j WHERE change = 'added'""")
 def compare_outputs(spark, sf):
-    c = _comparison(spark, sf)
+    c = _comparison(spark, sf, keep=True)
     return c.added().withColumn("change", F.lit("added")).unionByName(c.removed().withColumn("change", F.lit("removed"))) \
         .unionByName(c.unchanged().withColumn("change", F.lit("unchanged")))
 
