@@ -5,7 +5,6 @@ Every function returns one row per column (or per value) in long form, so the re
 from __future__ import annotations
 
 import functools
-import operator
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -195,8 +194,10 @@ def _may_match(text: Column) -> dict[str, Column]:
             "Postal Code": size.between(5, 10), "ID/Serial": digit_last, "Boolean words": size <= 5}
 
 
-def _full_match(text: Column, name: str) -> Column:
-    return _may_match(text)[name] & functools.reduce(operator.or_, [text.rlike(rf"^(?:{p})\z") for p in PATTERNS[name]])
+def _full_matches(text: Column) -> list[Column]:
+    """For each of PATTERNS: does the whole text fit it?"""
+    may = _may_match(text)
+    return [(may[n] & text.rlike("^(?:" + "|".join(f"(?:{p})" for p in PATTERNS[n]) + r")\z")).alias(n) for n in PATTERNS]
 
 
 _NUMERIC_SHAPE = r"^(\d{1,4})([-/.])(\d{1,2})([-/.])(\d{1,4})(?:(T|\s+)(\d{1,2}):(\d{1,2}):(\d{1,2}))?\z"
@@ -267,7 +268,7 @@ def _text_shares(df: DataFrame, columns: list[str], sample_rows: int | None, ord
         counted = first_values(df, columns, sample_rows, order_by).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
     cells = counted.select("column", "n", "at", strip(F.col("value")).alias("text")).select("*", F.when(F.col("text").rlike(_DATE_START), _date_parts(F.col("text"))).alias("parts"))
     t = F.col("text")
-    flags = cells.select("column", "n", "at", "text", F.when(F.col("parts").isNotNull(), _formats(F.col("parts"))).alias("dates"), *[_full_match(t, n).alias(n) for n in PATTERNS],
+    flags = cells.select("column", "n", "at", "text", F.when(F.col("parts").isNotNull(), _formats(F.col("parts"))).alias("dates"), *_full_matches(t),
                          plain_number(t, T.StringType()).alias("number"))
     card = F.col("Card") & F.call_function("luhn_check", F.regexp_replace(t, r"\D", ""))
     total = F.sum("n")
