@@ -4,7 +4,9 @@ Rules name a host and the begin of a path, and hold for the host and all below i
 The other URLs are judged by the template of their path. Per host, a tree of path segments is built level by level:
 numbers, dates and hashes become wildcards by their shape, and so do the children of a node that are rare there. Sibling
 branches whose labelled share does not differ statistically from that of all siblings are merged, and so are those
-without labels. A template is rejected if its share of bad labelled URLs, smoothed towards the share of all, is high.
+without labels. `purity` is the share of bad labelled URLs of a template, smoothed towards the share of all. A template is
+rejected if that share is high when smoothed towards no more than PRIOR: however many bad URLs one host has, no template
+is rejected without labels of its own, 8 of them if all are bad.
 The URLs that a rule decides are the labelled ones, unless other labels are given.
 
 All counting is on aggregates by host and generalised path, which combine before the shuffle; a frequent host or path is
@@ -27,6 +29,7 @@ LEVELS = 4                  # path segments that a template tells apart; what fo
 KEEP = 0.02                 # share of its parent from which a segment stays literal
 SIMILAR = 1.96              # standard errors within which a branch is like its siblings
 SMOOTH, REJECT = 5.0, 0.8   # weight of the share of all, and the smoothed bad share that rejects
+PRIOR = 0.5                 # the share of all counts no higher than this when it comes to rejecting
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -98,11 +101,11 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None) -> Dat
     paths = urls.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce(F.col("bad").cast("long"), F.lit(0))).alias("bad"))
     tree = written(merged(templates(written(paths))))
     share = tree.agg((F.sum("bad") / F.sum("labelled")).alias("share")).first()["share"] or 0.0               # one number
-    purity = (F.col("bad") + SMOOTH * share) / (F.col("labelled") + SMOOTH)
+    smoothed = lambda prior: (F.col("bad") + SMOOTH * prior) / (F.col("labelled") + SMOOTH)                   # noqa: E731
     branches = tree.groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    judged = tree.select("host", "segments", "branch").join(branches.select("host", "branch", purity.alias("purity")), ["host", "branch"])
+    judged = tree.select("host", "segments", "branch").join(branches.select("host", "branch", smoothed(share).alias("purity"), (smoothed(min(share, PRIOR)) >= REJECT).alias("rejected")), ["host", "branch"])
     out = urls.join(written(judged), ["host", "segments"], "left")
-    verdict = F.coalesce("says", F.when((F.col("purity") >= REJECT) & (F.col("host") != ""), "block").otherwise("allow"))
+    verdict = F.coalesce("says", F.when(F.col("rejected") & (F.col("host") != ""), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("branch").alias("template"), "purity")
 
 
@@ -111,7 +114,7 @@ def op6_url_filter(spark, folder: str) -> DataFrame:
 
 
 def op6_sql(rules=RULES) -> str:
-    """The same in SQL."""
+    """The same in SQL, but that it rejects by `purity`: verdicts differ where the share of all is over PRIOR and decides."""
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "block"))
     case = lambda value: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{value(s, h, p)}'" for s, h, p in ordered) + " END"
     levels = ",\n".join(f"""c{k} AS (SELECT *, coalesce(segs[{k}], '') AS s FROM t{k - 1}),

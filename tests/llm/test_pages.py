@@ -99,3 +99,13 @@ def test_templates_by_labels(spark):
     assert all(got[i].verdict == ("block" if i % 3 == 0 else "allow") for i in range(600)) and got[9000].verdict == got[9001].verdict == "allow"
     assert {got[i].template for i in range(0, 600, 3)} == {"/spam/{n}/page-{n}.html"} and got[2].template.startswith("/{unlabelled}")
     assert url_filter.judge(df.limit(0)).collect() == []
+
+
+def test_a_hot_blocked_host_judges_no_other(spark):
+    rows = [(i, f"http://casino-win.example.com/en/{i}") for i in range(300)] + [(300 + i, f"http://h{i % 7}.org/{'abc'[i % 3]}/{i}") for i in range(570)]
+    rows += [(900 + i, f"http://www.example.com/en/{i}") for i in range(30)]
+    labels = [(i, True) for i in range(300)] + [(300, True), (303, True), (900, False)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    for got in (url_filter.judge(df), url_filter.judge(df, [], spark.createDataFrame(labels, "page_id long, bad boolean"))):
+        verdicts = {x.page_id: x.verdict for x in got.collect()}
+        assert [i for i, _ in rows if verdicts[i] == "block"] == list(range(300))
