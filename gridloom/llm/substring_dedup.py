@@ -2,14 +2,15 @@
 
 Texts are cut into sentences; long ones further, after words whose hash says so, so that a passage is cut alike wherever
 it stands. From each sentence on, the shortest run of at least two sentences and MIN_WORDS words is hashed. Hashes are
-counted over all documents; of each that occurs again, the first place (by doc_id, then place) stays, and sentences
+counted over all documents; of each that occurs again, the first place (by doc_id, text, place) stays, and sentences
 that any other place covers are removed. So any passage of more than 50 words that another document holds is found.
 
 Counting combines before the shuffle. Only runs that pass a bitmap of the repeated hashes (of fixed size) go through the
 second join, and only documents that lose something are joined with what they lose.
 
-Defined results: a NULL text stays NULL, an empty one empty. Repeated rows of one doc_id are one document and lose the
-same. Rows with a NULL doc_id come after all others, as one document. An empty table gives an empty result. Other
+Defined results: a NULL text stays NULL, an empty one empty. A document is a doc_id with a text (by its hash): repeated
+rows are one document and lose the same, rows that share only the doc_id are several, so are rows with a NULL doc_id,
+which come after all others. An empty table gives an empty result. Other
 columns are ignored. A text that loses all its sentences is empty.
 """
 from __future__ import annotations
@@ -59,11 +60,16 @@ class Cut:
         self.bounds = np.searchsorted(self.doc, np.arange(w.n_docs + 1))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with doc, print: what tells a document from the others."""
+    return docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("print", F.xxhash64(F.col("doc_id").isNull(), "text"))
+
+
 def _runs(piece: pa.RecordBatch) -> dict:
     """Per text: the hash of the run from each sentence on, NULL where there is none."""
     cut = Cut(piece.column("text"))
     values = pa.array(cut.hash.view(np.int64), pa.int64(), mask=cut.run == 0)
-    return {"doc_id": piece.column("doc_id"), "runs": pa.ListArray.from_arrays(pa.array(cut.bounds.astype(np.int32)), values)}
+    return {"doc": piece.column("doc"), "print": piece.column("print"), "runs": pa.ListArray.from_arrays(pa.array(cut.bounds.astype(np.int32)), values)}
 
 
 def _without(piece: pa.RecordBatch) -> dict:
@@ -74,7 +80,7 @@ def _without(piece: pa.RecordBatch) -> dict:
         a, b = int(cut.bounds[d]), int(cut.bounds[d + 1])
         cover = np.zeros(b - a + 1, np.int64)
         for p in places or []:
-            if p < b - a and cut.run[a + p]:            # rows of one doc_id may have different texts
+            if p < b - a and cut.run[a + p]:            # always, unless the hashes of two texts of one doc_id are equal
                 cover[p] += 1
                 cover[cut.run[a + p] - a] -= 1
         gone = np.cumsum(cover)[:-1] > 0
@@ -101,11 +107,10 @@ def _without(piece: pa.RecordBatch) -> dict:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed, removed (spans of code points of the old text), text without them."""
     source = documents(docs)
-    runs = written(map_pieces(source, "text", _runs, fields("doc_id:bigint", "runs:array<bigint>")))
-    key = F.coalesce("doc_id", F.lit(LAST)).alias("doc")
-    each = runs.select(key, F.posexplode("runs").alias("place", "run")).where("run is not null")
-    repeated = written(each.groupBy("run").agg(F.min(F.struct("doc", "place")).alias("first"), F.max(F.struct("doc", "place")).alias("last"))
-                       .where("first <> last").select("run", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place")))
+    runs = written(map_pieces(_keyed(source), "text", _runs, fields("doc:bigint", "print:bigint", "runs:array<bigint>")))
+    each = runs.select("doc", "print", F.posexplode("runs").alias("place", "run")).where("run is not null")
+    at = F.struct("doc", "print", "place")
+    repeated = written(each.groupBy("run").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("run", "first"))
     held = place_filter(repeated.select(F.col("run").bitwiseAND(F.lit(FILTER_BITS - 1))), FILTER_BITS)
 
     def again(batches):
@@ -117,18 +122,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             run = values.fill_null(0).to_numpy()[known]
             known, run = (x[maybe_in(held, run & (FILTER_BITS - 1))] for x in (known, run))
             row = np.searchsorted(offsets - offsets[0], known, "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row)), pa.array((known - (offsets - offsets[0])[row]).astype(np.int32)), pa.array(run)],
-                                             names=["doc", "place", "run"])
-    maybe = runs.select(key, "runs").mapInArrow(again, "doc long, place int, run long")
-    later = maybe.join(repeated, "run").where("doc <> first_doc or place <> first_place")
-    lost = written(later.groupBy("doc").agg(F.collect_set("place").alias("places")))
-    losing = place_filter(lost.select(id_place("doc")))
-
-    marked = map_pieces(source.withColumn("place", id_place(F.coalesce("doc_id", F.lit(LAST)))), "text",
+            place = pa.array((known - (offsets - offsets[0])[row]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(row)), batch.column("print").take(pa.array(row)), place, pa.array(run)],
+                                             names=["doc", "print", "place", "run"])
+    maybe = runs.mapInArrow(again, "doc long, print long, place int, run long")
+    later = maybe.join(repeated, "run").where(at != F.col("first"))
+    lost = written(later.groupBy("doc", "print").agg(F.collect_set("place").alias("places")))
+    losing = place_filter(lost.select(id_place("print")))
+
+    marked = map_pieces(_keyed(source).withColumn("place", id_place("print")), "text",
                         lambda p: {"doc_id": p.column("doc_id"), "text": p.column("text"), "maybe": maybe_in(losing, p.column("place").to_numpy())},
                         fields("doc_id:bigint", "text:string", "maybe:boolean"))
     none = marked.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<int>").alias("places"))
-    some = marked.where("maybe").withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).join(lost, "doc", "left").select("doc_id", "text", "places")
+    some = _keyed(marked.where("maybe")).join(lost, ["doc", "print"], "left").select("doc_id", "text", "places")
     schema = fields("doc_id:bigint", "text:string", "n_sentences:bigint", "n_removed:bigint", "removed:string")
     return map_pieces(none.unionByName(some), "text", _without, schema)
 

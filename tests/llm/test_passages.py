@@ -100,3 +100,14 @@ def test_repeated_rows_and_no_rows(docs_of, prose):
     rows = substring_dedup.deduplicated(docs_of([(1, t), (1, t), (None, t), (None, t), (0, "x")])).collect()
     assert sorted((str(x.doc_id), x.n_removed > 0) for x in rows) == [("0", False), ("1", False), ("1", False), ("None", True), ("None", True)]
     assert substring_dedup.deduplicated(docs_of([])).collect() == []
+
+
+def test_rows_without_an_id_or_with_one_id_lose_only_what_is_repeated(docs_of, prose):
+    p = [prose(600 + k, 60) for k in range(4)]
+    own = [prose(700 + k, 90) for k in range(8)]
+    for d in (None, 5):
+        docs = [(1, f"{p[0]}\n{p[1]}"), (d, f"{p[0]}\n{own[0]}"), (d, f"{own[1]}\n{p[1]}"), (d, f"{own[2]}\n{own[3]}"), (d, f"{own[4]}\n{own[5]}"), (d, f"{p[2]}\n{own[6]}"), (d, f"{p[2]}\n{own[7]}")]
+        texts = [x.text for x in substring_dedup.deduplicated(docs_of(docs)).collect()]
+        whole = "\n".join(texts)
+        assert all(whole.count(x) == 1 for x in own + p[:2]) and docs[3][1] in texts and docs[4][1] in texts
+        assert whole.count(p[2]) == 1                       # the other copy, at the same place, is found
