@@ -1,9 +1,13 @@
 """Repeated passages, by sliding spans of sentences.
 
-Texts are cut into sentences; long ones further, after words whose hash says so, so that a passage is cut alike wherever
-it stands. From each sentence on, the shortest run of at least two sentences and MIN_WORDS words is hashed. Hashes are
-counted over all documents; of each that occurs again, the first place (by doc_id, text, place) stays, and sentences
-that any other place covers are removed. So any passage of more than 50 words that another document holds is found.
+Texts are cut into sentences, and these further by winnowing: of each NEAR words in a row, the last with the smallest hash
+ends a part. Which words of a passage do so is alike wherever it stands, but for its first and last NEAR words. From each
+sentence (or part of one) on, the shortest run of at least two and MIN_WORDS words is hashed. Hashes are counted over all
+documents; of each that occurs again, the first place (by doc_id, text, place) stays, and sentences that any other place
+covers are removed. Any passage of more than 50 words that another document holds is found: a part ends within its first
+7 words, the run from there on within 36 more, and the 7 behind are inside the passage too. What is left of a
+passage found is at most the words before that part's end and those after the last run that ends inside, no more than a
+few parts.
 
 Counting combines before the shuffle. Only runs that pass a bitmap of the repeated hashes (of fixed size) go through the
 second join, and only documents that lose something are joined with what they lose.
@@ -25,8 +29,7 @@ from . import words
 from .frames import documents, fields, id_place, map_pieces, maybe_in, place_filter, table
 
 MIN_WORDS, MIN_SENTENCES = 30, 2
-LONG = 16                   # words from which a sentence is cut further
-CUT = 8                     # one word in so many ends such a part
+NEAR = 7                    # words in a row of which one ends a part; 3 * NEAR + MIN_WORDS <= 53 finds all passages of 51 words
 FILTER_BITS = 1 << 27       # 16 MB
 LAST = (1 << 63) - 1        # order of a NULL doc_id
 
@@ -43,9 +46,7 @@ class Cut:
         if n:
             ends[:-1] |= (breaks[w.start[1:]] > breaks[w.end[:-1]]) | (w.doc[1:] != w.doc[:-1])
             ends[-1] = True
-        close = np.flatnonzero(ends)
-        length = np.diff(np.concatenate([[-1], close]))
-        ends |= (np.repeat(length, length) > LONG) & (hashes % np.uint64(CUT) == 0)
+        ends[_least(hashes, w.doc)] = True
         self.last = np.flatnonzero(ends)
         self.first = np.concatenate([[0], self.last[:-1] + 1]).astype(np.int64) if n else self.last
         self.doc = w.doc[self.first]
@@ -60,6 +61,19 @@ class Cut:
         self.bounds = np.searchsorted(self.doc, np.arange(w.n_docs + 1))
 
 
+def _least(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The last smallest hash of each NEAR words in a row of one text."""
+    many = len(hashes) - NEAR + 1
+    if many <= 0:
+        return np.zeros(0, np.int64)
+    best, at = hashes[:many].copy(), np.arange(many)
+    for k in range(1, NEAR):
+        less = hashes[k:k + many] <= best
+        best[less] = hashes[k:k + many][less]
+        at[less] = np.flatnonzero(less) + k
+    return at[doc[:many] == doc[NEAR - 1:]]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """`docs` with doc, print: what tells a document from the others."""
     return docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("print", F.xxhash64(F.col("doc_id").isNull(), "text"))

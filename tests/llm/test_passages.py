@@ -111,3 +111,20 @@ def test_rows_without_an_id_or_with_one_id_lose_only_what_is_repeated(docs_of, p
         whole = "\n".join(texts)
         assert all(whole.count(x) == 1 for x in own + p[:2]) and docs[3][1] in texts and docs[4][1] in texts
         assert whole.count(p[2]) == 1                       # the other copy, at the same place, is found
+
+
+def test_every_passage_of_more_than_50_words_is_found():
+    r = random.Random(77)
+    word = lambda mark: f"w{int(r.paretovariate(0.5)) % 3000:x}{r.choice(mark)}"                    # noqa: E731
+    for mark in (["", "", "", ".", ","], [""], [""] * 30 + ["."]):
+        words = [word(mark) for _ in range(6000)]
+        for size in (51, 55, 60):
+            left = []
+            for _ in range(300):
+                a = r.randrange(len(words) - size)
+                texts = [" ".join(x) for x in (words[max(0, a - 100):a + size + 100], [word(mark) for _ in range(r.randrange(40))] + words[a:a + size] + [word(mark) for _ in range(r.randrange(40))])]
+                cut = substring_dedup.Cut(pa.array(texts))
+                known, other = (cut.doc == 0) & (cut.run > 0), np.flatnonzero((cut.doc == 1) & (cut.run > 0))
+                gone = {k for i in other[np.isin(cut.hash[other], cut.hash[known])] for k in range(cut.first[i], cut.last[cut.run[i] - 1] + 1)}
+                left.append(size - len(gone))
+            assert max(left) < size - 29 and np.mean(left) < 12, (size, max(left), np.mean(left))
