@@ -1,9 +1,9 @@
 """From documents to packed sequences: quality rules, near-duplicates, benchmark passages, personal data, packing.
 
 Each stage takes all documents that its predecessor kept, as a table, and returns those that go on, with the columns of
-`documents`; the last returns the place of every piece. A stage that drops documents drops them by doc_id, so a row
-without one is never dropped by the two stages in the middle. Repeated rows are one document: near-duplicate removal
-leaves one of them. Columns are taken by position, so other columns and names that differ in case only pass unchanged.
+`documents`; the last returns the place of every piece. A document is a doc_id, or none, with a text, and the two stages in
+the middle drop by (the hash of) both. Repeated rows are one document: near-duplicate removal leaves one of them, also of
+those without a doc_id. Of a group it leaves the smallest doc_id, a row without one only if no other has one. Columns are taken by position, so other columns and names that differ in case only pass unchanged.
 """
 from __future__ import annotations
 
@@ -26,6 +26,13 @@ def _column(docs: DataFrame, name: str) -> str:
     return f"c{docs.columns.index(name)}"
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`docs` with columns by position and `row`, the key of the document; and the texts with that key as doc_id."""
+    key, text = F.col(_column(docs, "doc_id")).cast("bigint"), F.col(_column(docs, "text"))
+    keyed = _plain(docs).withColumn("row", F.xxhash64(key.isNull(), key, text.isNull(), text))
+    return keyed, keyed.select(F.col("row").alias("doc_id"), text.alias("text"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that fail no rule of the policy."""
     plain = _plain(docs)
@@ -34,21 +41,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    found = written(near_dup.near_duplicates(docs))
-    left = without_ids(docs, "doc_id", found.where("not kept").select("doc_id"))
-    again = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")))
-    if again.isEmpty():
-        return left
-    key, text, plain = _column(docs, "doc_id"), _column(docs, "text"), _plain(left)
-    same = F.col(key).cast("bigint") == F.col("again")
-    once = plain.join(again, same, "left_semi").dropDuplicates([key, text])
-    return plain.join(again, same, "left_anti").union(once).toDF(*docs.columns)
+    keyed, texts = _keyed(docs)
+    found = written(near_dup.near_duplicates(texts).groupBy(F.col("doc_id").alias("row")).agg(F.first("component_id").alias("component"), F.count("*").alias("n")))
+    groups = found.groupBy("component").count().where("count > 1").select("component")
+    ids = keyed.select("row", F.col(_column(docs, "doc_id")).cast("bigint").alias("id"))
+    members = written(ids.join(found.join(groups, "component").select("row", "component"), "row"))
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    first = members.groupBy("component").agg(F.min(order)["row"].alias("first"))
+    left = without_ids(keyed, "row", members.join(first, "component").where("row <> first").select("row"))
+    again = written(found.where("n > 1").select(F.col("row").alias("again")))
+    if not again.isEmpty():
+        same = F.col("row") == F.col("again")
+        left = left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates(["row"]))
+    return left.drop("row").toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    found = decontaminate.contaminated(docs, table(spark, folder, "benchmark"))
-    return without_ids(docs, "doc_id", found.where("contaminated").select("doc_id"))
+    keyed, texts = _keyed(docs)
+    found = decontaminate.contaminated(texts, table(spark, folder, "benchmark"))
+    return without_ids(keyed, "row", found.where("contaminated").select("doc_id")).drop("row").toDF(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

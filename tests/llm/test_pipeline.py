@@ -82,6 +82,21 @@ def test_stages_bear_odd_rows(spark, docs_of, prose, tmp_path):
     assert [x.doc_id for x in once] == [1]
 
 
+def test_rows_drop_by_id_and_text(spark, docs_of, prose, tmp_path):
+    item = prose(1, 30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c, d, e = (prose(20 + k, 80) for k in range(5))
+    leak = f"{e} {item}"
+    rows = [(1, a), (2, a), (2, b), (None, b), (None, a + " more"), (None, c), (None, c), (None, c + " more"), (None, d), (3, leak), (3, e), (None, leak), (None, None)]
+    docs = docs_of(rows)
+    once = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    held = [t for i, t in once if i is None and t in (c, c + " more")]
+    assert len(held) == 1
+    assert sorted(once, key=str) == sorted([(1, a), (2, b), (None, held[0]), (None, d), (3, leak), (3, e), (None, None)], key=str)
+    clean = [(x.doc_id, x.text) for x in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()]
+    assert sorted(clean, key=str) == sorted([x for x in rows if x[1] != leak], key=str)
+
+
 def test_queries_are_registered():
     names = list(contract.queries())
     for n in range(1, 11):
