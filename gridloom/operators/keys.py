@@ -4,60 +4,44 @@ from __future__ import annotations
 import functools
 import time
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cells import TableError, canonical_text, col, free_name, is_missing, present, require_columns, type_of
+from ..plans.hitting_sets import OutOfTime, minimal_hitting_sets, smallest_sets
 from ..plans.order import file_order, running_sum, tie_names
 from ..session import written
 from .dedupe import distinct_rows, exact_copies
 
-SAMPLE = 50_000                             # rows of the first screen
-SAMPLE_CELLS = 2_000_000                    # cells of the first screen at most (32 MB of hashes), so it can be sent to every task
+SAMPLE = 50_000                             # rows of the sample on the driver
+SAMPLE_CELLS = 2_000_000                    # its cells at most (16 MB of hashes)
 SCREEN = 5_000_000                          # rows of the second screen
-WAVE = 4_000                                # candidates tried on the sample by one job
-BATCH = 200                                 # candidates tried on the second screen by one job
-TOGETHER = 8                                # candidates confirmed on all rows by one job
+TOGETHER = 200                              # candidates tried by one job at most
+TAGGED_ROWS = 100_000_000                   # rows times candidates of one job, about
 SHARES = 64                                 # parts of the key space, one of which is looked at on large tables
+PAIRS = 2_000                               # row pairs compared at once for their difference sets
+WITNESSES = 16                              # repeated keys looked up for each refuted candidate
 
 
 @dataclass
 class KeySearch:
+    """`tested`: candidates tried on the table or its sample."""
     keys: list[list[str]] = field(default_factory=list)
     truncated: bool = False
     reason: str = ""
+    tested: int = 0
 
 
 def _hashed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Two arrays `a` and `b` with a 64-bit hash per column, seeded with the column and true to missing cells.
+    """Columns h0, g0, h1, g1, ..: two 64-bit hashes a column, seeded with the column and true to missing cells.
 
     The fingerprint of a combination is the exclusive or of its columns' hashes, so a row is hashed once, however many
     combinations are tried on it."""
-    def hashes(seed: int) -> Column:
-        return F.array(*[F.xxhash64(F.lit(2 * i + seed), is_missing(col(n), type_of(df, n)), present(col(n), type_of(df, n)))
-                         for i, n in enumerate(columns)])
-    return df.select(hashes(0).alias("a"), hashes(1).alias("b"))
-
-
-def _repeats(hashed: DataFrame, columns: list[str], candidates: list[tuple[str, ...]], shares: int = 1) -> set[tuple[str, ...]]:
-    """The candidates with a repeat, found for all of them by one aggregate.
-
-    With `shares`, only fingerprints in one of that many parts of the key space are looked at. All copies of a key fall
-    into the same part, so it shows repeats that a sample of rows would miss, while little is shuffled."""
-    place = {n: i for i, n in enumerate(columns)}
-    tried = F.lit([[place[n] for n in c] for c in candidates])
-
-    def mixed(hashes: Column, places: Column) -> Column:
-        return F.aggregate(places, F.lit(0).cast("bigint"), lambda total, j: total.bitwiseXOR(F.get(hashes, j)))
-    prints = F.transform(tried, lambda c, i: F.struct(i.alias("i"), mixed(F.col("a"), c).alias("a"), mixed(F.col("b"), c).alias("b")))
-    if shares > 1:
-        prints = F.filter(prints, lambda p: F.pmod(p["a"], F.lit(shares)) == 0)
-    groups = hashed.select(F.explode(prints).alias("p")).groupBy("p.i", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
-    return {candidates[r.i] for r in groups.filter("n > 1").select("i").distinct().collect()}       # at most BATCH rows
+    cells = [(is_missing(col(n), type_of(df, n)), present(col(n), type_of(df, n))) for n in columns]
+    return df.select(*[F.xxhash64(F.lit(2 * i + seed), *cell).alias(f"{letter}{i}") for i, cell in enumerate(cells) for seed, letter in ((0, "h"), (1, "g"))])
 
 
 def _share(df: DataFrame, columns: list[str], rows: int, wanted: int) -> DataFrame:
@@ -66,116 +50,176 @@ def _share(df: DataFrame, columns: list[str], rows: int, wanted: int) -> DataFra
     return df if parts <= 1 else df.filter(F.pmod(F.xxhash64(*[col(n) for n in columns]), F.lit(parts)) == 0)
 
 
-def _sample_hashes(df: DataFrame, columns: list[str], rows: int, wanted: int):
-    """The hashes of a sample as two arrays, one line per column, sent to every executor. Bounded in rows and in cells."""
-    most = max(1, min(wanted, SAMPLE, SAMPLE_CELLS // len(columns)))
-    collected = _hashed(_share(df, columns, rows, most).limit(2 * most), columns).toPandas()
-    matrices = tuple(np.array(collected[x].tolist(), dtype="int64").reshape(len(collected), len(columns)).T.copy() for x in ("a", "b"))
-    return df.sparkSession.sparkContext.broadcast(matrices)
-
-
-def _repeats_in_sample(spark: SparkSession, sample, columns: list[str], candidates: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
-    """The candidates with a repeat in the sample. The candidates are spread over tasks; each sorts the sample's fingerprints."""
-    place = {n: i for i, n in enumerate(columns)}
-    listed = spark.createDataFrame([(i, [place[n] for n in c]) for i, c in enumerate(candidates)], "i int, places array<int>")
-
-    def check(batches):
-        a, b = sample.value
-        for batch in batches:
-            found = []
-            for i, places in zip(batch["i"], batch["places"]):
-                first, second = np.bitwise_xor.reduce(a[places]), np.bitwise_xor.reduce(b[places])
-                order = np.lexsort((second, first))
-                first, second = first[order], second[order]
-                if ((first[1:] == first[:-1]) & (second[1:] == second[:-1])).any():
-                    found.append(i)
-            yield pd.DataFrame({"i": found}, dtype="int32")
-    spread = listed.repartition(spark.sparkContext.defaultParallelism)
-    return {candidates[r.i] for r in spread.mapInPandas(check, "i int").collect()}
-
-
-def _repeated(df: DataFrame, candidates: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
-    """The candidates that repeat anywhere, decided on the values of all rows. They are tried side by side in one job."""
-    parts = []
-    for i, columns in enumerate(candidates):
-        groups = df.groupBy(*[present(col(n), type_of(df, n)).alias(f"k{j}") for j, n in enumerate(columns)]).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(groups.filter("n > 1").limit(1).select(F.lit(i).alias("i")))
-    return {candidates[r.i] for r in functools.reduce(DataFrame.unionByName, parts).collect()}
+def _members(key: int) -> list[int]:
+    return [i for i in range(key.bit_length()) if key >> i & 1]
+
+
+class Sample:
+    """Hashes of some rows, a line a column, and the difference sets they show. Bounded in rows and in cells."""
+
+    def __init__(self, df: DataFrame, columns: list[str], rows: int, wanted: int):
+        most = max(1, min(wanted, SAMPLE, SAMPLE_CELLS // len(columns)))
+        held = _hashed(_share(df, columns, rows, most).limit(2 * most), columns).select(*[f"h{i}" for i in range(len(columns))]).toPandas()
+        self.cells = np.array([held[f"h{i}"].to_numpy("int64") for i in range(len(columns))])
+        self.weights = np.random.default_rng(7).integers(1, 1 << 62, len(columns), dtype=np.int64) * 2 + 1
+
+    def differences(self, a: np.ndarray, b: np.ndarray) -> set[int]:
+        """The difference sets of the row pairs (a, b)."""
+        out: set[int] = set()
+        for start in range(0, len(a), PAIRS * 10):
+            unlike = self.cells[:, a[start:start + PAIRS * 10]] != self.cells[:, b[start:start + PAIRS * 10]]
+            packed = np.packbits(unlike, axis=0, bitorder="little")
+            out |= {int.from_bytes(column.tobytes(), "little") for column in np.unique(packed, axis=1).T}
+        return out
+
+    def neighbours(self) -> set[int]:
+        """Difference sets of rows that stand next to each other in the order of one column, then of the others, those with
+        the fewest values first: such rows agree in much."""
+        if self.cells.shape[1] < 2:
+            return set()
+        few = np.argsort([len(np.unique(line)) for line in self.cells], kind="stable")
+        out: set[int] = set()
+        for first in range(len(self.cells)):
+            order = np.lexsort([self.cells[i] for i in [*few[few != first][::-1], first]])
+            out |= self.differences(order[1:], order[:-1])
+        return out
+
+    def refuted(self, key: int) -> set[int]:
+        """Difference sets of row pairs that agree in all columns of `key`; empty if the sample has none."""
+        members = _members(key)
+        mixed = (self.cells[members] * self.weights[members][:, None]).sum(axis=0)
+        order = np.argsort(mixed, kind="stable")
+        like = np.flatnonzero(mixed[order[1:]] == mixed[order[:-1]])
+        if not len(like):
+            return set()
+        return {d for d in self.differences(order[like + 1][:PAIRS], order[like][:PAIRS]) if not d & key}
+
+
+def _refuted(hashed: DataFrame, width: int, candidates: list[int], shares: int = 1) -> dict[int, set[int]]:
+    """The candidates that repeat, each with difference sets of rows that agree in it.
+
+    One aggregate of fingerprints, tagged with the candidate, finds the repeats of all of them and names two rows of each
+    by a hash of the row; a few rows a candidate are then looked up and compared column by column. With `shares`, only
+    fingerprints in one of that many parts of the key space are looked at: all copies of a key fall into the same part."""
+    mix = lambda letter, key: functools.reduce(Column.bitwiseXOR, [F.col(f"{letter}{j}") for j in _members(key)])
+    prints = F.array(*[F.struct(F.lit(i).alias("i"), mix("h", key).alias("a"), mix("g", key).alias("b")) for i, key in enumerate(candidates)])
+    named = hashed.withColumn("row", F.xxhash64(*[f"h{j}" for j in range(width)]))
+    tagged = named.select("row", F.explode(prints).alias("p")).select("row", "p.i", "p.a", "p.b")
+    if shares > 1:
+        tagged = tagged.filter(F.pmod("a", F.lit(shares)) == 0)
+    groups = tagged.groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("x"), F.max("row").alias("y")).filter("n > 1")
+    some = groups.withColumn("nth", F.row_number().over(W.partitionBy("i").orderBy("a", "b"))).filter(F.col("nth") <= WITNESSES).select("i", "x", "y").collect()
+    if not some:
+        return {}
+    asked = hashed.sparkSession.createDataFrame([(row,) for row in {row for r in some for row in (r.x, r.y)}], "row bigint")     # 2 * WITNESSES a candidate at most
+    cells = {r.row: r[1:] for r in named.join(F.broadcast(asked), "row").dropDuplicates(["row"]).select("row", *[f"h{j}" for j in range(width)]).collect()}
+    out: dict[int, set[int]] = {}
+    for r in some:
+        key, unlike = candidates[r.i], sum(1 << j for j, (x, y) in enumerate(zip(cells[r.x], cells[r.y])) if x != y)
+        if not unlike & key:                            # else two fingerprints collided
+            out.setdefault(key, set()).add(unlike)
+    return out
 
 
 def find_minimal_keys(df: DataFrame, columns: list[str] | None = None, max_size: int | None = None, max_keys: int | None = None,
                       max_candidates: int | None = None, seconds: float | None = None, sample_rows: int = SAMPLE, screen_rows: int = SCREEN) -> KeySearch:
-    """Level by level, only combinations whose smaller parts are all non-unique. Missing equals missing.
+    """All minimal keys, smallest first. Missing equals missing.
 
-    Rows can only show that a combination is no key, so a sample of the table, a larger sample, and then a part of the
-    key space rule most of them out; what is left is confirmed on all rows. Without limits all minimal keys are found; on
-    wide tables without a small key that are many combinations. `truncated` says that a limit took effect, `reason` which
-    ones: a key not found may exist."""
+    The difference sets of sampled row pairs have minimal hitting sets; these, and no other combinations, are tried on the
+    sample, on large tables on a larger sample and on a part of the key space, and at last on all rows. Two rows that agree in
+    a candidate refute it, and their difference set, which it does not meet, joins the family; the hitting sets are then
+    found anew. A candidate that no row pair refutes is a minimal key, because every column of it is the only one to meet some
+    difference set. The search ends when nothing was refuted and no larger hitting set exists.
+
+    Without limits all minimal keys are found; wide tables without a small key can have very many. `truncated` says that
+    a limit took effect, `reason` which ones: a key not found may exist."""
     columns = list(dict.fromkeys(columns or df.columns))
     require_columns(df, columns)
     deadline = time.monotonic() + seconds if seconds else None
-    late = lambda: deadline is not None and time.monotonic() > deadline
     df = df.select(*[col(n) for n in columns])
     seen = df.agg(F.count(F.lit(1)).alias("rows"), *[e for i, n in enumerate(columns) for e in (
         F.count(present(col(n), type_of(df, n))).alias(f"n{i}"), F.min(present(col(n), type_of(df, n))).alias(f"a{i}"),
         F.max(present(col(n), type_of(df, n))).alias(f"b{i}"))]).first()
     rows = seen.rows
-    constant = lambda i: seen[f"n{i}"] == 0 or (seen[f"n{i}"] == rows and seen[f"a{i}"] == seen[f"b{i}"])
-    usable = [n for i, n in enumerate(columns) if rows <= 1 or not constant(i)]
-    spread = df.sparkSession.sparkContext.defaultParallelism
-    sample = _sample_hashes(df, usable, rows, sample_rows) if usable else None
-    screen = written(_hashed(_share(df, usable, rows, screen_rows).repartition(spread), usable)) if usable and screen_rows < rows else None
-    search, tested, reasons = KeySearch(), 0, []
-    full = lambda: max_keys is not None and len(search.keys) >= max_keys
     if rows <= 1:
-        search.keys = [[n] for n in usable]
-        usable = []
-
-    parts: set[tuple[str, ...]] = set()
-    for size in range(1, len(usable) + 1):
-        if max_size is not None and size > max_size:
-            reasons.append(f"no combinations of more than {max_size} columns")
-            break
-        pool = usable if size == 1 else sorted({n for c in parts for n in c})
-        candidates = []
-        for c in combinations(pool, size):
-            if size == 1 or all(p in parts for p in combinations(c, size - 1)):
-                if max_candidates is not None and tested + len(candidates) >= max_candidates:
-                    reasons.append(f"no more than {max_candidates:,} candidates")
-                    break
-                candidates.append(c)
-        tested += len(candidates)
-        non_unique: set[tuple[str, ...]] = set()
-        for start in range(0, len(candidates), WAVE):
-            if late():
-                break
-            non_unique |= _repeats_in_sample(df.sparkSession, sample, usable, candidates[start:start + WAVE])
-        left = [c for c in candidates if c not in non_unique]
-        for start in range(0, len(left), BATCH):
-            alive = left[start:start + BATCH]
-            if screen is not None and not late():
-                found = _repeats(screen, usable, alive)
-                alive = [c for c in alive if c not in found]
-                if alive and not late():
-                    shared = _repeats(_hashed(df, usable), usable, alive, SHARES)
-                    found |= shared
-                    alive = [c for c in alive if c not in shared]
-                non_unique |= found
-            for first in range(0, len(alive), TOGETHER):
-                if full() or late():
+        return KeySearch([[n] for n in columns][:max_keys])
+    constant = lambda i: seen[f"n{i}"] == 0 or (seen[f"n{i}"] == rows and seen[f"a{i}"] == seen[f"b{i}"])           # noqa: E731
+    usable = [n for i, n in enumerate(columns) if not constant(i)]
+    if not usable:
+        return KeySearch()
+    sample = Sample(df, usable, rows, sample_rows)
+    hashed = _hashed(df, usable)
+    stages = [(hashed, rows, 1)]
+    if rows > screen_rows:
+        spread = df.sparkSession.sparkContext.defaultParallelism
+        screen = written(_hashed(_share(df, usable, rows, screen_rows).repartition(spread), usable))
+        stages = [(screen, screen_rows, 1), (hashed, rows // SHARES, SHARES), *stages]
+
+    search, reasons = KeySearch(), []
+    family = smallest_sets([*sample.neighbours(), (1 << len(usable)) - 1])       # two rows differ somewhere
+    sure: set[int] = set()                              # unique in all rows
+    likely: set[int] = set()                            # unique in the sample
+    late = lambda: deadline is not None and time.monotonic() > deadline                                         # noqa: E731
+
+    def on_all_rows(candidates: list[int]) -> set[int]:
+        """Difference sets that refute some of `candidates`, which are tried together; those not refuted are sure."""
+        shown: set[int] = set()
+        for table, size, shares in stages:
+            alive, at = [], 0
+            while at < len(candidates):
+                many = max(1, min(TOGETHER, TAGGED_ROWS // max(size, 1)))
+                part = candidates[at:at + many]
+                at += many
+                if late():
+                    return shown
+                bad = _refuted(table, len(usable), part, shares)
+                shown |= set().union(*bad.values())
+                alive += [k for k in part if k not in bad]
+                if shares == 1 and table is hashed:
+                    sure.update(k for k in part if k not in bad)
+            candidates = alive
+        return shown
+
+    def on_the_sample(found: list[int]) -> set[int]:
+        """The same on the sample; stops at the limit of candidates."""
+        shown: set[int] = set()
+        for key in found:
+            if key not in likely and (max_candidates is None or search.tested < max_candidates):
+                search.tested += 1
+                refuted = sample.refuted(key)
+                shown |= refuted
+                if not refuted:
+                    likely.add(key)
+        return shown
+
+    size, found, larger = 1, [], True
+    try:
+        while True:
+            found, larger = minimal_hitting_sets(family, size, deadline)
+            found.sort(key=lambda k: (k.bit_count(), _members(k)))
+            new = on_the_sample(found)
+            spent = max_candidates is not None and search.tested >= max_candidates
+            enough = max_keys is not None and len(found) >= max_keys
+            if not new and larger and not spent and not enough and 0 not in family and (max_size is None or size < max_size):
+                size += 1                               # all of this size stand on the sample: look at larger ones
+                continue
+            if not new:
+                asked = [k for k in found[:max_keys] if k in likely and k not in sure]
+                new = on_all_rows(asked)
+                if late():
+                    raise OutOfTime
+                if not new:
                     break
-                together = alive[first:first + TOGETHER]
-                repeated = _repeated(df, together)
-                non_unique |= repeated
-                search.keys += [list(c) for c in together if c not in repeated]
-        if late():
-            reasons.append(f"no longer than {seconds} seconds")
-        parts = {tuple(sorted(c)) for c in non_unique}
-        if not parts or full() or reasons:
-            break
-    if max_keys is not None and (len(search.keys) > max_keys or (full() and parts)):
-        reasons.append(f"no more than {max_keys} keys")
-        del search.keys[max_keys:]
+            family = smallest_sets([*family, *new])
+        if not all(k in sure or k in likely for k in found):
+            reasons.append(f"no more than {max_candidates:,} candidates")
+        if max_keys is not None and (len(found) > max_keys or (len(found) == max_keys and larger)):
+            reasons.append(f"no more than {max_keys} keys")
+        elif larger and max_size is not None and size >= max_size and 0 not in family:
+            reasons.append(f"no combinations of more than {max_size} columns")
+    except OutOfTime:
+        reasons.append(f"no longer than {seconds} seconds")
+    search.keys = [[usable[i] for i in _members(k)] for k in sorted(sure, key=lambda k: (k.bit_count(), _members(k)))][:max_keys]
     search.truncated, search.reason = bool(reasons), "; ".join(reasons)
     return search
 

@@ -124,8 +124,9 @@ def test_key_honesty_and_limits(spark):
     gaps = spark.createDataFrame([(n, None if n == 3 else "t", "flat") for n in range(5)], "id int, v string, same string")
     assert keys.find_keys(gaps).skipped_columns == ["v"]
     wide = spark.createDataFrame([tuple((r >> i) & 1 for i in range(5)) for r in range(32)], ", ".join(f"c{i} int" for i in range(5)))
-    few = keys.find_minimal_keys(wide, max_candidates=7)
-    assert few.truncated and "7" in few.reason and few.keys == []
+    many = spark.range(40).select(*[(F.col("id") * (k + 1)).alias(f"u{k}") for k in range(14)])
+    few = keys.find_minimal_keys(many, max_candidates=7)
+    assert few.truncated and "7 candidates" in few.reason and len(few.keys) == few.tested == 7
     short = keys.find_minimal_keys(wide, max_size=3)
     assert short.truncated and "3" in short.reason and short.keys == []
     assert keys.find_minimal_keys(wide).keys == [[f"c{i}" for i in range(5)]]
@@ -143,6 +144,44 @@ def test_many_keys_and_large_keys_are_all_found(spark):
     assert keys.find_minimal_keys(six).keys == [[f"b{k}" for k in range(6)]] and not keys.find_minimal_keys(six).truncated
 
 
+def test_a_key_of_seven_of_thirty_columns(spark):
+    """Seven columns of a few values each make the key; the others repeat parts of it, or are constant."""
+    key = F.col("id")
+    part = [F.pmod(F.floor(key / 3 ** k), F.lit(3)) for k in range(7)]
+    made = [p.alias(f"k{i}") for i, p in enumerate(part)]
+    made += [(part[i % 7] % 2).alias(f"half{i}") for i in range(14)] + [F.lit(i).alias(f"flat{i}") for i in range(3)]
+    made += [((part[i] + part[i + 1]) % 2).alias(f"mix{i}") for i in range(6)]
+    df = spark.range(3 ** 7).select(*made)
+    assert len(df.columns) == 30
+    for sizes in ({}, {"sample_rows": 100, "screen_rows": 500}):
+        found = keys.find_minimal_keys(df, **sizes)
+        assert found.keys == [[f"k{i}" for i in range(7)]] and not found.truncated and found.tested < 500
+    assert keys.find_minimal_keys(df.unionByName(df.limit(1))).keys == []                  # a copy leaves no key
+
+
+def test_rows_outside_the_sample_refute(spark):
+    """Only two rows of 3000 agree in `a` and `b`: the sample does not hold both."""
+    df = spark.range(3000).select(F.col("id").alias("c"), (F.col("id") % 50).alias("b"), F.floor(F.col("id") / 50).alias("a"))
+    df = df.withColumn("a", F.when(F.col("c") == 2999, F.lit(0)).otherwise(F.col("a")))    # row 2999 now repeats row 49
+    for sizes in ({}, {"sample_rows": 20}, {"sample_rows": 20, "screen_rows": 200}):
+        assert keys.find_minimal_keys(df, **sizes).keys == [["c"]]
+
+
+def test_minimal_hitting_sets_against_brute_force():
+    from gridloom.plans.hitting_sets import minimal_hitting_sets, smallest_sets
+    rng = random.Random(8)
+    for _ in range(200):
+        width = rng.randrange(1, 8)
+        family = smallest_sets(rng.randrange(1, 1 << width) for _ in range(rng.randrange(0, 9)))
+        hits = [k for k in range(1 << width) if all(k & s for s in family)]
+        want = sorted(k for k in hits if not any(k != x and k & x == x for x in hits))
+        assert sorted(minimal_hitting_sets(family, width)[0]) == want
+        for most in range(width):
+            found, larger = minimal_hitting_sets(family, most)
+            assert sorted(found) == [k for k in want if k.bit_count() <= most] and (larger or len(found) == len(want))
+    assert smallest_sets([7, 3, 1 << 70, 6, 3, 1 << 70 | 1]) == [1 << 70, 3, 6] and minimal_hitting_sets([0], 3) == ([], False)
+
+
 def test_key_samples_are_filters(spark):
     df = spark.range(1000).withColumn("w", F.col("id") % 7)
     plan = keys._share(df, ["id", "w"], 1000, 100)._jdf.queryExecution().executedPlan().toString()
