@@ -46,7 +46,8 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",", **options) -> None
     texts = df.select(*[canonical_text(col(n), type_of(df, n)).alias(n) if not is_text(type_of(df, n)) else col(n) for n in df.columns])
     safe = safe_cells(df)
     typed = texts.select(*[(_safe_text(col(n)) if is_text(type_of(df, n)) else col(n)).alias(s) for n, s in zip(df.columns, safe.columns)])
-    typed.write.options(header=True, sep=delimiter, escape='"', **options).csv(path)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}         # spaces and line breaks at the ends of cells stay
+    typed.write.options(**{"header": True, "sep": delimiter, "escape": '"', **kept, **options}).csv(path)
 
 
 # ---- splitting ------------------------------------------------------------------------------------------------------

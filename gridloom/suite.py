@@ -914,6 +914,52 @@ def csv_ragged(spark, sf):
     return readers.read_delimited(spark, path, ragged="keep")
 
 
+_BROKEN_CELL = "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority || chr(10) || 'see \"' || o_orderkey::VARCHAR || '\";' || chr(13) || chr(10) || chr(10) ELSE o_orderpriority END"
+
+
+def _csv_with_line_breaks(spark, sf) -> str:
+    """Orders as one CSV file a part, with line breaks, quotes and delimiters inside every third note."""
+    path, k, note = scratch_path(spark, ".csv"), F.col("o_orderkey"), F.col("o_orderpriority")
+    broken = F.concat(note, F.lit('\nsee "'), k.cast("string"), F.lit('";\r\n\n'))
+    table(spark, sf, "orders").select("o_orderkey", F.when(k % 3 == 0, broken).otherwise(note).alias("note"), "o_orderstatus").write.options(
+        header=True, sep=";", escape='"', ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
+@query(f"SELECT o_orderkey::VARCHAR AS o_orderkey, {_BROKEN_CELL} AS note, o_orderstatus FROM orders")
+def csv_line_breaks(spark, sf):
+    """Found and read without being asked for."""
+    return readers.read_delimited(spark, _csv_with_line_breaks(spark, sf))
+
+
+@query(f"SELECT o_orderkey::VARCHAR AS key, {_BROKEN_CELL} AS note, 3::INTEGER AS width FROM orders")
+def grid_line_breaks(spark, sf):
+    grid = readers.raw_grid(spark, _csv_with_line_breaks(spark, sf))
+    cell = lambda i: F.get("cells", F.lit(i))
+    filled = F.size(F.filter("cells", lambda c: c.isNotNull())).alias("width")
+    return grid.filter(cell(0) != "o_orderkey").select(cell(0).alias("key"), cell(1).alias("note"), filled)
+
+
+@query("SELECT count(*) AS records, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS with_breaks FROM orders")
+def csv_record_count(spark, sf):
+    path = _csv_with_line_breaks(spark, sf)
+    breaks = readers.read_delimited(spark, path).filter(F.col("note").contains("\n")).agg(F.count(F.lit(1)).alias("with_breaks"))
+    return breaks.select(F.lit(readers.count_records(spark, path)).cast("bigint").alias("records"), "with_breaks")
+
+
+@query("""SELECT c_custkey::VARCHAR AS c_custkey, c_name || CASE c_custkey % 4 WHEN 0 THEN ' Zoë 中' WHEN 1 THEN ' €’é' WHEN 2 THEN ' é' || chr(129) ELSE ' plain' END AS label FROM customer""")
+def csv_mixed_encodings(spark, sf):
+    """A folder of files in UTF-8, windows-1252, ISO-8859-1 and ASCII, the bytes of each written as they are."""
+    path, k = scratch_path(spark, ".csv"), F.col("c_custkey")
+    tails = ["Zoë 中".encode(), "€’é".encode("cp1252"), "é\x81".encode("latin-1"), b"plain"]
+    for i, tail in enumerate(tails):
+        line = F.concat(k.cast("string").cast("binary"), F.lit(b","), F.col("c_name").cast("binary"), F.lit(b" " + tail)).cast("string")
+        rows = table(spark, sf, "customer").filter(k % 4 == i).select(line.alias("value"), F.lit(1).alias("at"))
+        head = spark.createDataFrame([("c_custkey,label", 0)], "value string, at int")
+        head.unionByName(rows).coalesce(1).sortWithinPartitions("at").select("value").write.mode("append").text(path)
+    return readers.read_delimited(spark, path)
+
+
 @query("""SELECT o_orderkey::VARCHAR AS o_orderkey, o_totalprice * 2 AS doubled, o_orderkey + o_custkey::DOUBLE AS added, NULL::DOUBLE AS bad, round(o_totalprice, 1) AS rounded,
     power(o_orderkey::DOUBLE, 2) AS squared, o_orderkey / 2 AS half FROM orders""")
 def calc_on_text(spark, sf):

@@ -301,6 +301,74 @@ def test_windows_text_and_line_breaks(spark, tmp_path):
     assert readers.row_count(readers.read_delimited(spark, broken, multi_line=True)) == 2
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Files are cut into byte ranges of 150 bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "150b", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_quoted_line_breaks_in_many_ranges(spark, tmp_path, small_ranges, seed):
+    """Against the standard library's reader, with cells that span several ranges and quotes inside plain cells."""
+    import csv
+    import io
+    rng = random.Random(seed)
+    cells = ["", "a", "5\" pipe", "x\ny", 'say "hi"', "\r\n", "one;two", "long\n" * 30, '"', '"\n"', "é\n", ' "b', "\n\n", "c" * 90]
+    for name, end in (("a.csv", "\n"), ("b.csv", "\r\n")):
+        made = io.StringIO(newline="")
+        writer = csv.writer(made, delimiter=";", lineterminator=end, quoting=csv.QUOTE_MINIMAL)
+        writer.writerow(["n", "t\nwo", "u"])
+        for i in range(40):
+            writer.writerow([f"{name}{i}", rng.choice(cells), rng.choice(cells)])
+            if i % 20 == 0:
+                made.write(f"raw{name}{i};5\" wide;6\" deep{end}")
+        save(tmp_path / name, made.getvalue())
+    want = []
+    for name in ("a.csv", "b.csv"):
+        with open(tmp_path / name, newline="", encoding="utf-8") as f:
+            want.append([tuple(v or None for v in r) for r in csv.reader(f, delimiter=";")])
+    df = readers.read_delimited(spark, str(tmp_path), position=True, delimiter=";")
+    assert df.rdd.getNumPartitions() > 10 and df.columns == ["n", "t\nwo", "u", "_position"]
+    plain = lambda r: tuple(v or None for v in r)                                  # noqa: E731
+    got = [plain(tuple(r)[:3]) for r in df.orderBy("_position").collect()]
+    assert got == want[0][1:] + want[1][1:]
+    assert readers.count_records(spark, str(tmp_path)) == len(got)
+    grid = [plain(r.cells[:3]) for r in readers.raw_grid(spark, str(tmp_path), ";").orderBy("_position").collect()]
+    assert grid == want[0] + want[1]
+
+
+def test_every_begin_of_a_range(small_ranges, spark, tmp_path):
+    """The states of all ranges, against a walk through the bytes; one file ends inside a quoted cell."""
+    from gridloom.sources import records
+    text = 'a,b\n' + ''.join(f'{i},"{"y" * (i % 50)}\n{"z" * (i * 7 % 90)}"\n' for i in range(40)) + '9,"open\n' + "tail\n" * 30
+    path = save(tmp_path / "o.csv", text)
+    values = [r.value.decode() for r in records.quoted_records(spark, path, ",").orderBy("block", "row").collect()]
+    assert "\n".join(values) + "\n" == text.rstrip("\n") + "\n" and len(values) == 42 and values[-1].startswith('9,"open\ntail')
+    for line, begin, end in ((b'a,"b', False, True), (b'a,b"', False, False), (b'x",y', True, False), (b'x"",y', True, True), (b'x"","y', True, False), (b'"a","b""', False, True), (b'"', True, False),
+                             (b'""', False, False), (b'"a" junk,"b', False, True), (b'', True, True)):
+        assert records.ends_inside(line, b",", begin) is end, line
+
+
+def test_encodings_by_file(spark, tmp_path):
+    texts = {"u.csv": ("k,v\n1,Zoë €\n2,ÿ\n", "utf-8"), "b.csv": ("k,v\n3,Ærø\n", "utf-8-sig"), "w.csv": ("k,v\n4,“é”\n", "cp1252"), "l.csv": ("k,v\n5,é\x81\n", "latin-1"),
+             "q.csv": ('k,v\n6,"ü\nö"\n', "cp1252"), "plain.csv": ("k,v\n7,x\n", "ascii")}
+    for name, (text, encoding) in texts.items():
+        save(tmp_path / name, text, encoding)
+    look = readers.look_through(spark, str(tmp_path))
+    assert {r.file.rsplit("/", 1)[1]: r.encoding for r in look.files.collect()} == {
+        "u.csv": "UTF-8", "b.csv": "UTF-8", "w.csv": "windows-1252", "l.csv": "ISO-8859-1", "q.csv": "windows-1252", "plain.csv": "UTF-8"}
+    got = sorted(tuple(r) for r in readers.read_delimited(spark, str(tmp_path)).collect())
+    assert got == [("1", "Zoë €"), ("2", "ÿ"), ("3", "Ærø"), ("4", "“é”"), ("5", "é\x81"), ("6", "ü\nö"), ("7", "x")]
+    with pytest.raises(TableError, match="different encodings"):
+        readers.detect_encoding(spark, str(tmp_path))
+    assert sorted(r.cells[1] for r in readers.raw_grid(spark, str(tmp_path)).collect() if r.cells[0] != "k") == sorted(v for _, v in got)
+
+
 def test_raw_grid(spark, tmp_path):
     path = save(tmp_path / "g.csv", 'Report,,,\n"made, 2024",,,\n,,,\nid,amount,,amount\n1,"5,5",,x\n,,,\n2,"say ""hi""",,y\n')
     grid = readers.raw_grid(spark, path, ",")
