@@ -16,7 +16,7 @@ from .joins import aligned_keys
 from .result import Result
 
 
-def _same_cell(a: Column, a_type, b: Column, b_type) -> Column:
+def same_cell(a: Column, a_type, b: Column, b_type) -> Column:
     """Equal by canonical text, missing equal to missing. Cells of one type compare directly, which is the same."""
     if a_type == b_type:
         return present(a, a_type).eqNullSafe(present(b, b_type))
@@ -127,7 +127,7 @@ def compare_tables(first: DataFrame, second: DataFrame, keys: list[str], columns
     a, keyless_a, ka = side(first, key_1, "a", first_order)
     b, keyless_b, kb = side(second, key_2, "b", second_order)
     match = functools.reduce(operator.and_, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(ka, kb)]) & (F.col("a_nth") == F.col("b_nth"))
-    differs = [(~_same_cell(F.col(f"a{j}"), type_of(first, n), F.col(f"b{j}"), type_of(second, n))).alias(f"d{j}")
+    differs = [(~same_cell(F.col(f"a{j}"), type_of(first, n), F.col(f"b{j}"), type_of(second, n))).alias(f"d{j}")
                for j, n in enumerate(columns)]
     joined = a.join(b, match, "full").select(
         *[F.coalesce(x, y).alias(f"k{i}") for i, (x, y) in enumerate(zip(ka, kb))],
@@ -172,7 +172,7 @@ def describe_change(before: DataFrame, after: DataFrame, order_by=None, sample:
     right = after.select(F.lit(1).alias("__r"), *[col(n).alias(f"q{i}") for i, n in enumerate(at)], *[col(n).alias(f"b{i}") for i, n in enumerate(shared)])
     match = functools.reduce(operator.and_, [F.col(f"p{i}").eqNullSafe(F.col(f"q{i}")) for i in range(len(at))])
     both = left.join(right, match, "full")
-    changed = [~_same_cell(F.col(f"a{i}"), type_of(before, n), F.col(f"b{i}"), type_of(after, n)) for i, n in enumerate(shared)]
+    changed = [~same_cell(F.col(f"a{i}"), type_of(before, n), F.col(f"b{i}"), type_of(after, n)) for i, n in enumerate(shared)]
     cells = functools.reduce(operator.add, [c.cast("bigint") for c in changed])
     paired = both.select("*", F.when(F.col("__l").isNotNull() & F.col("__r").isNotNull(), cells).alias("__cells"))
     same_rows = F.count(F.lit(1)) == F.count("__cells")

@@ -864,6 +864,17 @@ def recipe_replay(spark, sf):
     return recipes.replay(_RECIPE, _blanked(spark, sf), order_by=["event_id"]).df
 
 
+@query(f"""WITH t AS (SELECT event_id, user_id, value, event_type FROM {_BLANKED} WHERE value > 1), n AS (SELECT (SELECT count(*) FROM events) AS a, count(*) AS b,
+      count(*) FILTER (WHERE trim(event_type) <> '') AS upped, count(*) FILTER (WHERE event_type = 'click') AS tapped, count(*) FILTER (WHERE trim(event_type) = '') AS filled FROM t),
+    d AS (SELECT count(*) AS c FROM (SELECT DISTINCT user_id, CASE WHEN trim(event_type) = '' THEN NULL ELSE event_type END AS e FROM t)),
+    g AS (SELECT count(DISTINCT trim(event_type)) AS k FROM t)
+  SELECT unnest([1, 2, 3, 4, 5, 6])::INTEGER AS step, unnest(['row-filter', 'text-cleaner', 'find-replace', 'fill-missing', 'remove-duplicates', 'group-and-summarise']) AS tool,
+    unnest([a, b, b, b, b, c])::BIGINT AS rows_in, unnest([b, b, b, b, c, k])::BIGINT AS rows_out, unnest([NULL, upped + filled, tapped, filled, NULL, NULL])::BIGINT AS cells_changed FROM n, d, g""")
+def recipe_report(spark, sf):
+    """Rows and changed cells of every step, counted in the one job that writes the result."""
+    return recipes.replay(_RECIPE, _blanked(spark, sf), order_by=["event_id"]).report(scratch_path(spark))
+
+
 @query("""SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1)::BIGINT AS chunk FROM orders""")
 def split_by_rows(spark, sf):
     return sinks.split_by_rows(table(spark, sf, "orders"), 1000, ["o_orderkey"]).select("o_orderkey", "chunk")
