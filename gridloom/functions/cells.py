@@ -138,11 +138,28 @@ def collapse(c: Column) -> Column:
     return F.regexp_replace(c, f"(?U)[{SPACE}]+", " ")
 
 
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """What full case folding changes in lower-case text: one character for another, and one for several. From Unicode's own table."""
+    folds = {c: c.casefold() for c in map(chr, range(0x80, 0x20000)) if c.casefold() != c and c.lower() == c}
+    return {c: f for c, f in folds.items() if len(f) == 1}, {c: f for c, f in folds.items() if len(f) > 1}
+
+
+def folded(c: Column) -> Column:
+    """Text without differences of case: `STRASSE` and `straße` are alike. Only text that holds such characters is looked through for them."""
+    single, several = _foldings()
+    lower = F.lower(c)
+    lower = F.when(lower.rlike("[^\\x00-\\x7F]"), F.translate(lower, "".join(single), "".join(single.values()))).otherwise(lower)
+    spelled = lower
+    for letter, letters in several.items():
+        spelled = F.replace(spelled, F.lit(letter), F.lit(letters))
+    return F.when(lower.rlike(f"[{''.join(several)}]"), spelled).otherwise(lower)
+
+
 def loose_text(c: Column, dtype: T.DataType) -> Column:
     """Text for a comparison that ignores case and spacing; other types compare by their canonical text."""
     if not is_text(dtype):
         return F.coalesce(canonical_text(c, dtype), F.lit(""))
-    return F.lower(collapse(strip(F.coalesce(c, F.lit("")))))
+    return folded(collapse(strip(F.coalesce(c, F.lit("")))))
 
 
 # ---- numbers --------------------------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import (canonical_text, col, free_name, present, require_columns,
                                type_of)
-from ..plans.order import POSITION, file_order, order_names, running_sum
+from ..plans.order import POSITION, dense_index, file_order, order_names, running_sum, tie_names
 from ..session import written
 from .joins import aligned_keys
 from .result import Result
@@ -191,10 +191,27 @@ def describe_change(before: DataFrame, after: DataFrame, order_by=None, sample:
     return Result(rows.select("position", "c.column", "c.before", "c.after"), metrics=metrics)
 
 
-def reordered(before: DataFrame, after: DataFrame, order_by=None) -> bool:
-    """True when both hold the same rows by their order columns, so that only the order can differ."""
-    at = order_names(before, order_by)
-    names = [col(n) for n in at]
-    if before.count() != after.count():
+def _sums(df: DataFrame, *cells: Column) -> tuple:
+    """128 bits that are equal for equal multisets of rows, whatever their order: sums of two hashes of the row."""
+    return tuple(df.agg(*[F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(38,0)")) for seed in (1, 2)], F.count(F.lit(1))).first())
+
+
+def reordered(before: DataFrame, after: DataFrame, order_by=None, after_order=None, columns: list[str] | None = None) -> bool:
+    """Do both hold the same rows, repeats counted, in another order?
+
+    `order_by` says how the rows of `before` are ordered, `after_order` those of `after` (the same when None); `columns` are
+    compared, all that both tables have when None, but the position. One aggregate a table compares the rows; only if they
+    agree, the rows are numbered and hashed with their numbers."""
+    columns = columns or [n for n in before.columns if n in after.columns and n != POSITION]
+    require_columns(before, columns, "the first table")
+    require_columns(after, columns, "the second table")
+    cells = lambda df: [canonical_text(present(col(n), type_of(df, n)), type_of(df, n)) for n in columns]                   # noqa: E731
+    hashed = lambda df: [F.xxhash64(F.lit(seed), *[x for c in cells(df) for x in (c.isNull(), c)]) for seed in (3, 4)]      # noqa: E731
+    if _sums(before, *hashed(before)) != _sums(after, *hashed(after)):
         return False
-    return before.select(*names).join(after.select(*names), at, "left_anti").isEmpty()
+
+    def numbered(df, order):
+        at = free_name("__at", df.columns)
+        rows = dense_index(df, file_order(df, order), at, ties=tie_names(df, order))
+        return _sums(rows, F.col(at), *hashed(df))
+    return numbered(before, order_by) != numbered(after, after_order or order_by)

@@ -5,18 +5,17 @@ import json
 import re
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import TableError, canonical_text, col, filled, free_name, is_text, require_columns, strip, type_of
-from ..plans.order import dense_index, file_order, first_place, tie_names
-from ..session import setting, written
+from ..plans.order import dense_index, file_order, first_place, running_sum, tie_names
+from ..session import written
 
 VERSION = "0.1"
 CHUNK_ROWS = 40_000
 MOST_CHUNK_ROWS = 1_000_000
-MOST_SPLIT_VALUES = 500
 MOST_TASKS = 20_000
 LABEL_LENGTH = 60
 SECRET_NAME = re.compile(r"pass(word)?|secret|token|api[_-]?key|credential", re.I)     # fixed value
@@ -71,48 +70,54 @@ def write_split_by_rows(df: DataFrame, path: str, rows: int = CHUNK_ROWS, order_
     chunks.repartition(min(last, MOST_TASKS), col(part)).sortWithinPartitions(col(part), *order).write.partitionBy(part).format(file_format).save(path)
 
 
+def _split_value(df: DataFrame, column: str) -> Column:
+    dtype = type_of(df, column)
+    return canonical_text(strip(filled(col(column), dtype)) if is_text(dtype) else filled(col(column), dtype), dtype)
+
+
 def split_labels(df: DataFrame, column: str, order_by=None, longest: int = LABEL_LENGTH) -> DataFrame:
     """(value, label, rows, number): one label per stripped value in order of first appearance, `blank` for blanks.
 
-    Labels keep `longest` safe characters. Up to `spark.gridloom.splitValues` (500) values, labels that clash without case
-    get _2, _3; with more values, all later ones of a clash get ~ and their number, and no label passes through the driver."""
+    A label keeps `longest` safe characters of the value. Labels that differ only in case clash: in order of appearance, each
+    value gets the first of `label`, `label_2`, `label_3`, .. that no earlier value has. That is settled for all values
+    together: the n-th value of a clash takes the n-th of these names; where a name is also wanted by an earlier value of
+    another clash (`a_2` may be a value too), it is struck out and the later values move up, until no name is wanted twice."""
     require_columns(df, [column])
-    dtype = type_of(df, column)
-    value = canonical_text(strip(filled(col(column), dtype)) if is_text(dtype) else filled(col(column), dtype), dtype)
-    found = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("rows"), F.min(first_place(df, order_by)).alias("at"))
-    most = setting(df.sparkSession, "splitValues", MOST_SPLIT_VALUES)
+    found = df.groupBy(_split_value(df, column).alias("value")).agg(F.count(F.lit(1)).alias("rows"), F.min(first_place(df, order_by)).alias("at"))
     safe = F.regexp_replace("value", r"(?U)[^\p{L}\p{N}_-]", "_")
     safe = F.regexp_replace(F.left(safe, F.lit(longest)), "^_+|_+$", "")
-    labels = found.select("value", "rows", "at", F.when(F.col("value").isNull(), "blank").when(safe == "", "value").otherwise(safe).alias("label"))
-    labels = written(labels)
-    if labels.limit(most + 1).count() > most:
-        numbered = dense_index(labels, [F.col("at")], "number", start=1)
-        again = F.row_number().over(Window.partitionBy(F.lower("label")).orderBy("at")) > 1
-        label = F.when(again, F.concat("label", F.lit("~"), F.col("number").cast("string"))).otherwise(F.col("label"))
-        return numbered.select("value", label.alias("label"), F.col("rows").cast("bigint").alias("rows"), F.col("number").cast("int").alias("number"))
-    used, rows = set(), []
-    for number, r in enumerate(labels.orderBy("at").select("value", "rows", "label").collect(), 1):       # at most 500 rows
-        name, suffix = r.label, 2
-        while name.lower() in used:
-            name, suffix = f"{r.label}_{suffix}", suffix + 1
-        used.add(name.lower())
-        rows.append((r.value, name, r.rows, number))
-    return df.sparkSession.createDataFrame(rows, "value string, label string, rows long, number int")
-
-
-def split_by_value(df: DataFrame, column: str, order_by=None, name: str = "label") -> DataFrame:
+    base = F.when(F.col("value").isNull(), "blank").when(safe == "", "value").otherwise(safe)
+    listed = dense_index(found.select("value", "rows", F.struct("at", "value").alias("at"), base.alias("base")), [F.col("at")], "number")
+    members = written(running_sum(listed.drop("at").withColumn("clash", F.lower("base")), ["clash"], [F.col("number")], "nth"))
+    taken = members.select("value", "rows", "number", "base", "clash", F.col("nth").alias("place"))
+    struck = None
+    while True:
+        label = F.when(F.col("place") > 1, F.concat("base", F.lit("_"), F.col("place").cast("string"))).otherwise(F.col("base"))
+        named = written(taken.withColumn("label", label).withColumn("name", F.lower(label)))
+        wanted = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first")).filter("n > 1").drop("n")
+        late = named.join(wanted, "name").filter("number > first").select("clash", "place")
+        if late.isEmpty():
+            return named.select("value", "label", F.col("rows").cast("bigint").alias("rows"), F.col("number").cast("int").alias("number"))
+        struck = written((late if struck is None else struck.unionByName(late)).distinct())
+        # The n-th value takes the n-th name that is left: as many places further as names are struck out before it.
+        order = running_sum(struck, ["clash"], [F.col("place")], "struck").select("clash", (F.col("place") - F.col("struck")).alias("left"), F.lit(1).cast("bigint").alias("moved"))
+        rows = members.select("value", "rows", "number", "base", "clash", F.col("nth").alias("left"), F.lit(0).cast("bigint").alias("moved"))
+        both = rows.unionByName(order, allowMissingColumns=True)
+        summed = running_sum(both, ["clash"], [F.col("left"), F.col("moved")], "further", F.col("moved"))
+        taken = summed.filter("number is not null").select("value", "rows", "number", "base", "clash", (F.col("left") + F.col("further")).alias("place"))
+
+
+def split_by_value(df: DataFrame, column: str, order_by=None, name: str = "label", longest: int = LABEL_LENGTH) -> DataFrame:
     """Add the label of the file each row belongs to. Spark broadcasts the labels if they are few."""
-    labels = split_labels(df, column, order_by).select(F.col("value").alias("__value"), F.col("label").alias("__label"))
-    dtype = type_of(df, column)
-    value = canonical_text(strip(filled(col(column), dtype)) if is_text(dtype) else filled(col(column), dtype), dtype)
-    joined = df.join(labels, value.eqNullSafe(F.col("__value")), "left")
+    labels = split_labels(df, column, order_by, longest).select(F.col("value").alias("__value"), F.col("label").alias("__label"))
+    joined = df.join(labels, _split_value(df, column).eqNullSafe(F.col("__value")), "left")
     return joined.withColumn(free_name(name, df.columns), F.col("__label")).drop("__value", "__label")
 
 
-def write_split_by_value(df: DataFrame, path: str, column: str, order_by=None, file_format: str = "parquet") -> None:
+def write_split_by_value(df: DataFrame, path: str, column: str, order_by=None, file_format: str = "parquet", longest: int = LABEL_LENGTH) -> None:
     """One folder per value. The rebalance hint lets Spark split a value that holds most rows over several files."""
     part = free_name("part", df.columns)
-    split_by_value(df, column, order_by, part).hint("rebalance", part).write.partitionBy(part).format(file_format).save(path)
+    split_by_value(df, column, order_by, part, longest).hint("rebalance", part).write.partitionBy(part).format(file_format).save(path)
 
 
 # ---- the log --------------------------------------------------------------------------------------------------------

@@ -345,6 +345,16 @@ def remove_duplicates_loose(spark, sf):
     return out.df.select("p_partkey", F.lit(True).alias("kept")).unionByName(out.side("removed").select("p_partkey", F.lit(False).alias("kept")))
 
 
+@query("""SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey // 4 ORDER BY c_custkey) = 1 AS kept FROM customer""")
+def remove_duplicates_folded(spark, sf):
+    """Four spellings of one street: ß and ss, and the letters ﬁ as one."""
+    k = F.col("c_custkey")
+    spelled = F.element_at(F.array(*[F.lit(w) for w in ("Straße ﬁn ", "STRASSE FIN ", "strasse  ﬁN ", "StraẞE fin ")]), (k % 4 + 1).cast("int"))
+    street = table(spark, sf, "customer").select("c_custkey", F.concat(spelled, F.floor(k / 4).cast("string")).alias("street"))
+    out = dedupe.remove_duplicates(street, ["street"], ignore_case_and_spaces=True, order_by=["c_custkey"])
+    return out.df.select("c_custkey", F.lit(True).alias("kept")).unionByName(out.side("removed").select("c_custkey", F.lit(False).alias("kept")))
+
+
 @query("""WITH g AS (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus)
   SELECT sum(n)::BIGINT AS rows_in, count(*) AS rows_kept, (sum(n) - count(*))::BIGINT AS rows_removed,
     count(*) FILTER (WHERE n > 1) AS groups_with_duplicates FROM g""")
@@ -541,6 +551,17 @@ def change_preview(spark, sf):
     return compare.describe_change(before, after, ["c_custkey"]).metrics.select("rows_before", "rows_after", "cells_changed", "rows_changed")
 
 
+@query("""WITH t AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS a, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS b, o_orderkey AS k, o_totalprice AS p FROM orders),
+    m AS (SELECT count(*) FILTER (WHERE a <> b) AS moved, count(*) FILTER (WHERE k % 100 = 7) AS changed FROM t)
+  SELECT 'copy' AS version, FALSE AS reordered UNION ALL SELECT 'sorted by customer', moved > 0 FROM m UNION ALL SELECT 'sorted and changed', moved > 0 AND changed = 0 FROM m""")
+def change_reordered(spark, sf):
+    """A copy, the rows in another order, and in another order with other prices."""
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    changed = df.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 100 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    cases = [("copy", df, ["o_orderkey"]), ("sorted by customer", df, ["o_custkey", "o_orderkey"]), ("sorted and changed", changed, ["o_custkey", "o_orderkey"])]
+    return spark.createDataFrame([(name, compare.reordered(df, after, ["o_orderkey"], order)) for name, after, order in cases], "version string, reordered boolean")
+
+
 # ---- group, pivot, reshape ------------------------------------------------------------------------------------------
 @query(f"""SELECT nullif(trim(event_type), '') AS event_type, count(*) AS rows, round(sum(value), 4) AS value_sum, round(avg(value), 6) AS value_mean,
     round(median(value), 6) AS value_median, min(value) AS value_min, max(value) AS value_max, count(value) AS value_count, count(DISTINCT value) AS value_distinct,
@@ -885,6 +906,17 @@ def split_by_value(spark, sf):
     return sinks.split_by_value(table(spark, sf, "orders"), "o_orderpriority", ["o_orderkey"]).select("o_orderkey", "label")
 
 
+@query("SELECT 4 * c_custkey + i AS at, CASE i WHEN 0 THEN 'n' || c_custkey::VARCHAR WHEN 1 THEN 'N_' || c_custkey::VARCHAR WHEN 2 THEN 'n' || c_custkey::VARCHAR || '_2' "
+       "ELSE 'N' || c_custkey::VARCHAR || '_3' END AS label FROM customer, range(4) t(i)")
+def split_by_clashing_values(spark, sf):
+    """More clashing values than one driver should number: n5, N 5, n5_2 and N5, which becomes N5_3, as the name N5_2 is taken."""
+    k, i = F.col("c_custkey").cast("string"), F.col("i")
+    value = F.when(i == 0, F.concat(F.lit("n"), k)).when(i == 1, F.concat(F.lit("N "), k)).when(i == 2, F.concat(F.lit("n"), k, F.lit("_2"))).otherwise(F.concat(F.lit("N"), k))
+    df = table(spark, sf, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    df = df.select((F.col("c_custkey") * 4 + i).alias("at"), value.alias("value"))
+    return sinks.split_by_value(df, "value", ["at"]).select("at", "label")
+
+
 def _saved_csv(spark, sf) -> str:
     """Orders written as CSV in the shared folder, with a text column that looks like a number."""
     path = scratch_path(spark, ".csv")

@@ -127,7 +127,33 @@ def test_compare_schemas_and_change_preview(spark):
     assert (row.rows_before, row.rows_after, row.cells_changed, row.rows_changed, row.columns_added, row.columns_removed) == (2, 2, 2, 2, ["more"], [])
     assert [(r.position.id, r.column, r.before, r.after) for r in change.df.collect()] == [(1, "v", "a", "A"), (2, "v", "b", "B")]
     assert compare.describe_change(before, before.limit(1), ["id"]).metrics.first().cells_changed is None
-    assert compare.reordered(before, before.orderBy(F.desc("id")), ["id"])
+
+
+def test_reordered(spark, sliced):
+    rows = [(i, f"v{i % 4}", None if i % 3 else "x") for i in range(30)]
+    table = lambda data: spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(data)], "at int, v string, w string")        # noqa: E731
+    first = table(rows)
+    r = random.Random(5)
+    mixed = r.sample(rows, len(rows))
+    cells = ["v", "w"]
+    assert compare.reordered(first, table(mixed), ["at"], columns=cells)
+    assert not compare.reordered(first, first.repartition(5), ["at"], columns=cells)
+    assert not compare.reordered(first, table(rows).withColumn("at", F.col("at") * 10), ["at"], columns=cells)                  # other positions, same order
+    assert not compare.reordered(first, table([(0, "v9", "x"), *rows[1:]]), ["at"], columns=cells)                              # a cell changed
+    assert not compare.reordered(first, table(rows + rows[:1]), ["at"], columns=cells)                                          # a repeat more
+    assert compare.reordered(first, first, ["at"], after_order=["v", "at"]) and not compare.reordered(first, first, ["at"])
+    assert not compare.reordered(table([]), table([]), ["at"])
+
+
+def test_full_case_folding(spark):
+    from gridloom.functions import cells
+    letters = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(i, "x" + c + "y") for i, c in enumerate(letters)], "i int, t string")
+    wrong = [letters[r.i] for r in df.select("i", cells.folded(F.col("t")).alias("f")).collect() if r.f != ("x" + letters[r.i] + "y").casefold() and letters[r.i].isprintable()]
+    assert wrong == [], wrong[:20]
+    out = dedupe.remove_duplicates(spark.createDataFrame([(1, "Straße"), (2, "STRASSE "), (3, "ﬁn"), (4, "FIN"), (5, "Σίσυφος"), (6, "ΣΊΣΥΦΟΣ"), (7, "strase")], "i int, t string"), ["t"],
+                                   ignore_case_and_spaces=True, order_by=["i"])
+    assert sorted(r.i for r in out.df.collect()) == [1, 3, 5, 7]
 
 
 # ---- duplicates -----------------------------------------------------------------------------------------------------
