@@ -163,16 +163,19 @@ def loose_text(c: Column, dtype: T.DataType) -> Column:
 
 
 # ---- numbers --------------------------------------------------------------------------------------------------------
+# What a cast reads as a double, but for `nan` and Java's '1d' and '1f'. Asking first is many times faster than a cast that fails.
+_PLAIN_NUMBER = r"(?i)^[\x00-\x20]*[+-]?(?:(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|0x[0-9a-f.]+p[+-]?[0-9]+)[\x00-\x20]*$"
+
+
 def plain_number(c: Column, dtype: T.DataType) -> Column:
-    """The cell as a double, NULL where it is not a number. Java's '1d' and '1f' are not numbers."""
+    """The cell as a double, NULL where it is not a number."""
     if is_number(dtype):
         return present(c.cast("double"), T.DoubleType())
     if isinstance(dtype, T.BooleanType):
         return c.cast("double")
     if not is_text(dtype):
         return F.lit(None).cast("double")
-    parsed = F.when(~c.rlike(r"[0-9.][dDfF]\s*$"), c.try_cast("double"))
-    return F.when(~F.isnan(parsed), parsed)
+    return F.when(c.rlike(_PLAIN_NUMBER), c.try_cast("double"))
 
 
 def number_of(df: DataFrame, name: str) -> Column:

@@ -214,7 +214,7 @@ def _date_parts(text: Column) -> Column:
                     part(8).alias("M"), part(9).alias("S"), day_first.alias("day_first"), named(1, 2).alias("day"), F.lower(named(2, 1)).alias("month"), named(3, 3).alias("year"))
 
 
-def _formats(p: Column) -> Column:
+def _formats(p: Column) -> list[Column]:
     """For each of DATE_FORMATS: is the text, given by its pieces, a real date in it?"""
     number = lambda c: c.try_cast("int")                                                            # noqa: E731
     clock = [F.coalesce(number(p[x]), F.lit(0)) for x in "HMS"]
@@ -234,7 +234,7 @@ def _formats(p: Column) -> Column:
         between = "T" if "T" in f else " " if "%H" in f else ""
         timed = p["t"] == "T" if between == "T" else ((p["t"] != "T") & (p["t"] != "")) if between else p["t"] == ""
         out.append((p["s1"] == mark) & (p["s2"] == mark) & (F.length(p[year]) == 4) & (F.length(p[short]) <= 2) & timed & numeric[date.replace(mark, "-" if year == "a" else "/")])
-    return F.array(*[F.coalesce(c, F.lit(False)) for c in out])
+    return out
 
 
 def first_values(df: DataFrame, columns: list[str], rows: int | None, order_by=None) -> DataFrame:
@@ -260,30 +260,60 @@ def first_values(df: DataFrame, columns: list[str], rows: int | None, order_by=N
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def _flags(text: Column) -> dict[str, Column]:
+    """What a text is, by name: the patterns it fits whole, dates by format, words and numbers."""
+    fits = dict(zip(PATTERNS, _full_matches(text)))
+    fits["Card"] = fits["Card"] & F.call_function("luhn_check", F.regexp_replace(text, r"\D", ""))
+    number = plain_number(text, T.StringType())
+    fraction = F.coalesce(number.between(0, 1), F.lit(False))
+    return fits | {"digits": text.isin("0", "1"), "fraction": fraction, "fraction_or_sign": fraction | fits["Percentage"]}
+
+
+def _bits(flags) -> Column:
+    """The flags as bits of one whole number, the first lowest."""
+    return functools.reduce(Column.bitwiseOR, [F.when(f, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, f in enumerate(flags)])
+
+
 def _text_shares(df: DataFrame, columns: list[str], sample_rows: int | None, order_by) -> DataFrame:
-    """Per text column, the share of filled cells that fit each type. Every different value is looked at once."""
+    """Per text column, the share of filled cells that fit each type.
+
+    Every different value is looked at once and told by a few bits; values with the same bits are counted together, so the
+    shares come from a table of few rows. Words that can be Boolean are kept apart, as it matters whether there are just two."""
     if sample_rows is None:
-        counted = value_counts(df, columns, order_by)
+        counted = value_counts(df, columns, order_by, first_seen=False)
     else:
-        counted = first_values(df, columns, sample_rows, order_by).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    cells = counted.select("column", "n", "at", strip(F.col("value")).alias("text")).select("*", F.when(F.col("text").rlike(_DATE_START), _date_parts(F.col("text"))).alias("parts"))
+        counted = first_values(df, columns, sample_rows, order_by).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     t = F.col("text")
-    flags = cells.select("column", "n", "at", "text", F.when(F.col("parts").isNotNull(), _formats(F.col("parts"))).alias("dates"), *_full_matches(t),
-                         plain_number(t, T.StringType()).alias("number"))
-    card = F.col("Card") & F.call_function("luhn_check", F.regexp_replace(t, r"\D", ""))
+    flags = _flags(t)
+    place = {n: len(DATE_FORMATS) + i for i, n in enumerate(flags)}
+    dated = F.when((F.length(t) <= 40) & t.rlike(_DATE_START) & (t.rlike(_NUMERIC_SHAPE) | t.rlike(_NAMED_SHAPES[0]) | t.rlike(_NAMED_SHAPES[1])), _date_parts(t))
+    cells = counted.select("column", "n", strip(F.col("value")).alias("text")).select("*", dated.alias("parts"))
+    dates = F.when(F.col("parts").isNotNull(), _bits(_formats(F.col("parts")))).otherwise(F.lit(0).cast("bigint"))
+    told = cells.select("column", "n", F.xxhash64(t).alias("h"), _bits(flags.values()).alias("bits"), dates.alias("dates"))
+    word = F.when(F.col("bits").bitwiseAND(F.lit(1 << list(flags).index("Boolean words") | 1 << list(flags).index("digits"))) > 0, F.col("h"))
+    few = told.groupBy("column", F.col("dates").bitwiseOR(F.shiftleft("bits", len(DATE_FORMATS))).alias("bits"), word.alias("word")).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("values"), F.min("h").alias("low"), F.max("h").alias("high"))
+
     total = F.sum("n")
-    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0))) * 100.0 / total            # noqa: E731
-    fraction = F.col("number").between(0, 1)
-    return flags.groupBy("column").agg(
-        total.alias("cells"), F.count(F.lit(1)).alias("values"),
-        F.count_distinct("text").alias("different"), share(F.col("Boolean words")).alias("words"), share(t.isin("0", "1")).alias("digits"),
-        share(F.col("Boolean words") | t.isin("0", "1")).alias("words_or_digits"),
-        share(F.exists("dates", lambda d: d)).alias("Date"), *[share(F.col("dates")[i]).alias(f"date{i}") for i in range(len(DATE_FORMATS))],
-        *[share(F.col(n)).alias(n) for n in ("Email", "URL", "UUID", "SSN", "Phone Number", "Currency", "Percentage", "Postal Code", "ID/Serial")],
-        share(F.col("IPv4") | F.col("IPv6")).alias("IP Address"), share(F.col("IPv4")).alias("v4"), share(F.col("IPv6")).alias("v6"),
-        share(card).alias("Credit Card"), F.bool_and(F.coalesce(fraction, F.lit(False))).alias("fractions"),
-        F.bool_and(F.coalesce(fraction, F.lit(False)) | F.col("Percentage")).alias("fractions_or_signs"),
-        F.min_by(F.when(F.col("Currency"), t), F.when(F.col("Currency"), F.col("at"))).alias("first_currency"))
+    has = lambda *names: F.col("bits").bitwiseAND(F.lit(sum(1 << place[n] for n in names)).cast("bigint")) > 0                 # noqa: E731
+    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0))) * 100.0 / total                                        # noqa: E731
+    others = [f(F.when(F.col("word").isNull(), F.col(c))) for f, c in ((F.min, "low"), (F.max, "high"))]
+    return few.groupBy("column").agg(
+        total.alias("cells"), F.sum("values").alias("values"),
+        (F.count_distinct("word") + F.when(others[0].isNull(), 0).when(others[0] == others[1], 1).otherwise(2)).alias("different"),      # 2 is exact, more may be less
+        share(has("Boolean words")).alias("words"), share(has("digits")).alias("digits"), share(has("Boolean words", "digits")).alias("words_or_digits"),
+        share(F.col("bits").bitwiseAND(F.lit((1 << len(DATE_FORMATS)) - 1).cast("bigint")) > 0).alias("Date"),
+        *[share(F.col("bits").bitwiseAND(F.lit(1 << i).cast("bigint")) > 0).alias(f"date{i}") for i in range(len(DATE_FORMATS))],
+        *[share(has(n)).alias(n) for n in ("Email", "URL", "UUID", "SSN", "Phone Number", "Currency", "Percentage", "Postal Code", "ID/Serial")],
+        share(has("IPv4", "IPv6")).alias("IP Address"), share(has("IPv4")).alias("v4"), share(has("IPv6")).alias("v6"),
+        share(has("Card")).alias("Credit Card"), F.bool_and(has("fraction")).alias("fractions"), F.bool_and(has("fraction_or_sign")).alias("fractions_or_signs"))
+
+
+def _first_currencies(df: DataFrame, columns: list[str], sample_rows: int | None, order_by) -> DataFrame:
+    """(column, first_currency): the first cell that is an amount of money, of columns known to hold mostly such."""
+    counted = value_counts(df, columns, order_by) if sample_rows is None else first_values(df, columns, sample_rows, order_by)
+    money = counted.select("column", "at", strip(F.col("value")).alias("text"))
+    return money.filter(dict(zip(PATTERNS, _full_matches(F.col("text"))))["Currency"]).groupBy("column").agg(F.min_by("text", "at").alias("first_currency"))
 
 
 def _number_shares(df: DataFrame, columns: list[str], others: list[str]) -> DataFrame:
@@ -321,7 +351,14 @@ def semantic_types(df: DataFrame, columns: list[str] | None = None, sample_rows:
     is_numeric = column.isin(numeric) if numeric else F.lit(False)
     others = [n for n in columns if n not in numeric and n not in texts]
     listed = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(columns)], "place int, column string")
-    parts = ([_text_shares(df, texts, sample_rows, order_by)] if texts else []) + ([_number_shares(df, numeric, others)] if numeric or others else [])
+    parts = []
+    if texts:
+        shares = _text_shares(df, texts, sample_rows, order_by)
+        shares = df.sparkSession.createDataFrame(shares.collect(), shares.schema)                                              # a row for each column
+        money = [r.column for r in shares.filter(F.col("Currency") >= THRESHOLD).collect()]
+        parts.append(shares.join(_first_currencies(df, money, sample_rows, order_by), "column", "left") if money else shares.withColumn("first_currency", F.lit(None).cast("string")))
+    if numeric or others:
+        parts.append(_number_shares(df, numeric, others))
     scored = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     joined = listed.join(scored, "column", "left").withColumn("non_null", F.coalesce("cells", F.lit(0))).withColumn(
         "unique_count", F.col("values") if texts else F.lit(0))

@@ -61,7 +61,7 @@ def test_date_formats_against_strptime(spark, form):
         except ValueError:
             return False
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", profile._date_parts(F.col("t")).alias("p"))
-    got = {r.t: r.f[profile.DATE_FORMATS.index(form)] for r in df.select("t", profile._formats(F.col("p")).alias("f")).collect()}
+    got = {r.t: r.f[profile.DATE_FORMATS.index(form)] for r in df.select("t", F.array(*[F.coalesce(x, F.lit(False)) for x in profile._formats(F.col("p"))]).alias("f")).collect()}
     assert got == {t: fits(t) for t in texts}
 
 
