@@ -287,7 +287,8 @@ def _text_shares(df: DataFrame, columns: list[str], sample_rows: int | None, ord
     flags = _flags(t)
     place = {n: len(DATE_FORMATS) + i for i, n in enumerate(flags)}
     dated = F.when((F.length(t) <= 40) & t.rlike(_DATE_START) & (t.rlike(_NUMERIC_SHAPE) | t.rlike(_NAMED_SHAPES[0]) | t.rlike(_NAMED_SHAPES[1])), _date_parts(t))
-    cells = counted.select("column", "n", strip(F.col("value")).alias("text")).select("*", dated.alias("parts"))
+    counted = written(counted.select("column", "n", strip(F.col("value")).alias("text")))      # the tests below are long; Spark plans them anew after every stage before them
+    cells = counted.select("*", dated.alias("parts"))
     dates = F.when(F.col("parts").isNotNull(), _bits(_formats(F.col("parts")))).otherwise(F.lit(0).cast("bigint"))
     told = cells.select("column", "n", F.xxhash64(t).alias("h"), _bits(flags.values()).alias("bits"), dates.alias("dates"))
     word = F.when(F.col("bits").bitwiseAND(F.lit(1 << list(flags).index("Boolean words") | 1 << list(flags).index("digits"))) > 0, F.col("h"))
