@@ -23,6 +23,57 @@ def test_articles(prose):
         assert html_text.main_text(page(texts, "")) == "\n\n".join(["Head & line", *texts])
 
 
+def soup(r, prose, landmark, wrapper):
+    """A page with its true text: (html, text). Menus, adverts, comments and a footer stand around blocks of an article."""
+    names = iter(range(10 ** 6))
+    div = lambda inner, name=None: f'<div class="{name or f"c{next(names)}"}">{inner}</div>'                                # noqa: E731
+    links = lambda n: "<ul>" + "".join(f'<li><a href="/{i}">{prose(r.randrange(10 ** 6), 2)}</a>' for i in range(n)) + "</ul>"       # noqa: E731
+    blocks = [prose(r.randrange(10 ** 6), n) for n in (60, *(r.choice([40, 60, 90, 150]) for _ in range(r.randrange(3, 9))))]
+    blocks[r.randrange(1, len(blocks)):0] = [prose(r.randrange(10 ** 6), 2)]                                            # a short paragraph among long ones
+    body = "".join(f"<p>{b}</p>" for b in blocks)
+    advert = div(f"<p>{prose(r.randrange(10 ** 6), 40)}</p>", "ad-slot")
+    comments = f'<section id="comments">{"".join(f"<p>{prose(r.randrange(10 ** 6), 50)}</p>" for _ in range(3))}</section>'
+    inner = {"article": f"<article>{body}</article>", "post": f'<article class="post social">{body}</article>', "main": f"<main>{body}</main>", "div": div(body),
+             "articles": f'<article>{body[:body.index("</p>") + 4]}</article><article>{body[body.index("</p>") + 4:]}</article>'}[landmark]
+    page = div(links(40)) + div(f"{prose(1, 2)} &middot; {prose(2, 1)}") + advert + inner + comments + div(links(30), "related") + div(links(30)) + div(f"<span>&copy; {prose(3, 2)}</span>")
+    return f"<html><body>{div(page, wrapper)}</body></html>", "\n\n".join(blocks)
+
+
+WRAPPERS = ["site", "site has-sidebar", "no-sidebar", "page sidebar-right", "nav-wrapper comments-open"]
+
+
+@pytest.mark.parametrize("landmark", ["article", "post", "main", "div", "articles"])
+def test_generated_pages(prose, landmark):
+    r = random.Random(landmark)
+    for wrapper in WRAPPERS:
+        for _ in range(8):
+            html, text = soup(r, prose, landmark, wrapper)
+            assert html_text.main_text(html) == text, (wrapper, html)
+
+
+def test_the_threshold_decides_where_no_element_does(prose, monkeypatch):
+    r = random.Random(7)
+    pages = [soup(r, prose, "div", w) for w in WRAPPERS for _ in range(5)]
+    assert all(html_text.main_text(html) == text for html, text in pages)
+    monkeypatch.setattr(html_text, "threshold", lambda values: -1.0)
+    assert sum(html_text.main_text(html) == text for html, text in pages) < len(pages) / 2
+
+
+def test_class_names():
+    says = html_text.sounds_like
+    assert says("sidebar-left") == says("x ad") == says("share-bar") == "aside" and says("comment-list") == says("nav comments") == "comment"
+    assert says("has-sidebar") is says("no-sidebar") is says("comments-open") is says("badge header2") is says("") is None
+
+
+def test_a_page_of_nothing_else_is_kept_whole():
+    assert html_text.main_text('<div class="comments"><p>one</p><p>two</p></div>') == "one\n\ntwo"
+
+
+def test_an_advert_longer_than_the_article():
+    html = f'<div class="ad">{"buy this now " * 20}</div><article><h1>Short</h1><p>Yes.</article>'
+    assert html_text.main_text(html) == "Short\n\nYes."
+
+
 def test_without_an_article_element(prose):
     a, b = prose(1, 80), prose(2, 60)
     html = f'<body><div id="nav"><a href="/">Home</a> <a href="/x">Other</a></div><div><p>{a}</p><p>No.</p><p>{b}</p></div><div><ul><li><a href="/1">One</a><li><a href="/2">Two</a></ul></div></body>'
