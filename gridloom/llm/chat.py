@@ -1,7 +1,7 @@
 """Chat formatting: layouts of conversations become turns, turns become one marked text with a loss mask, and back.
 
-A layout is recognised by its fingerprint: the hash of its nested field paths, as far as a mapping knows them, so fields
-that no mapping mentions make no difference. Each fingerprint selects a declarative mapping that says where the turns
+A layout is recognised by its fingerprint: the hash of its nested field paths, as far as a mapping names them, so other fields
+make no difference. Each fingerprint selects a declarative mapping that says where the turns
 are. Tables are recognised by their schema; JSON records one by one, so a column may mix layouts.
 
 The template marks every turn; control strings inside roles and texts lose their first character to an escape that is
@@ -45,12 +45,9 @@ MAPPINGS = {
     "prompt_completion": {"kind": "fields", "paths": ["prompt", "completion"], "optional": ["system"], "turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["completion"])]},
     "question_answer": {"kind": "fields", "paths": ["question", "answer"], "optional": ["context"], "turns": [("user", ["context", "question"]), ("assistant", ["answer"])]},
 }
-_KNOWN = {p for m in MAPPINGS.values() for p in [*m["paths"], *m.get("optional", [])]}
-
-
 def fingerprint(paths) -> str:
-    """The hash of the nested field paths that some mapping knows."""
-    return hashlib.sha256("\n".join(sorted(_KNOWN.intersection(paths))).encode()).hexdigest()[:16]
+    """The hash of nested field paths."""
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
 def _registry() -> dict[str, str]:
@@ -63,6 +60,18 @@ def _registry() -> dict[str, str]:
 
 
 REGISTRY = _registry()
+_LARGEST_FIRST = sorted(MAPPINGS, key=lambda name: -len(MAPPINGS[name]["paths"]))
+
+
+def recognised(paths, kinds: tuple[str, ...]) -> str | None:
+    """The mapping, of one of `kinds`, that a layout's fingerprint selects. Only the fields a mapping names count for it, so others,
+    also such as other mappings name, make no difference; of several that fit, the one that asks for most fields is taken."""
+    paths = set(paths)
+    for name in _LARGEST_FIRST:
+        m = MAPPINGS[name]
+        if m["kind"] in kinds and paths.issuperset(m["paths"]):
+            return REGISTRY[fingerprint(paths.intersection([*m["paths"], *m.get("optional", [])]))]
+    return None
 
 
 def schema_paths(kind: T.DataType, above: str = "") -> list[str]:
@@ -102,8 +111,8 @@ def _turns(record: dict, mapping: dict) -> list[tuple[str, str]]:
 
 def table_turns(df: DataFrame) -> DataFrame:
     """conv_id, turn, role, text of a table whose rows are turns, as its schema's fingerprint says."""
-    name = REGISTRY.get(fingerprint(schema_paths(df.schema)))
-    if name is None or MAPPINGS[name]["kind"] != "rows":
+    name = recognised(schema_paths(df.schema), ("rows",))
+    if name is None:
         raise ValueError(f"no mapping for a table of {', '.join(df.columns)}")
     m = MAPPINGS[name]
     return pick(df, conv_id=f"{m['id']}:bigint", turn=f"{m['order']}:bigint", role=f"{m['role']}:string", text=f"{m['text']}:string")
@@ -119,8 +128,8 @@ def record_turns(df: DataFrame, key: str, record: str) -> DataFrame:
             except ValueError:
                 value = None
             paths = value_paths(value) if isinstance(value, dict) else set()
-            name = REGISTRY.get(fingerprint(paths)) if paths else None
-            known = name is not None and MAPPINGS[name]["kind"] != "rows"
+            name = recognised(paths, ("list", "fields"))
+            known = name is not None
             out["layout"].append(name if known else None)
             out["turns"].append([{"role": r, "text": t} for r, t in _turns(value, MAPPINGS[name])] if known else None)
             out["paths"].append(None if known else sorted(paths))

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import chat
 
@@ -60,3 +61,20 @@ def test_layouts(spark):
     assert len(chat.REGISTRY) == sum(1 << len(m.get("optional", [])) for m in chat.MAPPINGS.values())                        # no two mappings look alike
     with pytest.raises(ValueError):
         chat.table_turns(spark.createDataFrame([(1,)], "x int"))
+
+
+def test_other_fields_make_no_difference(spark):
+    """Every field that some mapping names, as an extra column of a table of turns, and as an extra field of every record."""
+    fields = sorted({p.split(".")[0].split("[")[0] for m in chat.MAPPINGS.values() for p in [*m["paths"], *m.get("optional", [])]})
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    extra = [f for f in fields if f not in ("conv_id", "turn", "role", "text")] + ["TEXT", "Role"]
+    df = spark.createDataFrame([(*r, *extra) for r in rows], "conv_id long, turn long, role string, text string, " + ", ".join(f"`{f}` string" for f in extra))
+    assert sorted(tuple(r) for r in chat.table_turns(df).collect()) == rows
+    nested = df.withColumn("messages", F.array(F.struct(F.lit("x").alias("role"), F.lit("y").alias("content"))))
+    assert sorted(tuple(r) for r in chat.table_turns(nested).collect()) == rows
+    record = {"prompt": "p", "response": "r"}
+    noise = {"input": "i", "text": "t", "role": "x", "turn": 3, "conv_id": 9, "question": "no answer", "messages": "none", "dialog": []}
+    found = chat.record_turns(spark.createDataFrame([(1, json.dumps(record | noise))], "k long, record string"), "k", "record").first()
+    assert found.layout == "prompt_response" and [(t.role, t.text) for t in found.turns] == [("user", "p"), ("assistant", "r")]
+    both = {"messages": [{"role": "user", "content": "m"}], "instruction": "i", "output": "o"}
+    assert chat.record_turns(spark.createDataFrame([(1, json.dumps(both))], "k long, record string"), "k", "record").first().layout == "messages"

@@ -148,7 +148,8 @@ def test_templates_by_labels(spark):
     df = spark.createDataFrame(rows, "page_id long, url string")
     got = {x.page_id: x for x in url_filter.judge(df, [], spark.createDataFrame(labels, "page_id long, bad boolean")).collect()}
     assert all(got[i].verdict == ("block" if i % 3 == 0 else "allow") for i in range(600)) and got[9000].verdict == got[9001].verdict == "allow"
-    assert {got[i].template for i in range(0, 600, 3)} == {"/spam/{n}/page-{n}.html"} and got[2].template.startswith("/{unlabelled}")
+    assert {got[i].template for i in range(0, 600, 3)} == {"/spam/{n}/page-{n}.html"} and got[2].template == "/open/{n}/page-{n}.html"
+    assert got[2].purity == pytest.approx(((100 + 5 * 0.5) / (200 + 5)), abs=0.02)                # that of the host
     assert url_filter.judge(df.limit(0)).collect() == []
 
 
@@ -160,3 +161,36 @@ def test_a_hot_blocked_host_judges_no_other(spark):
     for got in (url_filter.judge(df), url_filter.judge(df, [], spark.createDataFrame(labels, "page_id long, bad boolean"))):
         verdicts = {x.page_id: x.verdict for x in got.collect()}
         assert [i for i, _ in rows if verdicts[i] == "block"] == list(range(300))
+
+
+def test_unlabelled_branches_follow_their_host(spark):
+    """Without labels of its own a branch has the purity of its nearest labelled ancestor on the same host, and of no other host."""
+    rows, labels = [], []
+    for host, bad in (("bad.org", True), ("good.org", False)):
+        for i in range(40):
+            rows += [(len(rows), f"http://{host}/a/{i}"), (len(rows) + 1, f"http://{host}/b/c/{i}"), (len(rows) + 2, f"http://{host}/b/d/{i}")]
+            labels += [(len(rows) - 3, bad), (len(rows) - 2, bad)]
+    rows += [(len(rows) + i, f"http://other.org/a/{i}") for i in range(40)]
+    got = {x.page_id: x for x in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), [], spark.createDataFrame(labels, "page_id long, bad boolean")).collect()}
+    verdicts = {host: {got[i].verdict for i, u in rows if f"//{host}/" in u} for host in ("bad.org", "good.org", "other.org")}
+    assert verdicts == {"bad.org": {"block"}, "good.org": {"allow"}, "other.org": {"allow"}}
+    at = {u.split("//")[1].rsplit("/", 1)[0]: got[i].purity for i, u in rows}
+    assert at["other.org/a"] < 0.55 and at["bad.org/b/d"] > at["other.org/a"] > at["good.org/b/d"]
+
+
+def test_templates_tell_held_out_labels(spark):
+    """Half of what the rules say is hidden; the templates tell it from the other half."""
+    import pathlib
+    folder = pathlib.Path("/root/testdata/sf0.1/pages.parquet")
+    if not folder.exists():
+        pytest.skip("the test tables are not here")
+    pages = spark.read.parquet(str(folder))
+    said = {x.page_id: x.verdict == "block" for x in url_filter.judge(pages).where("rule is not null").collect()}
+    known = [(i, bad) for i, bad in said.items() if i % 2 == 0]
+    got = {x.page_id: x.verdict == "block" for x in url_filter.judge(pages, [], spark.createDataFrame(known, "page_id long, bad boolean")).collect()}
+    hidden = [i for i in said if i % 2]
+    right = sum(got[i] == said[i] for i in hidden) / len(hidden)
+    most = max(sum(said[i] for i in hidden), sum(not said[i] for i in hidden)) / len(hidden)
+    clean = [i for i in hidden if not said[i]]
+    print(f"held out {len(hidden)}: right {right:.3f}, one verdict for all {most:.3f}")
+    assert right > most and sum(got[i] for i in clean) <= 0.05 * len(clean)
