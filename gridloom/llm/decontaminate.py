@@ -5,7 +5,8 @@ words under its ones are hashed, so a substituted word under a zero changes noth
 joined with those of documents. A document first passes a bitmap of the items' hashes (of fixed size, so it may be
 broadcast; it only spares rows that no join would keep). Each hit names a document, an item and how the two are
 aligned; on that alignment the words around the hit are compared, and the item counts as found if enough words of some
-window of it agree.
+window of it agree. Short items have seeds of their own, so that every alignment on which enough words agree is looked at: an item
+of any length is found whichever words are substituted.
 
 Texts are identified by a fingerprint of their words, so a text that occurs many times is compared once.
 
@@ -26,27 +27,33 @@ from ..session import written
 from . import words
 from .frames import documents, fields, id_place, map_pieces, maybe_in, pick, place_filter, table
 
-SEEDS = ["111111", "11011011", "1100110101", "10110010101"]     # six words each
+SEEDS = ["111111", "11011011", "1100110101", "10110010101"]     # for items that are long enough for them, six words each
+#: By the number of words of an item (16: or more), the seeds that with those above leave no way to substitute a quarter of the words,
+#: of an item or of a window of 16, that no seed passes over. Found by a greedy search; a test goes through all ways.
+MORE = {5: ["1111", "11101", "11011", "10111"], 6: ["11111", "111101", "111011", "110111", "101111"], 7: ["1111101", "1111011", "1110111", "1101111", "1011111"],
+        8: ["11101", "110011", "10111"], 9: ["1110011", "101111", "11010101", "11111"], 10: ["11100111", "110101011", "1111011"], 11: ["11010111", "11111001"],
+        12: ["1010100111", "110101011", "11000110011", "1110001101", "110001001101"], 13: ["11010100011", "110101101", "1110001101"], 14: ["110101000011", "1111011"],
+        15: ["11110101"], 16: ["101010000111", "1100001100011", "11100101001"]}
 MIN_WORDS = 5
 WINDOW, SHARE = 16, 0.75    # found if this share of the words of a window, or of a shorter item, agree
 FILTER_BITS = 1 << 26       # 8 MB
 
 
-def _seeds(short: list[int]) -> list[tuple[int, str]]:
-    """Every seed with its number; items of fewer words than the shortest seed are hashed whole."""
-    return list(enumerate(SEEDS)) + [(100 + n, "1" * n) for n in sorted(short)]
+def seeds_of(n: int) -> list[str]:
+    """The seeds that find an item of `n` words, or the windows of a longer one."""
+    return [m for m in SEEDS if len(m) <= n] + MORE[min(n, WINDOW)]
 
 
-def _hits(hashes: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, str]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _hits(hashes: np.ndarray, doc: np.ndarray, seeds: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each seed, the hash at every place where it fits into one text, and the place."""
     spread = [hashes * words._SPREAD[k] for k in range(6)]
-    for number, mask in seeds:
+    for mask in seeds:
         many = len(hashes) - len(mask) + 1
         if many <= 0:
             continue
         at = np.flatnonzero(doc[:many] == doc[len(mask) - 1:])
         ones = [k for k, c in enumerate(mask) if c == "1"]
-        total = np.full(len(at), number * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
+        total = np.full(len(at), int(mask, 2) * 0x9E3779B97F4A7C15 % (1 << 64), np.uint64)
         for nth, k in enumerate(ones):
             total += spread[nth][at + k]
         yield words.mix(total), at
@@ -75,17 +82,12 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return made.where(F.col("n") >= MIN_WORDS)
 
 
-def _item_seeds(seeds):
-    def run(batches):
-        for batch in batches:
-            for item, raw, n in zip(*(batch.column(c).to_pylist() for c in ("item_id", "item_words", "n"))):
-                own = [s for s in seeds if len(s[1]) <= n and (s[0] < 100 or s[0] == 100 + n)]
-                hashes = np.frombuffer(raw, np.uint64)
-                found = list(_hits(hashes, np.zeros(len(hashes), np.int64), own))
-                if found:
-                    h, at = (np.concatenate(x) for x in zip(*found))
-                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32))], names=["item_id", "h", "item_at"])
-    return run
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, raw, n in zip(*(batch.column(c).to_pylist() for c in ("item_id", "item_words", "n"))):
+            hashes = np.frombuffer(raw, np.uint64)
+            h, at = (np.concatenate(x) for x in zip(*_hits(hashes, np.zeros(len(hashes), np.int64), seeds_of(n))))
+            yield pa.RecordBatch.from_arrays([pa.array([item] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32))], names=["item_id", "h", "item_at"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +118,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_items, item_ids, best_share, contaminated for each row of `docs`."""
     items = written(items_of(benchmark))
-    short = [r["n"] for r in items.where(F.col("n") < len(SEEDS[0])).select("n").distinct().collect()]     # at most one number
-    seeds = _seeds(short)
-    item_hits = written(items.mapInArrow(_item_seeds(seeds), "item_id long, h long, item_at int"))
+    sizes = [r["n"] for r in items.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]     # twelve numbers at most
+    seeds = sorted({m for n in sizes for m in seeds_of(n)})
+    item_hits = written(items.mapInArrow(_item_seeds, "item_id long, h long, item_at int"))
     held = place_filter(item_hits.select(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))), FILTER_BITS)
 
     def probe(piece: pa.RecordBatch) -> dict:

@@ -5,9 +5,11 @@ ends a part. Which words of a passage do so is alike wherever it stands, but for
 sentence (or part of one) on, the shortest run of at least two and MIN_WORDS words is hashed. Hashes are counted over all
 documents; of each that occurs again, the first place (by doc_id, text, place) stays, and sentences that any other place
 covers are removed. Any passage of more than 50 words that another document holds is found: a part ends within its first
-7 words, the run from there on within 36 more, and the 7 behind are inside the passage too. What is left of a
-passage found is at most the words before that part's end and those after the last run that ends inside, no more than a
-few parts.
+7 words, the run from there on within 36 more, and the 7 behind are inside the passage too.
+
+The parts only find; what goes are whole sentences, and those that are covered in part stay as they are. Only a sentence of more
+than LONG words, and a repeated stretch that holds no whole sentence, go by their parts. The first document that holds a
+passage keeps it, so of n holders n - 1 lose it.
 
 Counting combines before the shuffle. Only runs that pass a bitmap of the repeated hashes (of fixed size) go through the
 second join, and only documents that lose something are joined with what they lose.
@@ -28,14 +30,16 @@ from ..session import written
 from . import words
 from .frames import documents, fields, id_place, map_pieces, maybe_in, place_filter, table
 
-MIN_WORDS, MIN_SENTENCES = 30, 2
+MIN_WORDS, MIN_SENTENCES = 30, 2    # what repeats in fewer words is left alone
+LONG = 30                   # words from which on a sentence goes by its parts
 NEAR = 7                    # words in a row of which one ends a part; 3 * NEAR + MIN_WORDS <= 53 finds all passages of 51 words
 FILTER_BITS = 1 << 27       # 16 MB
 LAST = (1 << 63) - 1        # order of a NULL doc_id
 
 
 class Cut:
-    """Sentences and runs of all texts of a column. first, last: words of a sentence; doc: its text; run: the sentence after each sentence's run, 0 without one."""
+    """Sentences and runs of all texts of a column. first, last: words of a sentence or part; doc: its text; run: the part after each part's run, 0 without one; unit: number of
+    the sentence, or of the part of a long one, that goes as a whole."""
 
     def __init__(self, column: pa.Array):
         w = self.words = words.find_words(column, lower=True)
@@ -46,10 +50,15 @@ class Cut:
         if n:
             ends[:-1] |= (breaks[w.start[1:]] > breaks[w.end[:-1]]) | (w.doc[1:] != w.doc[:-1])
             ends[-1] = True
+        sentence = np.concatenate([[0], np.cumsum(ends)])[:-1] if n else np.zeros(0, np.int64)
         ends[_least(hashes, w.doc)] = True
         self.last = np.flatnonzero(ends)
         self.first = np.concatenate([[0], self.last[:-1] + 1]).astype(np.int64) if n else self.last
         self.doc = w.doc[self.first]
+        self.sentence = sentence[self.first]
+        by_parts = np.bincount(sentence)[self.sentence] > LONG if n else np.zeros(0, bool)
+        new = np.concatenate([[True], (self.sentence[1:] != self.sentence[:-1]) | by_parts[1:]])[:len(self.first)]
+        self.unit = np.cumsum(new)
         after = np.maximum(np.searchsorted(self.last + 1, self.first + MIN_WORDS), np.arange(len(self.first)) + MIN_SENTENCES - 1)
         inside = after < len(self.first)
         inside[inside] = self.doc[after[inside]] == self.doc[inside]
@@ -86,6 +95,16 @@ def _runs(piece: pa.RecordBatch) -> dict:
     return {"doc": piece.column("doc"), "print": piece.column("print"), "runs": pa.ListArray.from_arrays(pa.array(cut.bounds.astype(np.int32)), values)}
 
 
+def _whole(covered: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """The parts that go: of each stretch of covered ones, the whole units, or all if it has none."""
+    if not covered.any():
+        return covered
+    unit = unit - unit[0]
+    whole = covered & (np.bincount(unit)[unit] == np.bincount(unit, covered)[unit])
+    stretch = np.cumsum(np.concatenate([[True], covered[1:] != covered[:-1]])) - 1
+    return whole | (covered & (np.bincount(stretch, whole)[stretch] == 0))
+
+
 def _without(piece: pa.RecordBatch) -> dict:
     """The texts without the sentences that the runs beginning at `places` cover."""
     cut = Cut(piece.column("text"))
@@ -97,7 +116,7 @@ def _without(piece: pa.RecordBatch) -> dict:
             if p < b - a and cut.run[a + p]:            # always, unless the hashes of two texts of one doc_id are equal
                 cover[p] += 1
                 cover[cut.run[a + p] - a] -= 1
-        gone = np.cumsum(cover)[:-1] > 0
+        gone = _whole(np.cumsum(cover)[:-1] > 0, cut.unit[a:b])
         spans = []
         if gone.any():
             raw, base = text.encode(), int(w.bounds[d])
@@ -112,14 +131,14 @@ def _without(piece: pa.RecordBatch) -> dict:
             text = b"".join([*kept, raw[at:]]).decode()
             spans = [f"{len(raw[:i].decode())}:{len(raw[:j].decode())}" for i, j in spans]
         out["text"].append(text)
-        out["n_sentences"].append(b - a)
-        out["n_removed"].append(int(gone.sum()))
+        out["n_sentences"].append(len(np.unique(cut.sentence[a:b])))
+        out["n_removed"].append(len(np.unique(cut.sentence[a:b][gone])))
         out["removed"].append(",".join(spans))
     return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, n_removed, removed (spans of code points of the old text), text without them."""
+    """doc_id, n_sentences, n_removed (sentences that go, or lose a part), removed (spans of code points of the old text), text without them."""
     source = documents(docs)
     runs = written(map_pieces(_keyed(source), "text", _runs, fields("doc:bigint", "print:bigint", "runs:array<bigint>")))
     each = runs.select("doc", "print", F.posexplode("runs").alias("place", "run")).where("run is not null")

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import re
 
@@ -38,11 +40,11 @@ def leaks(docs, items):
 
 def test_leaks_with_substitutions(spark, docs_of, prose):
     r = random.Random(8)
-    items = [(k, prose(1000 + k, n)) for k, n in enumerate([60, 40, 20, 16, 12, 8, 6, 5, 4, 1])] + [(20, None), (21, ""), (22, prose(1000, 60)), (23, "a a a a a a a a a")]
+    items = [(k, prose(1000 + k, n)) for k, n in enumerate([60, 40, 20, 16, 12, 8, 6, 5, 4, 1])] + [(30 + n, prose(2000 + n, n)) for n in range(7, 16)] + [(20, None), (21, ""), (22, prose(1000, 60)), (23, "a a a a a a a a a")]
     texts = [prose(k, 80) for k in range(30)]
-    for k in range(40):
-        i, item = items[r.randrange(8)]
-        texts.append(f"{prose(50 + k, 30)} {substituted(item, r.randrange(0, 1 + len(item.split(' ')) // 12), r)} {prose(99 + k, 20)}")
+    for k in range(90):
+        i, item = r.choice([x for x in items if x[1] and len(x[1].split(" ")) > 4])
+        texts.append(f"{prose(50 + k, 30)} {substituted(item, r.randrange(0, 1 + len(item.split(' ')) // 4), r)} {prose(99 + k, 20)}")
     texts += [None, "", "a " * 500, items[0][1], items[0][1].upper(), " ".join(items[0][1].split(" ")[:30]), texts[35], texts[35]]
     docs = list(enumerate(texts))
     rows = decontaminate.contaminated(docs_of(docs), spark.createDataFrame([(*x, "extra") for x in items], "item_id long, text string, Text string")).collect()
@@ -50,6 +52,17 @@ def test_leaks_with_substitutions(spark, docs_of, prose):
     assert all(r.contaminated == bool(r.item_ids) and r.n_items == len(r.item_ids or []) for r in rows)
 
 
+def test_seeds_pass_over_every_admitted_substitution():
+    """All ways to substitute a quarter of an item of 5 to 20 words: some seed has only words that stayed."""
+    for n in range(5, 21):
+        size = min(n, decontaminate.WINDOW)
+        times = size - math.ceil(decontaminate.SHARE * size)
+        places = [sum(1 << (k + i) for k, c in enumerate(m) if c == "1") for m in decontaminate.seeds_of(n) for i in range(size - len(m) + 1)]
+        for gone in itertools.combinations(range(size), times):
+            lost = sum(1 << i for i in gone)
+            assert any(not p & lost for p in places), (n, gone)
+
+
 def test_leaks_without_rows_or_ids(spark, docs_of, prose):
     item = prose(1, 30)
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
@@ -58,41 +71,62 @@ def test_leaks_without_rows_or_ids(spark, docs_of, prose):
     assert [r.n_items for r in decontaminate.contaminated(docs_of([item]), bench.limit(0)).collect()] == [0]
 
 
-def expected(docs):
-    """Which sentences of which document go, from the words of every run."""
-    cuts = {d: substring_dedup.Cut(pa.array([t], pa.string())) for d, t in docs}
-    run = lambda c, i: tuple(x.lower() for x in c.words.texts(np.arange(c.first[i], c.last[c.run[i] - 1] + 1)))                     # noqa: E731
-    first, gone = {}, {}
-    for d in sorted(cuts):
-        for i in np.flatnonzero(cuts[d].run).tolist():
-            first.setdefault(run(cuts[d], i), (d, i))
-    for d, c in cuts.items():
-        gone[d] = {k for i in np.flatnonzero(c.run).tolist() if first[run(c, i)] != (d, i) for k in range(i, int(c.run[i]))}
-    return cuts, gone
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+
+
+def runs_of(texts, n):
+    """(text number, word number) of every run of n words, by its words."""
+    out = {}
+    for d, t in enumerate(texts):
+        w = WORD.findall((t or "").lower())
+        for i in range(len(w) - n + 1):
+            out.setdefault(tuple(w[i:i + n]), []).append((d, i))
+    return out
 
 
 def test_repeated_passages(docs_of, prose):
+    """By the words alone: no passage of more than 50 words is left twice, and nothing goes that is not repeated."""
     r = random.Random(9)
-    passages = [prose(500 + k, r.randrange(51, 90)) for k in range(5)]
+    passages = [prose(500 + k, r.randrange(51, 90)) for k in range(5)] + [prose(600, 70).replace(".", "").replace(",", "")]
     texts = [prose(k, 120) for k in range(20)]
-    for k in range(20):
-        texts.append(f"{prose(100 + k, 30)} {r.choice(passages)}\n{prose(200 + k, 30)}")
-    texts += [None, "", "One. Two. Three.", texts[3], texts[3].upper(), (prose(7, 60) + " ") * 3, "é ß. " + passages[0]]
+    for k in range(24):
+        end = r.choice([" ", ".\n", ". "])
+        texts.append(f"{prose(100 + k, 30)}{end}{passages[k % 6]}{r.choice([' ', chr(10)])}{prose(200 + k, 30)}")
+    texts += [None, "", "One. Two. Three.", texts[3], texts[3].upper(), (prose(7, 60) + " ") * 3, "é ß. " + passages[0], prose(800, 250).replace(".", "")]
     docs = list(enumerate(texts))
     rows = {x.doc_id: x for x in substring_dedup.deduplicated(docs_of(docs)).collect()}
-    cuts, gone = expected(docs)
+    assert len(rows) == len(docs)
+    repeated = {k for k, v in runs_of(texts, 51).items() if len(v) > 1}
+    assert len(repeated) > 100
+    left = runs_of([rows[d].text for d, _ in docs], 51)
+    assert all(len(left[k]) == 1 for k in repeated if k in left)
+    shared = {d for v in runs_of(texts, substring_dedup.MIN_WORDS).values() if len(v) > 1 for d, _ in v}
     for d, t in docs:
         x, at, kept = rows[d], 0, ""
-        assert (x.n_removed, x.n_sentences) == (len(gone[d]), len(cuts[d].run)), d
+        if d not in shared or t is None:
+            assert (x.text, x.n_removed, x.removed) == (t, 0, "")
+            continue
+        where = {i for v in runs_of(texts, 20).values() if len(v) > 1 for e, k in v if e == d for i in range(k, k + 20)}
+        begins = [m.start() for m in WORD.finditer(t)]
         for a, b in (map(int, s.split(":")) for s in x.removed.split(",") if s):
             kept, at = kept + t[at:a], b
-        assert x.text == (None if t is None else kept + t[at:])
-    first = {}
-    for d, t in docs:                                                                       # every later holder of a passage loses most of it
-        for p in passages:
-            if t and p in t and first.setdefault(p, d) != d:
-                assert rows[d].n_removed and len(rows[d].text) < len(t) - len(p) / 2
-    assert all(rows[d].n_removed == 0 for d in range(20))
+            assert {i for i, c in enumerate(begins) if a <= c < b} <= where                                # what goes occurs again
+        assert x.text == kept + t[at:]
+
+
+def test_whole_sentences_go(docs_of, prose):
+    """Six repeated sentences go whole, the ones around them stay whole, whatever stands before them."""
+    r = random.Random(4)
+    sentence = lambda n: " ".join(f"s{r.randrange(10 ** 6):x}" for _ in range(n)) + "."                     # noqa: E731
+    six = [sentence(r.randrange(8, 14)) for _ in range(6)]
+    own = [[sentence(r.randrange(5, 20)) for _ in range(6)] for _ in range(8)]
+    docs = [(d, " ".join([*own[d][:3], *six, *own[d][3:]])) for d in range(7)]
+    docs.append((7, " ".join([*own[7][:2], own[7][2][:-1], *six, *own[7][3:]])))                            # the first one runs on from another sentence
+    rows = {x.doc_id: x for x in substring_dedup.deduplicated(docs_of(docs)).collect()}
+    assert rows[0].text == docs[0][1] and rows[0].n_removed == 0 and rows[0].n_sentences == 12
+    for d in range(1, 7):
+        assert rows[d].text == " ".join(own[d]) and rows[d].n_removed == 6, d
+    assert rows[7].text == " ".join([*own[7][:2], own[7][2][:-1] + " " + six[0], *own[7][3:]]) and rows[7].n_removed == 5
 
 
 def test_repeated_rows_and_no_rows(docs_of, prose):
