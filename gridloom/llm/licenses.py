@@ -4,9 +4,11 @@ Words are compared in lower case and without punctuation. For a stretch of a doc
 both are anchors; the longest increasing subsequence of their places is kept, and the gaps between anchors are aligned
 the same way, down to equal words at their ends. Coverage is the share of the template's words that are aligned.
 
+A notice of up to SHORT words may miss one of them, if it is one that says little (`FILLERS`); all others must be aligned.
+
 Alignment is for few documents: a template can be covered no further than its words occur at all, with their numbers,
-so documents, and then windows of a document, whose count stays below the threshold are passed over without loss.
-Templates come in `TEMPLATES` or from the caller.
+so documents, and then windows of a document, whose count stays below the threshold, or that lack a word they must have,
+are passed over without loss. Templates are texts and notices by SPDX identifier (`license_texts`), or the caller's.
 
 Defined results: a NULL or empty text has no license. Repeated rows get equal findings; an empty table gives an empty
 result. A license that occurs twice is found twice. Findings of equal coverage over the same words: the longer template,
@@ -24,40 +26,11 @@ from pyspark.sql import DataFrame
 
 from . import words
 from .frames import Spans, documents, fields, map_pieces, table
+from .license_texts import FILLERS, TEMPLATES
 
 COVERAGE = 0.8
 SPREAD = 1.5                # a finding spans at most so many times the template's words
-SHORT = 8                   # templates of up to so many words must be covered wholly
-
-#: Public license texts and the usual notices, in order of their names.
-TEMPLATES = {
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of
-        the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
-        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
-        permissions and limitations under the License.""",
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-        Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must
-        reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-        distribution.""",
-    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0 notice": "Licensed under CC BY-SA 4.0",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
-        Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
-        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-    "GPL-3.0 notice": "licensed under the GNU General Public License, version 3",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
-        and this permission notice appear in all copies.""",
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in
-        the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
-        Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
-        notice shall be included in all copies or substantial portions of the Software.""",
-    "MIT notice": "Released under the MIT License",
-    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain
-        one at https://mozilla.org/MPL/2.0/.""",
-}
-
+SHORT = 12                  # notices of up to so many words must have all words that tell something
 
 def patience(a: list, b: list, low_a: int = 0, low_b: int = 0) -> list[tuple[int, int]]:
     """Pairs (place in a, place in b) of equal words, rising in both. Gaps wait on a list, so depth is no matter."""
@@ -102,14 +75,44 @@ class Template:
         found = words.find_words(pa.array([text]), lower=True, gaps=words.NOT_LETTERS)
         self.name, self.words = name, found.hashes().tolist()
         self.size = len(self.words)
-        self.need = self.size if self.size <= SHORT else int(np.ceil(COVERAGE * self.size))
+        texts = [w.decode() for w in found.texts(np.arange(self.size))]
+        self.must = frozenset(i for i, w in enumerate(texts) if w not in FILLERS) if self.size <= SHORT else frozenset()
+        missing = self.size - len(self.must) if self.size <= SHORT else self.size
+        self.need = self.size - min(1, missing) if self.size <= SHORT else int(np.ceil(COVERAGE * self.size))
         self.counts = Counter(self.words)
 
+    def holds(self, pairs: list[tuple[int, int]]) -> bool:
+        return len(pairs) >= self.need and self.must.issubset(j for _, j in pairs)
+
+
+class Prepared:
+    """Templates, their words, and for each word the templates that have it and how often; what each template needs, and which words."""
+
+    def __init__(self, templates: tuple[tuple[str, str], ...]):
+        self.templates = [t for t in (Template(*x) for x in templates) if t.size]
+        self.words = np.unique(np.array([w for t in self.templates for w in t.words], np.uint64))
+        entries = sorted((int(np.searchsorted(self.words, np.uint64(w))), i, n, w in {t.words[j] for j in t.must}) for i, t in enumerate(self.templates) for w, n in t.counts.items())
+        word, self.template, self.times, self.must = (np.array(x) for x in zip(*entries)) if entries else (np.zeros(0, np.int64),) * 4
+        self.bounds = np.searchsorted(word, np.arange(len(self.words) + 1))
+        self.need = np.array([t.need for t in self.templates])
+        self.musts = np.array([len({t.words[j] for j in t.must}) for t in self.templates])
+
+    def possible(self, doc: np.ndarray, word: np.ndarray, n_docs: int) -> np.ndarray:
+        """(text, template) pairs that hold enough of the template's words, and all that must be there, in any order."""
+        size, total = len(self.words), len(self.templates)
+        key, times = np.unique(doc * size + word, return_counts=True)
+        doc, word = key // size, key % size
+        many = self.bounds[word + 1] - self.bounds[word]
+        at = np.repeat(self.bounds[word] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        pair = np.repeat(doc, many) * total + self.template[at]
+        held = np.bincount(pair, np.minimum(np.repeat(times, many), self.times[at]), n_docs * total).reshape(n_docs, total)
+        must = np.bincount(pair, self.must[at], n_docs * total).reshape(n_docs, total)
+        return np.argwhere((held >= self.need) & (must >= self.musts))
+
 
 @lru_cache(maxsize=4)
-def _prepared(templates: tuple[tuple[str, str], ...]) -> tuple[list[Template], np.ndarray]:
-    made = [t for t in (Template(*x) for x in templates) if t.size]
-    return made, np.unique(np.array([w for t in made for w in t.words], np.uint64))
+def _prepared(templates: tuple[tuple[str, str], ...]) -> Prepared:
+    return Prepared(templates)
 
 
 def align(text: list, template: Template) -> list[tuple[int, int, int]]:
@@ -129,7 +132,7 @@ def align(text: list, template: Template) -> list[tuple[int, int, int]]:
         pairs = patience(window, template.words)
         while pairs and pairs[-1][0] - pairs[0][0] >= SPREAD * size:            # a stray word far from the rest
             pairs = pairs[1:] if pairs[1][0] - pairs[0][0] > pairs[-1][0] - pairs[-2][0] else pairs[:-1]
-        if len(pairs) >= template.need:
+        if template.holds(pairs):
             found.append((len(pairs), start + pairs[0][0], start + pairs[-1][0] + 1))
     taken = Spans()
     return [f for f in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])) if taken.add(f[1], f[2])]
@@ -137,23 +140,21 @@ def align(text: list, template: Template) -> list[tuple[int, int, int]]:
 
 def _scan(templates):
     def run(piece: pa.RecordBatch) -> dict:
-        prepared, vocabulary = _prepared(templates)
+        prepared = _prepared(templates)
         w = words.find_words(piece.column("text"), lower=True, gaps=words.NOT_LETTERS)
-        hashes, first = w.hashes(), w.first()
-        where = np.searchsorted(vocabulary, hashes)
-        known = np.zeros(len(hashes), bool) if not len(vocabulary) else vocabulary[np.minimum(where, len(vocabulary) - 1)] == hashes
-        in_doc = np.concatenate([[0], np.cumsum(known)])
-        least = min((t.need for t in prepared), default=1)
-        many = in_doc[first[1:]] - in_doc[first[:-1]]
-        findings = [[] for _ in range(w.n_docs)]
-        for d in np.flatnonzero(many >= least).tolist():
+        hashes, first, findings = w.hashes(), w.first(), [[] for _ in range(w.n_docs)]
+        if len(prepared.words):
+            where = np.minimum(np.searchsorted(prepared.words, hashes), len(prepared.words) - 1)
+            known = prepared.words[where] == hashes
+            pairs = prepared.possible(w.doc[known], where[known], w.n_docs)
+        else:
+            known, pairs = np.zeros(len(hashes), bool), np.zeros((0, 2), np.int64)
+        for d in np.unique(pairs[:, 0]).tolist():
             a, b = int(first[d]), int(first[d + 1])
-            text = np.where(known[a:b], hashes[a:b], np.uint64(0)).tolist()
-            counts = Counter(x for x in text if x)
-            got = []
-            for t in prepared:
-                if sum((counts & t.counts).values()) >= t.need:
-                    got += [(n / t.size, t.size, t.name, i, j) for n, i, j in align(text, t)]
+            text, got = np.where(known[a:b], hashes[a:b], np.uint64(0)).tolist(), []
+            for i in pairs[pairs[:, 0] == d, 1].tolist():
+                t = prepared.templates[i]
+                got += [(n / t.size, t.size, t.name, i, j) for n, i, j in align(text, t)]
             base, raw = int(w.bounds[d]), w.data[w.bounds[d]:w.bounds[d + 1]].tobytes()
             place = lambda byte: len(raw[:byte - base].decode())                                                    # noqa: E731
             taken = Spans()                             # of overlapping findings, that of most words
