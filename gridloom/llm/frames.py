@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..session import written
 
-PIECE_BYTES = 2_000_000     # bytes of text handled at once by one Python worker; a longer text is handled alone
+PIECE_BYTES = 1_000_000     # bytes of text handled at once by one Python worker; a longer text is handled alone
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

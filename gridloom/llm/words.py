@@ -40,10 +40,10 @@ def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64; kept up to the usual size, a longer table is made anew."""
     known = _powers.get(base)
     if known is None or len(known) < n:
-        known = np.full(max(n, 1 << 21), base, np.uint64)
+        known = np.full(max(n, 1 << 20), base, np.uint64)
         known[0] = 1
         np.multiply.accumulate(known, out=known)
-        if len(known) <= 1 << 22:
+        if len(known) <= 1 << 21:
             _powers[base] = known
     return known[:n]
 
