@@ -49,6 +49,15 @@ def _sort_columns(df: DataFrame, by: list[tuple[str, str]], backwards: bool = Fa
     return out
 
 
+def _first_key(df: DataFrame, by: list[tuple[str, str]], order_by, backwards: bool = False) -> Column | None:
+    """The number that the rows are ordered by first, smaller ones earlier; None if that is no number."""
+    name, direction = by[0] if by else (order_names(df, order_by)[0], ASCENDING)
+    if name not in df.columns or not is_number(type_of(df, name)):
+        return None
+    number = present(col(name), type_of(df, name)).cast("double")
+    return -number if (direction == DESCENDING) != backwards else number
+
+
 def _levels(by) -> list[tuple[str, str]]:
     return [(b, ASCENDING) if isinstance(b, str) else (b[0], b[1]) for b in by]
 
@@ -73,14 +82,16 @@ def rank_rows(df: DataFrame, by, within: str | None = None, order_by=None) -> Da
 def first_n(df: DataFrame, n: int, order_by=None, by=()) -> DataFrame:
     _check_count(n)
     order = _sort_columns(df, _levels(by)) + file_order(df, order_by)
-    return first_rows(df, order, n, tie_names(df, order_by)).orderBy(*order)
+    nulls_first = not by                                # blanks come last, but in the order of the rows itself
+    return first_rows(df, order, n, tie_names(df, order_by), _first_key(df, _levels(by), order_by), nulls_first).orderBy(*order)
 
 
 def last_n(df: DataFrame, n: int, order_by=None, by=()) -> DataFrame:
     _check_count(n)
     order = _sort_columns(df, _levels(by)) + file_order(df, order_by)
     backwards = _sort_columns(df, _levels(by), backwards=True) + [c.desc() for c in file_order(df, order_by)]
-    return first_rows(df, backwards, n, tie_names(df, order_by)).orderBy(*order)
+    nulls_first = bool(by)
+    return first_rows(df, backwards, n, tie_names(df, order_by), _first_key(df, _levels(by), order_by, backwards=True), nulls_first).orderBy(*order)
 
 
 def _check_count(n) -> None:
@@ -104,7 +115,8 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, order_by=None) -> DataFrame:
     order = file_order(df, order_by)
     places = [F.coalesce(col(x).cast("string"), F.lit("")) for x in order_names(df, order_by)]
     chance = F.md5(F.concat_ws(":", F.lit(str(seed)), *places))
-    return first_rows(df, [chance, *order], n, tie_names(df, order_by)).orderBy(*order)
+    key = F.conv(F.left(chance, F.lit(13)), 16, 10).cast("double")             # 52 bits: exact, and in the order of the MD5
+    return first_rows(df, [chance, *order], n, tie_names(df, order_by), key).orderBy(*order)
 
 
 def occurrence(df: DataFrame, keys: list[str], name: str = "occurrence", order_by=None) -> DataFrame:

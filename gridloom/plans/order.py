@@ -19,6 +19,7 @@ POSITION = "_position"
 GROUP_ROWS = 5_000_000          # a group up to this size is handled by one task; larger ones are sliced
 SLICE_ROWS = 5_000_000          # rows of a slice, about
 TOP_ROWS = 10_000               # a longer head of the table is numbered instead of gathered in one task
+_CUT_ACCURACY = 10_000          # of the percentile that cuts a long head off
 _PLACE, _SLICE, _OFFSET, _ROW = "__place", "__slice", "__offset", "__row"
 _BITS = 33                      # monotonically_increasing_id: partition above, row in partition below
 
@@ -176,9 +177,30 @@ def carry_values(df: DataFrame, values: dict[str, Column], order: list[Column],
     return joined.drop(_SLICE, _OFFSET, *sources.values(), *[f"{s}_carried" for s in sources.values()])
 
 
-def first_rows(df: DataFrame, order: list[Column], count: int, ties: list[str] | None = None) -> DataFrame:
-    """The first `count` rows. A short list is a top-k; a long one is numbered, so no task has to hold it."""
+def first_rows(df: DataFrame, order: list[Column], count: int, ties: list[str] | None = None, key: Column | None = None, nulls_first: bool = False) -> DataFrame:
+    """The first `count` rows. A short list is a top-k; a long one is numbered, so no task has to hold it.
+
+    `key` is a number by which the rows are ordered first, smaller ones earlier. Then one aggregate finds a value that enough rows,
+    and few more, do not exceed, and only these are sorted and numbered."""
     if count <= setting(df.sparkSession, "topRows", TOP_ROWS):
         return df.orderBy(*order).limit(count)
     name = free_name("__index", df.columns)
-    return dense_index(df, order, name, ties=ties).filter(F.col(name) <= count).drop(name)
+    return dense_index(df if key is None else _up_to(df, key, count, nulls_first), order, name, ties=ties).filter(F.col(name) <= count).drop(name)
+
+
+def _up_to(df: DataFrame, key: Column, count: int, nulls_first: bool) -> DataFrame:
+    """The rows whose `key` is small enough to be among the first `count`, a few more, and all of equal key.
+
+    The approximate percentile is off by no more than its accuracy, which is added on top; that it sufficed is counted."""
+    cut, seen = 1 / _CUT_ACCURACY, df.agg(F.count(F.lit(1)).alias("rows"), F.count(key).alias("keys")).first()
+    wanted = count - (seen.rows - seen["keys"]) if nulls_first else count
+    if wanted >= seen["keys"]:
+        return df
+    low = F.lit(False)
+    if wanted > 0:
+        share = min(1.0, wanted / seen["keys"] + 2 * cut)
+        value = df.agg(F.percentile_approx(key, share, _CUT_ACCURACY).alias("v")).first().v
+        low = F.coalesce(key <= F.lit(value), F.lit(False))
+        if df.agg(F.count_if(low).alias("n")).first().n < wanted:
+            return df
+    return df.filter(low | key.isNull() if nulls_first else low)

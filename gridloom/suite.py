@@ -403,6 +403,20 @@ def sample_n(spark, sf):
     return sorting.sample_n(table(spark, sf, "orders"), 100, 7, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
+_LINES = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+
+
+@query(f"SELECT {_LINES}, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, {_LINES} LIMIT 12000")
+def top_n_long(spark, sf):
+    """More rows than a top-k holds: only those up to a cut are sorted."""
+    return sorting.first_n(table(spark, sf, "lineitem"), 12_000, _LINES.split(", "), [("l_extendedprice", "descending")]).select(*_LINES.split(", "), "l_extendedprice")
+
+
+@query(f"SELECT {_LINES} FROM lineitem ORDER BY md5('5:' || concat_ws(':', {_LINES})), {_LINES} LIMIT 11000")
+def sample_n_long(spark, sf):
+    return sorting.sample_n(table(spark, sf, "lineitem"), 11_000, 5, _LINES.split(", ")).select(*_LINES.split(", "))
+
+
 @query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS occurrence FROM orders")
 def occurrence_number(spark, sf):
     return sorting.occurrence(table(spark, sf, "orders"), ["o_custkey"], order_by=["o_orderkey"]).select("o_orderkey", "o_custkey", "occurrence")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -153,3 +154,33 @@ def test_slices_are_bounded_and_backward_is_linear(spark):
         assert {r.i: r.next for r in back.collect()} == {i: (i + 39) // 40 * 40 if i <= 4960 else None for i in range(5000)}
     finally:
         spark.conf.unset("spark.gridloom.sliceRows")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_long_heads_against_brute_force(spark, sliced, seed):
+    """Heads, tails and samples beyond the limit of a top-k, with NULLs, NaN, ties and numbers of both signs."""
+    from gridloom.operators import sorting
+    r = random.Random(seed)
+    data = [(i, r.choice([None, float("nan"), 0.0, -1.5, float(r.randrange(-50, 50)), r.gauss(0, 1e9)]), r.randrange(5)) for i in range(300)]
+    df = spark.createDataFrame(data, "i int, x double, k int").repartition(5)
+    blank = lambda v: v is None or v != v                                          # noqa: E731
+    for direction, sign in ((sorting.ASCENDING, 1), (sorting.DESCENDING, -1)):
+        full = sorted(data, key=lambda t: (blank(t[1]), 0 if blank(t[1]) else sign * t[1], t[0]))
+        for n in (40, 290, 400):
+            assert [x.i for x in sorting.first_n(df, n, ["i"], [("x", direction)]).collect()] == [t[0] for t in full[:n]]
+            assert [x.i for x in sorting.last_n(df, n, ["i"], [("x", direction)]).collect()] == [t[0] for t in full[-n:]]
+    for n in (5, 120, 299):
+        assert [x.i for x in sorting.first_n(df, n, ["i"]).collect()] == list(range(n)) and [x.i for x in sorting.last_n(df, n, ["i"]).collect()] == list(range(300 - n, 300))
+        drawn = sorted(sorted(range(300), key=lambda i: hashlib.md5(f"9:{i}".encode()).hexdigest())[:n])
+        assert [x.i for x in sorting.sample_n(df, n, 9, ["i"]).collect()] == drawn
+
+
+def test_a_long_head_sorts_little(spark, monkeypatch):
+    from gridloom.operators import sorting
+    from gridloom.plans import order
+    sorted_rows = []
+    real = order.dense_index
+    monkeypatch.setattr(order, "dense_index", lambda df, *a, **k: (sorted_rows.append(df.count()), real(df, *a, **k))[1])
+    df = spark.range(200_000).withColumn("x", F.rand(3))
+    assert sorting.sample_n(df, 20_000, 1, ["id"]).count() == 20_000 and sorting.first_n(df, 15_000, ["id"], ["x"]).count() == 15_000
+    assert 20_000 <= sorted_rows[0] < 20_200 and 15_000 <= sorted_rows[1] < 15_200
