@@ -169,6 +169,8 @@ def edit_response(docs: DataFrame) -> DataFrame:
     Texts are shuffled once, into slices by that order; equal rows are dealt over slices, so a hot id is many tasks. Each task reads
     its slice in order, one row ahead. Only the two ends of each slice are matched across slices."""
     spark = docs.sparkSession
+    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        raise RuntimeError("spark.sql.exchange.reuse must be on: both readers of the slices must see the same ones")
     order = ["absent", "key", "h", "u"]
     keyed = documents(docs).select("doc_id", "text", F.col("doc_id").isNull().alias("absent"), F.coalesce("doc_id", F.lit(0)).alias("key"),
                                    F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("u"))
