@@ -1017,6 +1017,19 @@ def csv_mixed_encodings(spark, sf):
     return readers.read_delimited(spark, path)
 
 
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS c_name_2, 4::INTEGER AS header_row FROM customer")
+def grid_table(spark, sf):
+    """A report whose table starts in its fourth line, with a title above, a repeated name and an unnamed blank column."""
+    path, k = scratch_path(spark, ".csv"), F.col("c_custkey")
+    cell = lambda c: F.coalesce(c.cast("string"), F.lit(""))                       # noqa: E731
+    rows = table(spark, sf, "customer").select(k.alias("at"), F.concat_ws(",", cell(k), cell(F.col("c_name")), F.lit(""), cell(F.when(k % 2 == 0, F.col("c_mktsegment")))).alias("value"))
+    top = spark.createDataFrame([(-4, "Customers,,,"), (-3, '"made, by hand",,,'), (-2, ",,,"), (-1, "c_custkey,c_name,,c_name")], "at long, value string")
+    top.unionByName(rows).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    grid = readers.raw_grid(spark, path, ",")
+    header = readers.suggest_header_row(grid)
+    return readers.table_from_grid(grid, header).drop("_position").withColumn("header_row", F.lit(header))
+
+
 @query("""SELECT o_orderkey::VARCHAR AS o_orderkey, o_totalprice * 2 AS doubled, o_orderkey + o_custkey::DOUBLE AS added, NULL::DOUBLE AS bad, round(o_totalprice, 1) AS rounded,
     power(o_orderkey::DOUBLE, 2) AS squared, o_orderkey / 2 AS half FROM orders""")
 def calc_on_text(spark, sf):
