@@ -1,12 +1,14 @@
 import hashlib
+import math
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.cells import TableError
 from gridloom.plans.order import carry_values, dense_index, file_order, first_rows, running_sum, with_position
-from gridloom.plans.quantiles import exact_quantiles, grouped_quantile
+from gridloom.plans.quantiles import exact_quantiles, grouped_quantile, order_key
 
 
 def rows(spark, n=400, seed=1):
@@ -114,31 +116,58 @@ def quantile(values, p):
     return values[low] + (values[high] - values[low]) * (at - low)
 
 
-@pytest.mark.parametrize("mode", ["small", "narrowed"])
-def test_exact_quantiles(spark, mode, request):
-    if mode == "narrowed":
-        request.getfixturevalue("sliced")
+def test_order_key_is_the_layout_of_a_double(spark):
+    """Against the bytes themselves: powers of two and their neighbours, subnormal numbers, both signs, both infinities."""
+    rng = random.Random(5)
+    values = [0.0, 5e-324, 2.0 ** -1022, math.nextafter(2.0 ** -1022, 0), 1.7976931348623157e308, math.inf]
+    values += [math.nextafter(2.0 ** e, to) for e in range(-1070, 1024, 7) for to in (0, math.inf)] + [2.0 ** e for e in range(-1074, 1024)]
+    values += [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(52) | rng.randrange(2047) << 52))[0] for _ in range(3000)]
+    values += [-v for v in values if v]
+    got = {r.v: r.k for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", order_key(F.col("v")).alias("k")).collect()}
+    layout = lambda v: struct.unpack("<q", struct.pack("<d", abs(v)))[0]                    # noqa: E731
+    assert got == {v: -layout(v) if v < 0 else layout(v) for v in values}
+    assert spark.range(1).select(order_key(F.lit(float("nan"))).alias("k")).first().k > got[math.inf]
+
+
+@pytest.mark.parametrize("few", [65536, 40, 0])
+def test_exact_quantiles(spark, few):
+    """All rounds run when no step counts as small."""
     rng = random.Random(3)
-    data = [(rng.gauss(0, 100), rng.choice([0.0, 1.0]), 5.0 if rng.random() < 0.7 else rng.random() * 1000, None) for _ in range(3001)]
-    df = spark.createDataFrame(data, "a double, b double, c double, d double").repartition(4)
-    got = exact_quantiles(df, {n: F.col(n) for n in "abcd"}, [0.25, 0.5, 0.75, 1.0])
-    for j, n in enumerate("abc"):
+    near = [1.0 + j * 2.0 ** -50 for j in range(300)]
+    data = [(rng.gauss(0, 100), rng.choice([-1.0, 0.0, 1.0]), 5.0 if rng.random() < 0.7 else rng.random() * 1000, None, rng.choice(near), -rng.random() ** 40)
+            for _ in range(3001)]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, e double, f double").repartition(4)
+    spark.conf.set("spark.gridloom.fewRows", str(few))
+    try:
+        got = exact_quantiles(df, {n: F.col(n) for n in "abcdef"}, [0.0, 0.25, 0.5, 0.77, 1.0])
+        single = exact_quantiles(df.limit(1), {"a": F.lit(3)}, [0.5, 0.9])
+        empty = exact_quantiles(df.limit(0), {"a": F.col("a")}, [0.5])
+    finally:
+        spark.conf.unset("spark.gridloom.fewRows")
+    for j, n in enumerate("abcdef"):
         for p, value in got[n].items():
-            assert value == pytest.approx(quantile([r[j] for r in data], p), rel=1e-9, abs=1e-9), (n, p)
-    assert set(got["d"].values()) == {None}
+            want = None if n == "d" else quantile([r[j] for r in data], p)
+            assert value == (want if want is None else pytest.approx(want, rel=1e-12, abs=1e-300)), (n, p)
+    assert single == {"a": {0.5: 3.0, 0.9: 3.0}} and empty == {"a": {0.5: None}}
 
 
-@pytest.mark.parametrize("mode", ["builtin", "slices"])
-def test_grouped_quantile(spark, mode, request):
-    if mode == "slices":
+@pytest.mark.parametrize("few", [None, 65536, 0])
+@pytest.mark.parametrize("p", [0.5, 0.9])
+def test_grouped_quantile(spark, few, p, request):
+    """The built-in for small groups, radix selection of groups that are not, with few and with all rounds."""
+    if few is not None:
         request.getfixturevalue("sliced")
-    df, data = rows(spark)
-    got = {r.k: r.q for r in grouped_quantile(df, ["k"], F.col("v") + F.col("w"), 0.5, "q").collect()}
+        spark.conf.set("spark.gridloom.fewRows", str(few))
+    try:
+        df, data = rows(spark)
+        got = {r.k: r.q for r in grouped_quantile(df, ["k"], F.col("v") - F.col("w"), p, "q").collect()}
+    finally:
+        spark.conf.unset("spark.gridloom.fewRows")
     values = {}
     for _, k, v, w in data:
         if v is not None:
-            values.setdefault(k, []).append(v + w)
-    assert got == {k: pytest.approx(quantile(v, 0.5)) for k, v in values.items()}
+            values.setdefault(k, []).append(v - w)
+    assert got == {k: pytest.approx(quantile(v, p)) for k, v in values.items()}
 
 
 def test_slices_are_bounded_and_backward_is_linear(spark):
