@@ -34,7 +34,7 @@ def _mapping(df: DataFrame, columns: list[str], prefix: str, digits: int, order_
     some = functools.reduce(operator.or_, [t.isNotNull() for t in texts])
     found = df.filter(some).groupBy(*[t.alias(f"k{i}") for i, t in enumerate(texts)]).agg(
         F.min(at).alias("__at"), *[F.min_by(col(n), at).alias(f"o{i}") for i, n in enumerate(columns)])
-    numbered = dense_index(found, [F.col("__at")], "__number")
+    numbered = dense_index(found, [F.col("__at")], "__number", ascending=True)
     number = F.col("__number").cast("string")
     padded = F.when(F.length(number) < digits, F.lpad(number, digits, "0")).otherwise(number) if digits else number
     # the numbering has written the values once, and reads them back here

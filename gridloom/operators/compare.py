@@ -212,6 +212,6 @@ def reordered(before: DataFrame, after: DataFrame, order_by=None, after_order=No
 
     def numbered(df, order):
         at = free_name("__at", df.columns)
-        rows = dense_index(df, file_order(df, order), at, ties=tie_names(df, order))
+        rows = dense_index(df, file_order(df, order), at, ties=tie_names(df, order), ascending=True)
         return _sums(rows, F.col(at), *hashed(df))
     return numbered(before, order_by) != numbered(after, after_order or order_by)

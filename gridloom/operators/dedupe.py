@@ -69,7 +69,7 @@ def _members(df: DataFrame, id_column: str, columns: list[str], blank_is_value:
         return cells.select("*", F.row_number().over(placed).cast("bigint").alias("__nth"), F.first("__id").over(placed).alias("__keep"),
                             F.count(F.lit(1)).over(group).alias("__count")).filter("__count > 1").drop("__at", "__count")
     ties = ["__at"] if tie_names(df, order_by) else []
-    numbered = running_sum(cells, keys, [F.col("__at")], "__nth", ties=ties, sliced=True)
+    numbered = running_sum(cells, keys, [F.col("__at")], "__nth", ties=ties, sliced=True, ascending=True)
     match = same_cells([(F.col(k), F.col(f"__g{i}")) for i, k in enumerate(keys)])
     groups = _groups(rows, id_column, columns, order_by).drop("__first", "__count")
     return numbered.join(groups, match).select(*keys, "__id", "__nth", "__keep")

@@ -77,7 +77,7 @@ def fill_missing(df: DataFrame, columns: list[str], method: str = "constant", va
     stand_in = {n: free_name(f"__fill_{i}", names) for i, n in enumerate(columns)}
     if method in ("previous", "next"):
         cells = {stand_in[n]: filled(col(n), type_of(df, n)) for n in columns}
-        ready = carry_values(df, cells, file_order(df, order_by), forward=method == "previous", ties=tie_names(df, order_by))
+        ready = carry_values(df, cells, file_order(df, order_by), forward=method == "previous", ties=tie_names(df, order_by), ascending=True)
     else:
         if method == "constant":
             source = {n: _constant(df, n, value) for n in columns}

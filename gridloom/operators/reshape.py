@@ -59,7 +59,7 @@ def transpose(df: DataFrame, order_by=None, most_rows: int = MOST_TRANSPOSED_ROW
     if count > most_rows:
         raise TableError(f"a table of more than {most_rows:,} rows cannot be transposed")
     at, name, value = (free_name(x, df.columns) for x in ("__at", "__column", "__value"))
-    texts = dense_index(df, file_order(df, order_by), at, start=0).select(at, *[text_of(df, n).alias(n) for n in df.columns])
+    texts = dense_index(df, file_order(df, order_by), at, start=0, ascending=True).select(at, *[text_of(df, n).alias(n) for n in df.columns])
     place = F.create_map(*[x for i, n in enumerate(df.columns) for x in (F.lit(n), F.lit(i))])
     long = texts.unpivot([at], [col(n) for n in df.columns], name, value)
     wide = long.groupBy(name).pivot(at, list(range(count))).agg(F.first(value))

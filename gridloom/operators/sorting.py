@@ -103,7 +103,7 @@ def every_nth(df: DataFrame, n: int, order_by=None, by=()) -> DataFrame:
     """Rows 1, n+1, 2n+1, ..."""
     _check_count(n)
     name = free_name("__index", df.columns)
-    numbered = dense_index(df, _sort_columns(df, _levels(by)) + file_order(df, order_by), name, start=0, ties=tie_names(df, order_by))
+    numbered = dense_index(df, _sort_columns(df, _levels(by)) + file_order(df, order_by), name, start=0, ties=tie_names(df, order_by), ascending=not by)
     return numbered.filter(F.col(name) % n == 0).drop(name)
 
 
@@ -122,11 +122,11 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, order_by=None) -> DataFrame:
 def occurrence(df: DataFrame, keys: list[str], name: str = "occurrence", order_by=None) -> DataFrame:
     """Add the number of each row among the rows with the same key, from 1."""
     require_columns(df, keys)
-    return running_sum(df, keys, file_order(df, order_by), free_name(name, df.columns), ties=tie_names(df, order_by))
+    return running_sum(df, keys, file_order(df, order_by), free_name(name, df.columns), ties=tie_names(df, order_by), ascending=True)
 
 
 def group_numbers(df: DataFrame, keys: list[str], name: str = "group_number", order_by=None) -> DataFrame:
     """One row per distinct key with a number in order of first appearance."""
     require_columns(df, keys)
     firsts = df.groupBy(*[col(k) for k in keys]).agg(F.min(first_place(df, order_by)).alias("__at"))
-    return dense_index(firsts, [F.col("__at")], free_name(name, keys)).drop("__at")
+    return dense_index(firsts, [F.col("__at")], free_name(name, keys), ascending=True).drop("__at")

@@ -72,7 +72,7 @@ def validate(df: DataFrame, rules: list[dict], row_numbers: bool = False, order_
     source = df
     number_name = free_name("row_number", df.columns)
     if row_numbers:
-        source = dense_index(df, file_order(df, order_by), number_name, start=HEADER_ROWS, ties=tie_names(df, order_by))
+        source = dense_index(df, file_order(df, order_by), number_name, start=HEADER_ROWS, ties=tie_names(df, order_by), ascending=True)
     errors_name = free_name("errors", df.columns)
     found = F.array(*[F.when(fails, message) for fails, message in checks]) if checks else F.array().cast("array<string>")
     checked = source.select("*", F.array_compact(found).alias(errors_name))

@@ -2,11 +2,16 @@
 
 A DataFrame has no order, so every operator that needs one takes `order_by`, or uses the position column the readers
 add. Work that looks like one long window over the whole table (numbering, filling down) or over one very large group
-is cut into slices: the table is range-sorted and written once, each slice is handled on its own, and one row per slice
-carries what the slices before it add up to.
+is cut into slices, each slice is handled on its own, and one row per slice carries what the slices before it add up to.
+
+Slices of an ascending order are ranges between splitters, values taken from one sample. A row's slice follows from its own
+values, so rows are counted a range in one pass and placed in another, and nothing is written. That asks for a table which gives the
+same rows each time it is read; other orders are range-sorted and written once.
 """
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,8 +24,9 @@ POSITION = "_position"
 GROUP_ROWS = 5_000_000          # a group up to this size is handled by one task; larger ones are sliced
 SLICE_ROWS = 5_000_000          # rows of a slice, about
 TOP_ROWS = 10_000               # a longer head of the table is numbered instead of gathered in one task
+_SAMPLED = 30                   # rows of a slice that its splitters are chosen from
 _CUT_ACCURACY = 10_000          # of the percentile that cuts a long head off
-_PLACE, _SLICE, _OFFSET, _ROW = "__place", "__slice", "__offset", "__row"
+_PLACE, _SLICE, _OFFSET, _ROW, _VALUE = "__place", "__slice", "__offset", "__row", "__order"
 _BITS = 33                      # monotonically_increasing_id: partition above, row in partition below
 
 
@@ -93,11 +99,57 @@ def tie_names(df: DataFrame, order_by=None) -> list[str]:
     return [] if names == [POSITION] else names
 
 
-def _slices(df: DataFrame, order: list[Column], ties: list[str] | None = None) -> DataFrame:
-    """The table range-sorted and written, with the slice and the place in it of every row.
+def _constant(value, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.StructType) and value is not None:
+        return F.struct(*[_constant(value[i], f.dataType).alias(f.name) for i, f in enumerate(dtype)])
+    return F.lit(value).cast(dtype)
+
+
+def _range_of(value: Column, splitters: list[Column]) -> Column:
+    """How many splitters a value has reached, by halving: bits of the answer from the highest."""
+    steps = [1 << b for b in reversed(range(len(splitters).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    reached = lambda at, step: F.when(F.get(F.array(*splitters), at + step - 1) <= value, at + step).otherwise(at)
+    return F.reduce(F.array(*[F.lit(x) for x in steps]), F.lit(0), reached)
+
+
+def _read_alike(df: DataFrame, order: list[Column]) -> bool:
+    """Whether the order values are the same at each reading. Places in text files follow from how the files were cut into tasks."""
+    return not any(isinstance(f.dataType, T.StructType) and "block" in f.dataType.names for f in df.select(*order).schema)
+
+
+def _ranged(df: DataFrame, order: list[Column], ties: list[str] | None) -> tuple[DataFrame, list[Column]]:
+    """The table with the slice of every row, and its order, to which a row number is added if copies fill more than a slice."""
+    spark, rows = df.sparkSession, df.count()
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // setting(spark, "sliceRows", SLICE_ROWS)))
+    value = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([col(n) for n in ties] if ties else order)])      # without the tie-break
+    taken = df.select(value.alias("value")).sample(min(1.0, _SAMPLED * slices / max(rows, 1)), seed=1).orderBy("value")
+    sample = [r.value for r in taken.collect()]
+    most = max(Counter(map(str, sample)).values(), default=0)
+    if ties and 2 * most * rows > len(sample) * group_limit(df) and largest_group(df, ties) > group_limit(df):
+        return _ranged(with_position(written(df), _ROW), [*order, F.col(_ROW)], None)
+    dtype = taken.schema["value"].dataType
+    splitters = [_constant(sample[len(sample) * j // slices], dtype) for j in range(1, slices)] if sample else []
+    return df.withColumn(_VALUE, value).withColumn(_SLICE, _range_of(F.col(_VALUE), splitters)).drop(_VALUE), order
+
+
+def _with_order(df: DataFrame, order: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """The order as columns, so that a tie-break is computed once and all windows share one sort."""
+    names = [f"{_VALUE}{i}" for i in range(len(order))]
+    return df.select("*", *[c.alias(n) for n, c in zip(names, order)]), [F.col(n) for n in names]
+
+
+def _slices(df: DataFrame, order: list[Column], ties: list[str] | None = None, ascending: bool = False) -> DataFrame:
+    """The table with the slice of every row and its place in it.
 
     Rows that sort alike fall into one slice. If more rows share the values of `ties` than one task should hold, they
-    may be copies that no column tells apart; the table is then written first, and its row positions split them."""
+    may be copies that no column tells apart; the table is then written first, and its row positions split them.
+    `ascending` says that every order column is plain, so that ranges between splitters can take the place of a sorted copy."""
+    if ascending and _read_alike(df, order):
+        ranged, order = _ranged(df, order, ties)
+        ranged, order = _with_order(ranged, order)
+        return ranged.withColumn(_OFFSET, (F.row_number().over(W.partitionBy(_SLICE).orderBy(*order)) - 1).cast("bigint")).drop(_ROW, *[c for c in ranged.columns if c.startswith(_VALUE)])
     if ties and largest_group(df, ties) > group_limit(df):
         df = with_position(written(df), _ROW)
         order = [*order, F.col(_ROW)]
@@ -113,24 +165,24 @@ def _over_slices():
     return W.partitionBy(F.lit(0)).orderBy(_SLICE)
 
 
-def dense_index(df: DataFrame, order: list[Column], name: str, start: int = 1, ties: list[str] | None = None) -> DataFrame:
+def dense_index(df: DataFrame, order: list[Column], name: str, start: int = 1, ties: list[str] | None = None, ascending: bool = False) -> DataFrame:
     """Number all rows start, start+1, ... in the given order."""
-    cut = _slices(df, order, ties)
+    cut = _slices(df, order, ties, ascending)
     base = cut.groupBy(_SLICE).agg(F.count(F.lit(1)).alias("__n")) \
         .select(_SLICE, F.coalesce(F.sum("__n").over(_over_slices().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    return cut.join(F.broadcast(base), _SLICE) \
+    return cut.join(F.broadcast(base), _SLICE, "left") \
         .withColumn(name, F.col("__base") + F.col(_OFFSET) + F.lit(start)).drop(_SLICE, _OFFSET, "__base")
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], name: str, weight: Column | None = None,
-                ties: list[str] | None = None, sliced: bool | None = None) -> DataFrame:
+                ties: list[str] | None = None, sliced: bool | None = None, ascending: bool = False) -> DataFrame:
     """Sum of `weight` (rows counted when None) from the first row of the group up to each row.
 
     The size of the largest group decides: with groups of one row the number is 1 and nothing is shuffled; groups that
     fit a task take one ordinary window; beyond that the table is sliced. A group may then span many slices, and only
     the first group of a slice can have begun earlier, so one carried sum per slice completes the result."""
     if not keys and weight is None:
-        return dense_index(df, order, name, ties=ties)
+        return dense_index(df, order, name, ties=ties, ascending=ascending)
     largest = largest_group(df, keys) if keys and sliced is None else None
     if largest is not None and largest <= 1 and weight is None:
         return df.withColumn(name, F.lit(1).cast("bigint"))
@@ -142,7 +194,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], name: str,
 
     step = free_name("__weight", df.columns)
     group = [col(k) for k in keys]
-    cut = _slices(df.withColumn(step, weight if weight is not None else F.lit(1).cast("bigint")), group + order, [*keys, *ties] if ties else None)
+    cut = _slices(df.withColumn(step, weight if weight is not None else F.lit(1).cast("bigint")), group + order, [*keys, *ties] if ties else None, ascending)
     window = W.partitionBy(_SLICE, *group).orderBy(_OFFSET).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = cut.withColumn(name, F.sum(step).over(window))
 
@@ -158,23 +210,25 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], name: str,
 
 
 def carry_values(df: DataFrame, values: dict[str, Column], order: list[Column], forward: bool = True,
-                 ties: list[str] | None = None) -> DataFrame:
+                 ties: list[str] | None = None, ascending: bool = False) -> DataFrame:
     """Add one column per entry of `values`: the nearest non-NULL value at or before each row (after, if not forward).
 
     Both ways a slice is read once: backward is forward on the slice turned round."""
     sources = {name: free_name(f"__from_{i}", df.columns) for i, name in enumerate(values)}
-    cut = _slices(df.select("*", *[v.alias(sources[n]) for n, v in values.items()]), order, ties)
-    window = W.partitionBy(_SLICE).orderBy(F.col(_OFFSET) if forward else F.col(_OFFSET).desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    wide = df.select("*", *[v.alias(sources[n]) for n, v in values.items()])
+    if ascending and _read_alike(wide, order):
+        cut, order = _with_order(*_ranged(wide, order, ties))
+    else:
+        cut, order = _slices(wide, order, ties), [F.col(_OFFSET)]
+    place = F.struct(*order) if len(order) > 1 else order[0]
+    window = W.partitionBy(_SLICE).orderBy(*(order if forward else [c.desc() for c in order])).rowsBetween(W.unboundedPreceding, W.currentRow)
     edge = F.max_by if forward else F.min_by
     outer = W.partitionBy(F.lit(0)).orderBy(F.col(_SLICE) if forward else F.col(_SLICE).desc()).rowsBetween(W.unboundedPreceding, -1)
-    ends = cut.groupBy(_SLICE).agg(*[
-        edge(F.col(s), F.when(F.col(s).isNotNull(), F.col(_OFFSET))).alias(s) for s in sources.values()])
+    ends = cut.groupBy(_SLICE).agg(*[edge(F.col(s), F.when(F.col(s).isNotNull(), place)).alias(s) for s in sources.values()])
     carried = ends.select(_SLICE, *[F.last(F.col(s), ignorenulls=True).over(outer).alias(f"{s}_carried") for s in sources.values()])
-    joined = cut.join(F.broadcast(carried), _SLICE)
-    for name, source in sources.items():
-        joined = joined.withColumn(
-            name, F.coalesce(F.last(F.col(source), ignorenulls=True).over(window), F.col(f"{source}_carried")))
-    return joined.drop(_SLICE, _OFFSET, *sources.values(), *[f"{s}_carried" for s in sources.values()])
+    joined = cut.join(F.broadcast(carried), _SLICE, "left")
+    return joined.select(*[col(n) for n in df.columns if n != _ROW], *[
+        F.coalesce(F.last(F.col(s), ignorenulls=True).over(window), F.col(f"{s}_carried")).alias(name) for name, s in sources.items()])
 
 
 def first_rows(df: DataFrame, order: list[Column], count: int, ties: list[str] | None = None, key: Column | None = None, nulls_first: bool = False) -> DataFrame:

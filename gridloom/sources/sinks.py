@@ -56,7 +56,7 @@ def split_by_rows(df: DataFrame, rows: int = CHUNK_ROWS, order_by=None, name: st
     if rows < 1 or (most_rows is not None and rows > most_rows):
         raise TableError(f"a file holds at least one row, and at most {most_rows:,} unless most_rows says otherwise" if most_rows else "a file holds at least one row")
     name, index = free_name(name, df.columns), free_name("__index", df.columns)
-    numbered = dense_index(df, file_order(df, order_by), index, start=0, ties=tie_names(df, order_by))
+    numbered = dense_index(df, file_order(df, order_by), index, start=0, ties=tie_names(df, order_by), ascending=True)
     return numbered.withColumn(name, F.floor(F.col(index) / F.lit(rows)) + 1).drop(index)
 
 

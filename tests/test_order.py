@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import math
 import random
@@ -185,6 +186,45 @@ def test_slices_are_bounded_and_backward_is_linear(spark):
         spark.conf.unset("spark.gridloom.sliceRows")
 
 
+def test_ranges_between_splitters(spark, monkeypatch):
+    """Numbers, sums and carried values without a written table: NULL, NaN, ties and copies in the order, text, struct and time columns."""
+    from gridloom.plans import order
+    monkeypatch.setattr(order, "written", lambda df: pytest.fail("a table was written"))
+    spark.conf.set("spark.gridloom.sliceRows", "60")
+    try:
+        r = random.Random(4)
+        data = [(i, r.choice([None, float("nan"), -0.0, 0.0, r.gauss(0, 9)]), r.choice([None, "", "a", "Zoë", "z" * r.randrange(30)]),
+                 datetime.datetime(2020, 1, 1) + datetime.timedelta(days=r.randrange(99))) for i in range(1500)]
+        df = spark.createDataFrame(data, "i int, x double, s string, t timestamp").repartition(6).withColumn("p", F.struct("s", F.struct("x", "i")))
+        for by in (["i"], ["x", "i"], ["s", "x", "i"], ["t", "i"], ["p"]):
+            plain = [F.col(n) for n in by]
+            want = {x.i: x.n for x in df.select("i", F.row_number().over(order.W.orderBy(*plain)).alias("n")).collect()}
+            assert {x.i: x.n for x in dense_index(df, plain, "n", ascending=True).collect()} == want, by
+        sizes = order._slices(df, [F.col("i")], ascending=True).groupBy(order._SLICE).agg(F.count("*").alias("n"), F.max(order._OFFSET).alias("last")).collect()
+        assert len(sizes) == 25 and max(x.n for x in sizes) <= 120 and all(x["last"] == x.n - 1 for x in sizes)
+        for forward in (True, False):
+            got = {x.i: x.c for x in carry_values(df, {"c": F.when(F.col("i") % 70 == 3, F.col("i"))}, [F.col("i")], forward, ascending=True).collect()}
+            filled = [i for i in range(1500) if i % 70 == 3]
+            assert got == {i: max((f for f in filled if f <= i), default=None) if forward else min((f for f in filled if f >= i), default=None) for i in range(1500)}
+        summed = running_sum(df, ["s"], [F.col("i")], "n", F.col("i").cast("bigint"), sliced=True, ascending=True)
+        sums, want = {}, {}
+        for i, _, s, _ in data:
+            sums[s] = sums.get(s, 0) + i
+            want[i] = sums[s]
+        assert {x.i: x.n for x in summed.collect()} == want
+        assert dense_index(df.limit(0), [F.col("i")], "n", ascending=True).count() == 0
+    finally:
+        spark.conf.unset("spark.gridloom.sliceRows")
+
+
+def test_copies_that_fill_slices_are_split(spark, sliced):
+    df = spark.range(300).select(F.lit(1).alias("a"), F.lit("x").alias("b")).repartition(3)
+    numbers = dense_index(df, file_order(df, ["a"]), "n", ties=["a"], ascending=True)
+    assert sorted(x.n for x in numbers.collect()) == list(range(1, 301)) and numbers.columns == ["a", "b", "n"]
+    carried = carry_values(df, {"c": F.col("b")}, file_order(df, ["a"]), ties=["a"], ascending=True)
+    assert {tuple(x) for x in carried.collect()} == {(1, "x", "x")} and carried.count() == 300
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_long_heads_against_brute_force(spark, sliced, seed):
     """Heads, tails and samples beyond the limit of a top-k, with NULLs, NaN, ties and numbers of both signs."""
