@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import TableError, canonical_text, col, free_name, is_blank, require_columns, text_of, type_of
-from ..plans.order import dense_index, file_order
+from ..plans.order import dense_index, file_order, tie_names
 from .result import Result
 
 MOST_TRANSPOSED_ROWS = 16_383
+BLOCK_ROWS, BLOCK_CELLS = 10_000, 1_000_000         # rows and cells of a transposed block, at most
 
 
 def _common_type(types: list[T.DataType]) -> T.DataType:
@@ -54,10 +55,10 @@ def unpivot(df: DataFrame, id_columns: list[str], value_columns: list[str] | Non
 def transpose(df: DataFrame, order_by=None, most_rows: int = MOST_TRANSPOSED_ROWS) -> DataFrame:
     """Columns become rows: `Original Column/Row`, then one text column per row, named 0, 1, ... in row order.
 
-    Every row becomes a column, so tables of more than `most_rows` rows are refused."""
+    Every row becomes a column, so tables of more than `most_rows` rows are refused; `transpose_blocks` has no such limit."""
     count = df.limit(most_rows + 1).count()
     if count > most_rows:
-        raise TableError(f"a table of more than {most_rows:,} rows cannot be transposed")
+        raise TableError(f"a table of more than {most_rows:,} rows cannot be transposed into columns; use transpose_blocks")
     at, name, value = (free_name(x, df.columns) for x in ("__at", "__column", "__value"))
     texts = dense_index(df, file_order(df, order_by), at, start=0, ascending=True).select(at, *[text_of(df, n).alias(n) for n in df.columns])
     place = F.create_map(*[x for i, n in enumerate(df.columns) for x in (F.lit(n), F.lit(i))])
@@ -66,6 +67,24 @@ def transpose(df: DataFrame, order_by=None, most_rows: int = MOST_TRANSPOSED_ROW
     return wide.orderBy(F.try_element_at(place, F.col(name))).withColumnRenamed(name, "Original Column/Row")
 
 
+def transpose_blocks(df: DataFrame, order_by=None, block_rows: int | None = None) -> DataFrame:
+    """Columns become rows at any length: (place, column, block, first_row, values), the column's texts for one run of rows.
+
+    `values` holds the cells of rows first_row, first_row + 1, ... (from 0, NULL for missing ones), `place` the column's place. A block
+    has `block_rows` rows, the last one what is left; one shuffle brings its rows together. By default a block is 10,000 rows,
+    fewer if the table is so wide that they would be more than a million cells."""
+    if block_rows is not None and block_rows < 1:
+        raise TableError("a block needs at least one row")
+    size = block_rows or max(1, min(BLOCK_ROWS, BLOCK_CELLS // max(len(df.columns), 1)))
+    at = free_name("__at", df.columns)
+    texts = dense_index(df, file_order(df, order_by), at, start=0, ties=tie_names(df, order_by), ascending=True)
+    rows = texts.select(F.col(at), *[text_of(df, n).alias(f"c{i}") for i, n in enumerate(df.columns)])
+    blocks = rows.groupBy(F.floor(F.col(at) / size).cast("bigint").alias("block")).agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("rows"))
+    columns = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("column"), F.col(f"rows.c{i}").alias("values")) for i, n in enumerate(df.columns)]
+    return blocks.select("block", F.inline(F.array(*columns))) \
+        .select("place", "column", "block", (F.col("block") * size).alias("first_row"), "values")
+
+
 def _loose_name(name: str) -> str:
     return " ".join(name.split()).casefold()
 

@@ -685,6 +685,18 @@ def transpose_summary(spark, sf):
     return reshape.transpose(t, ["p"])
 
 
+@query("""WITH t AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey,
+                            nullif(o_orderpriority, '1-URGENT') AS o_orderpriority, o_orderstatus FROM orders),
+              cells AS (SELECT pos, unnest([0, 1, 2, 3]) AS place, unnest(['o_orderkey', 'o_custkey', 'o_orderpriority', 'o_orderstatus']) AS "column",
+                               unnest([o_orderkey, o_custkey, o_orderpriority, o_orderstatus]) AS value FROM t)
+         SELECT place, "column", (pos // 1000)::BIGINT AS block, min(pos)::BIGINT AS first_row, count(*)::BIGINT AS cells,
+                md5(string_agg(coalesce(value, '-'), '|' ORDER BY pos)) AS digest FROM cells GROUP BY ALL""")
+def transpose_in_blocks(spark, sf):
+    t = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("o_orderpriority"), "o_orderstatus")
+    listed = F.array_join("values", "|", "-")
+    return reshape.transpose_blocks(t, ["o_orderkey"], 1000).select("place", "column", "block", "first_row", F.size("values").cast("bigint").alias("cells"), F.md5(listed).alias("digest"))
+
+
 # ---- validation -----------------------------------------------------------------------------------------------------
 _RULES = [{"column": "event_type", "type": "required"}, {"column": "event_type", "type": "list", "value": ["click", "view", "error", "signup"]},
           {"column": "value", "type": "range", "value": {"min": 1, "max": "60"}}, {"column": "event_type", "type": "length", "value": {"min": 5}},

@@ -344,6 +344,23 @@ def test_transpose_and_its_limit(spark):
         reshape.transpose(df, ["i"], most_rows=1)
 
 
+def test_transpose_in_blocks(spark):
+    """Any length: against the rows themselves, with missing cells, copies, names that clash, whole and partial blocks."""
+    data = [(i // 2, None if i % 7 == 0 else f"t{i // 2}", float(i // 2)) for i in range(95)]
+    df = spark.createDataFrame(data, "i int, `rows` string, `c0` double").repartition(4)
+    for size in (10, 95, 1, 1000):
+        out = reshape.transpose_blocks(df, ["i", "rows"], size).collect()
+        got = {(r.place, r.column): [] for r in out}
+        for r in sorted(out, key=lambda r: r.block):
+            assert r.first_row == r.block * size and len(r["values"]) == min(size, 95 - r.first_row)
+            got[r.place, r.column] += r["values"]
+        ordered = sorted(data, key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+        assert got == {(0, "i"): [str(r[0]) for r in ordered], (1, "rows"): [r[1] for r in ordered], (2, "c0"): [str(int(r[2])) for r in ordered]}
+    assert reshape.transpose_blocks(df.limit(0), ["i"]).count() == 0
+    with pytest.raises(TableError):
+        reshape.transpose_blocks(df, ["i"], 0)
+
+
 def test_append(spark):
     """Three tables whose columns differ in order, name, case, spaces and type."""
     first = spark.createDataFrame([(f"k{i}", str(10 * i)) for i in range(3)], "Part string, Weight string")
