@@ -26,7 +26,7 @@ SLICE_ROWS = 5_000_000          # rows of a slice, about
 TOP_ROWS = 10_000               # a longer head of the table is numbered instead of gathered in one task
 _SAMPLED = 30                   # rows of a slice that its splitters are chosen from
 _CUT_ACCURACY = 10_000          # of the percentile that cuts a long head off
-_PLACE, _SLICE, _OFFSET, _ROW, _VALUE = "__place", "__slice", "__offset", "__row", "__order"
+_PLACE, _SLICE, _OFFSET, _ROW, _VALUE = "__place", "__slice", "__offset", "__row", "__sorted_by"
 _BITS = 33                      # monotonically_increasing_id: partition above, row in partition below
 
 
@@ -149,7 +149,7 @@ def _slices(df: DataFrame, order: list[Column], ties: list[str] | None = None, a
     if ascending and _read_alike(df, order):
         ranged, order = _ranged(df, order, ties)
         ranged, order = _with_order(ranged, order)
-        return ranged.withColumn(_OFFSET, (F.row_number().over(W.partitionBy(_SLICE).orderBy(*order)) - 1).cast("bigint")).drop(_ROW, *[c for c in ranged.columns if c.startswith(_VALUE)])
+        return ranged.withColumn(_OFFSET, (F.row_number().over(W.partitionBy(_SLICE).orderBy(*order)) - 1).cast("bigint")).drop(_ROW, *[f"{_VALUE}{i}" for i in range(len(order))])
     if ties and largest_group(df, ties) > group_limit(df):
         df = with_position(written(df), _ROW)
         order = [*order, F.col(_ROW)]

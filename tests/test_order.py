@@ -213,6 +213,7 @@ def test_ranges_between_splitters(spark, monkeypatch):
             want[i] = sums[s]
         assert {x.i: x.n for x in summed.collect()} == want
         assert dense_index(df.limit(0), [F.col("i")], "n", ascending=True).count() == 0
+        assert dense_index(df.withColumn("__order0", F.col("i")), [F.col("i")], "n", ascending=True).columns == [*df.columns, "__order0", "n"]
     finally:
         spark.conf.unset("spark.gridloom.sliceRows")
 
