@@ -6,6 +6,7 @@ import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.cells import (TableError, canonical_text, col, date_order, free_name, is_missing, is_number, number_of, present,
                                require_columns, type_of, written_date)
@@ -36,7 +37,7 @@ def period_label(df: DataFrame, column: str, unit: str, order: str = "auto") ->
 
 def _aggregate(name: str, number: Column, cell: Column) -> Column:
     if name == "sum":
-        return F.coalesce(F.sum(number), F.lit(0))
+        return F.coalesce(F.sum(number), F.lit(0))                   # of 64-bit integers in decimals, see `pivot_cells`
     if name == "mean":
         return F.avg(number)
     if name == "min":
@@ -63,7 +64,8 @@ def pivot_cells(df: DataFrame, rows: list[str], columns: list[str], values: list
     """The pivot in long form: label columns r0.. c0.., `level`, and v<j>_<aggregation> per value.
 
     `level` is the grouping id: 0 for a cell; bits are set for the labels that are totalled over. All levels come from
-    one pass over the source rows with GROUPING SETS, so a mean total is the mean of all rows."""
+    one pass over the source rows with GROUPING SETS, so a mean total is the mean of all rows. Sums of 64-bit integers are
+    decimal(38,0), as such a sum may not fit 64 bits."""
     date_groups = date_groups or {}
 
     def label(n: str) -> Column:
@@ -75,7 +77,11 @@ def pivot_cells(df: DataFrame, rows: list[str], columns: list[str], values: list
                        *[present(col(n), type_of(df, n)).alias(f"t{j}") for j, n in enumerate(values)])
     levels = [s for s in dict.fromkeys([tuple(r + c), tuple(r), tuple(c), ()])]
     plain = [a for a in aggregations if a != "median"]
-    aggregates = [_aggregate(a, F.col(f"n{j}"), F.col(f"t{j}")).alias(f"v{j}_{a}") for j in range(len(values)) for a in plain]
+
+    def number(j: int, aggregation: str) -> Column:
+        wide = aggregation == "sum" and isinstance(source.schema[f"n{j}"].dataType, T.LongType)
+        return F.col(f"n{j}").cast("decimal(28,0)") if wide else F.col(f"n{j}")
+    aggregates = [_aggregate(a, number(j, a), F.col(f"t{j}")).alias(f"v{j}_{a}") for j in range(len(values)) for a in plain]
     cells = source.groupingSets([[F.col(x) for x in s] for s in levels], *[F.col(x) for x in r + c]).agg(
         F.grouping_id().alias("level"), *(aggregates or [F.count(F.lit(1)).alias("__rows")]))
     if "median" in aggregations:
@@ -98,7 +104,8 @@ def pivot_table(df: DataFrame, rows: list[str] | None = None, columns: list[str]
     """Rows by columns with a total row, and a total column per value when there are columns.
 
     `aggregations` are one or several of AGGREGATIONS (sum for numbers, otherwise count, when none is named); several
-    stand side by side as `<agg>_<name>`. `show_as` gives shares of the row, column or grand total.
+    stand side by side as `<agg>_<name>`. `show_as` gives shares of the row, column or grand total. Sums of 64-bit integers
+    are 64-bit too if all cells and totals of the value fit, else decimal(38,0).
     Metrics: per value column, the cells that are not numbers (ignored by the numeric aggregations)."""
     rows, columns, values = list(rows or []), list(columns or []), list(values or [])
     require_columns(df, [*rows, *columns, *values, *(filters or {})])
@@ -127,7 +134,11 @@ def pivot_table(df: DataFrame, rows: list[str] | None = None, columns: list[str]
     cells = written(pivot_cells(df, rows, columns, values, aggregations, date_groups, order))
     r, c = [f"r{i}" for i in range(len(rows))], [f"c{i}" for i in range(len(columns))]
     labels = [F.col(x) for x in r + c]
-    used = cells.filter("level = 0").agg(*[F.max(functools.reduce(operator.or_, [x == F.lit(t) for x in labels])) for t in TOTAL_LABELS]).first()
+    sums = [f"v{j}_sum" for j, n in enumerate(values) if "sum" in aggregations and isinstance(type_of(df, n), T.LongType)]
+    seen = cells.agg(*[F.max(F.when(F.col("level") == 0, functools.reduce(operator.or_, [x == F.lit(t) for x in labels]))) for t in TOTAL_LABELS],
+                     *[F.bool_or(F.col(v).try_cast("bigint").isNull()) for v in sums]).first()
+    used, beyond = seen[:len(TOTAL_LABELS)], seen[len(TOTAL_LABELS):]
+    cells = cells.withColumns({v: F.col(v).cast("bigint") for v, too_large in zip(sums, beyond) if not too_large})
     total = next((t for t, taken in zip(TOTAL_LABELS, used) if not taken), free_name("Total", TOTAL_LABELS))
 
     measures = [(j, a) for a in aggregations for j in range(len(values))]

@@ -319,6 +319,21 @@ def test_pivot_keeps_whole_numbers_and_number_order(spark):
     assert pivot.pivot_table(df, ["k"], ["c"], ["v"], "count").df.columns == ["k", "v_None", "v_nan", "v_Total"]
 
 
+def test_pivot_sums_beyond_64_bits(spark):
+    """Sums of 64-bit integers are exact where they need more than 64 bits, and stay 64-bit where all of them fit."""
+    top = 2 ** 63 - 1
+    df = spark.createDataFrame([("a", "x", top, 1), ("a", "y", top, 2), ("b", "x", -top, 3), (None, "y", None, 4)], "k string, c string, big long, small long")
+    plain = pivot.pivot_table(df, ["k"], None, ["big", "small"], "sum").df
+    assert [tuple(r) for r in plain.collect()] == [("a", 2 * top, 3), ("b", -top, 3), ("(blank)", 0, 4), ("Total", top, 10)]
+    assert dict(plain.dtypes) == {"k": "string", "big": "decimal(38,0)", "small": "bigint"}
+    crossed = pivot.pivot_table(df, ["k"], ["c"], ["big"], "sum").df
+    assert [tuple(r) for r in crossed.collect()] == [("a", top, top, 2 * top), ("b", -top, 0, -top), ("(blank)", 0, 0, 0), ("Total", 0, top, top)]
+    few = pivot.pivot_table(df.filter("c = 'x'"), ["k"], None, ["big"], "sum").df
+    assert few.dtypes == [("k", "string"), ("big", "bigint")] and [r.big for r in few.collect()] == [top, -top, 0]
+    share = pivot.pivot_table(df.filter("k = 'a'"), ["k"], ["c"], ["big"], "sum", show_as="row").df
+    assert [tuple(r) for r in share.collect()] == [("a", 0.5, 0.5, 1.0), ("Total", 0.5, 0.5, 1.0)]
+
+
 # ---- reshape --------------------------------------------------------------------------------------------------------
 def test_unpivot_and_back(spark):
     rng, names = random.Random(12), [f"m{k}" for k in range(4)]
