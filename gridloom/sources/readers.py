@@ -84,8 +84,9 @@ class Look:
 def look_through(spark: SparkSession, path: str) -> Look:
     """A file is UTF-8 when all its lines are valid UTF-8, else windows-1252, else ISO-8859-1 if bytes are undefined there."""
     value = F.col("value")
-    undefined = F.when(value.rlike("[^\\x00-\\x7F]"), F.hex(value.cast("binary")).rlike("^(..)*(81|8D|8F|90|9D)"))
-    quotes = F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
+    ascii_only = F.is_valid_utf8("value") & (F.octet_length(value) == F.length(value))
+    undefined = F.when(~ascii_only, F.hex(value.cast("binary")).rlike("^(..)*(81|8D|8F|90|9D)"))
+    quotes = F.when(value.contains('"'), F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))).otherwise(0)
     seen = spark.read.option("lineSep", "\n").text(path).groupBy(F.col("_metadata").getField("file_path").alias("file")).agg(
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.coalesce(F.bool_or(undefined), F.lit(False)).alias("odd"), F.bool_or(quotes % 2 == 1).alias("line_breaks"))
     encoding = F.when(F.col("utf8"), "UTF-8").when(F.col("odd"), "ISO-8859-1").otherwise("windows-1252")
@@ -142,18 +143,19 @@ def read_delimited(spark: SparkSession, path: str, mode: str = "lossless", delim
         places = [f"c{i}" for i in range(len(names))]
         parsed = F.from_csv("value", ", ".join(f"{n} string" for n in [*places, "extra", "line"]), {
             "sep": delimiter, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "line"})
-        cells = records.select(parsed.alias("p"), _place()).select("p.*", POSITION)
-        df = cells.toDF(*names, extra, line, POSITION)
+        table = lambda r: r.select(parsed.alias("p"), _place()).select("p.*", POSITION).toDF(*names, extra, line, POSITION)     # noqa: E731
+        df = table(records)
         decoded = lambda c: c                           # noqa: E731
-        checked = df
+        delimiters = F.octet_length("value") - F.octet_length(F.replace("value", F.lit(delimiter), F.lit("")))
+        too_long = table(records.where(delimiters >= len(names) * len(delimiter.encode())))     # no other row can have more cells than the header
     else:
         schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, extra, line]])
         reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", _known(encoding)).option("quote", '"') \
             .option("escape", '"').option("multiLine", False).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", line)
-        checked = reader.schema(schema).csv(path)
-        df = with_position(checked) if position else checked
+        too_long = reader.schema(schema).csv(path)
+        df = with_position(too_long) if position else too_long
         decoded = lambda c: _decoded(c, encoding)       # noqa: E731
-    if ragged == "refuse" and checked.select(col(extra)).filter(col(extra).isNotNull()).limit(1).collect():
+    if ragged == "refuse" and too_long.agg(F.bool_or(col(extra).isNotNull())).first()[0]:       # one job; a limit would read a few files first
         raise TableError(f"a row has more than the {len(names)} cells of the header; read it with ragged=\"keep\" to see such rows")
     cells = [decoded(col(n)).alias(n) for n in names]
     if ragged == "keep":
@@ -208,7 +210,9 @@ def count_records(spark: SparkSession, path: str, delimiter: str | None = None)
     """Rows below the header of each file, without parsing them. A record with quoted line breaks is one; blank ones are none."""
     if look_through(spark, path).line_breaks:
         records = quoted_records(spark, path, delimiter or detect_delimiter(spark, path))
-        return records.where(~F.col("head") & ~F.hex("value").rlike("^(20|09|0D)*$")).count()
+        begin = F.hex(F.substring("value", 1, 1))
+        blank = begin.isin("", "20", "09", "0D") & F.hex("value").rlike("^(20|09|0D)*$")
+        return records.where(~F.col("head") & ~blank).count()
     lines = spark.read.option("lineSep", "\n").text(path).where(~F.col("value").rlike("^[ \\t\\r]*$"))
     by_file = lines.groupBy(F.col("_metadata").getField("file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
     return by_file.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]

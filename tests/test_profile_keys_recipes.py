@@ -402,6 +402,63 @@ def test_every_begin_of_a_range(small_ranges, spark, tmp_path):
         assert records.ends_inside(line, b",", begin) is end, line
 
 
+def test_states_of_lines_as_arrays(spark):
+    """All lines of an array at once, against a walk through their characters; arrays may begin in the middle of their buffers."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gridloom.sources import records
+
+    def walk(line: bytes, d: bytes, inside: bool) -> bool:
+        i, begins = 0, True
+        while i < len(line):
+            if inside:
+                if line[i:i + 2] == b'""':
+                    i += 2
+                    continue
+                inside, begins, i = line[i:i + 1] != b'"', False, i + 1
+            elif begins and line[i:i + 1] == b'"':
+                inside, i = True, i + 1
+            else:
+                begins = line[i:i + len(d)] == d
+                i += len(d) if begins else 1
+        return inside
+    rng = random.Random(31)
+    for d in (b";", b"\t", b"::"):
+        for _ in range(300):
+            lines = [b"".join(rng.choices([b'"', b'""', d, b"a", b"\r"], k=rng.randrange(7))) for _ in range(12)]
+            values, inside = pa.array(lines, pa.binary()).slice(rng.randrange(3)), rng.random() < 0.5
+            got = records._states(*records._runs(values, d), len(values), inside)
+            want = []
+            for line in lines[len(lines) - len(values):]:
+                want.append(walk(line, d, want[-1] if want else inside))
+            assert got.dtype == np.bool_ and got.tolist() == want, (lines, d, inside)
+
+
+def test_each_cut_hands_on_what_it_is_for(small_ranges, spark, tmp_path):
+    """The pass for records that cross ranges returns their pieces only, and the other one none of them."""
+    from gridloom.sources import records
+    text = "a;b\n" + "".join(f'{i};"{"y" * (i % 50)}\n{"z" * (i * 7 % 90)}"\n' for i in range(60))
+    lines = records.raw_lines(spark, save(tmp_path / "p.csv", text))
+    turns = records._turns(lines, b";")
+    inside = spark.sparkContext.broadcast(frozenset((r.file, r.block) for r in records._begins_inside(turns).collect()))
+    cut = {(w, c): records._cut(lines, b";", inside, w, c).collect() for w, c in ((True, True), (True, False), (False, True))}
+    whole, pieces = cut[True, False], cut[False, True]
+    assert inside.value and pieces and {r.piece for r in whole} == {0} and 0 not in {r.piece for r in pieces}
+    assert sorted(whole + pieces) == sorted(cut[True, True]) and sum(r.head for r in whole) == 1
+
+
+def test_ragged_rows_among_quoted_line_breaks(spark, tmp_path):
+    """Delimiters inside quotes make no row too long; one cell too many in the last of the files does, also in bytes that are no UTF-8."""
+    (tmp_path / "r").mkdir()
+    for i in range(6):
+        save(tmp_path / "r" / f"{i}.csv", 'k;v\n1;"a;b;c\n;;d"\n"2;;";x\n')
+    assert sorted(readers.read_delimited(spark, str(tmp_path / "r"), encoding="UTF-8", multi_line=True).collect()) == sorted([("1", "a;b;c\n;;d"), ("2;;", "x")] * 6)
+    (tmp_path / "r" / "6.csv").write_bytes(b'k;v\n1;"a\nb"\n2;\xe2;\n3;\xe2;y\n')
+    with pytest.raises(TableError, match="more than the 2 cells"):
+        readers.read_delimited(spark, str(tmp_path / "r"), encoding="UTF-8", multi_line=True)
+
+
 def test_encodings_by_file(spark, tmp_path):
     texts = {"u.csv": ("k,v\n1,Zoë €\n2,ÿ\n", "utf-8"), "b.csv": ("k,v\n3,Ærø\n", "utf-8-sig"), "w.csv": ("k,v\n4,“é”\n", "cp1252"), "l.csv": ("k,v\n5,é\x81\n", "latin-1"),
              "q.csv": ('k,v\n6,"ü\nö"\n', "cp1252"), "plain.csv": ("k,v\n7,x\n", "ascii")}
