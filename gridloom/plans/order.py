@@ -165,12 +165,18 @@ def _over_slices():
     return W.partitionBy(F.lit(0)).orderBy(_SLICE)
 
 
+def _per_slice(df: DataFrame, values: DataFrame, how: str = "left") -> DataFrame:
+    """The table with what `values` says of each slice. A slice is never NULL, and <=> keeps Spark from inferring filters from the slice's
+    expression, which it may place where the expression's columns are not."""
+    return df.join(F.broadcast(values.withColumnRenamed(_SLICE, "__of_slice")), F.col(_SLICE).eqNullSafe(F.col("__of_slice")), how).drop("__of_slice")
+
+
 def dense_index(df: DataFrame, order: list[Column], name: str, start: int = 1, ties: list[str] | None = None, ascending: bool = False) -> DataFrame:
     """Number all rows start, start+1, ... in the given order."""
     cut = _slices(df, order, ties, ascending)
     base = cut.groupBy(_SLICE).agg(F.count(F.lit(1)).alias("__n")) \
         .select(_SLICE, F.coalesce(F.sum("__n").over(_over_slices().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    return cut.join(F.broadcast(base), _SLICE, "left") \
+    return _per_slice(cut, base) \
         .withColumn(name, F.col("__base") + F.col(_OFFSET) + F.lit(start)).drop(_SLICE, _OFFSET, "__base")
 
 
@@ -200,11 +206,11 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], name: str,
 
     sizes = cut.groupBy(_SLICE).agg(F.max(_OFFSET).alias("__last"))
     pieces = cut.groupBy(_SLICE, *group).agg(F.sum(step).alias("__sum"), F.min(_OFFSET).alias("__from"), F.max(_OFFSET).alias("__to"))
-    edges = pieces.join(F.broadcast(sizes), _SLICE).filter((F.col("__from") == 0) | (F.col("__to") == F.col("__last")))
+    edges = _per_slice(pieces, sizes, "inner").filter((F.col("__from") == 0) | (F.col("__to") == F.col("__last")))
     before = W.partitionBy(*(group or [F.lit(0)])).orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
     carried = edges.withColumn("__carry", F.sum("__sum").over(before)) \
         .filter((F.col("__from") == 0) & F.col("__carry").isNotNull()).select(_SLICE, "__to", "__carry")
-    return local.join(F.broadcast(carried), _SLICE, "left") \
+    return _per_slice(local, carried) \
         .withColumn(name, F.col(name) + F.when(F.col(_OFFSET) <= F.col("__to"), F.col("__carry")).otherwise(F.lit(0))) \
         .drop(_SLICE, _OFFSET, "__to", "__carry", step)
 
@@ -226,7 +232,7 @@ def carry_values(df: DataFrame, values: dict[str, Column], order: list[Column],
     outer = W.partitionBy(F.lit(0)).orderBy(F.col(_SLICE) if forward else F.col(_SLICE).desc()).rowsBetween(W.unboundedPreceding, -1)
     ends = cut.groupBy(_SLICE).agg(*[edge(F.col(s), F.when(F.col(s).isNotNull(), place)).alias(s) for s in sources.values()])
     carried = ends.select(_SLICE, *[F.last(F.col(s), ignorenulls=True).over(outer).alias(f"{s}_carried") for s in sources.values()])
-    joined = cut.join(F.broadcast(carried), _SLICE, "left")
+    joined = _per_slice(cut, carried)
     return joined.select(*[col(n) for n in df.columns if n != _ROW], *[
         F.coalesce(F.last(F.col(s), ignorenulls=True).over(window), F.col(f"{s}_carried")).alias(name) for name, s in sources.items()])
 

@@ -486,6 +486,19 @@ def test_raw_grid(spark, tmp_path):
         readers.table_from_grid(grid, 99)
 
 
+def test_small_chunks_share_tasks(spark, tmp_path):
+    """Every task reports to the driver, so there are no more of them than shuffle partitions; a chunk is still one file, in order."""
+    df = spark.range(300).select((F.lit(299) - F.col("id")).alias("i")).repartition(3)
+    sinks.write_split_by_rows(df, str(tmp_path / "rows"), 5, ["i"])
+    files = {part.name: [f.name for f in part.glob("*.parquet")] for part in (tmp_path / "rows").glob("part=*")}
+    assert set(files) == {f"part={n}" for n in range(1, 61)} and all(len(names) == 1 for names in files.values())
+    assert len({names[0].split("-")[1] for names in files.values()}) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for n in (1, 17, 60):
+        assert pd.read_parquet(tmp_path / "rows" / f"part={n}" / files[f"part={n}"][0]).i.tolist() == [*range(5 * n - 5, 5 * n)]
+    sinks.write_split_by_rows(df.limit(0), str(tmp_path / "none"), 5, ["i"])
+    assert not [*(tmp_path / "none").glob("part=*")]
+
+
 def test_safe_csv_and_splits(spark, tmp_path):
     df = spark.createDataFrame([(0, "=1+1", -5.0), (1, "-5", 2.5), (2, "+x", 1.0), (3, "ok", None)], "i int, `=cell` string, n double")
     assert sinks.safe_cells(df).columns == ["i", "'=cell", "n"]
